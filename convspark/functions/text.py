@@ -4,7 +4,6 @@ All of these stay JVM-side (codegen'd built-ins) except ``nfkd_ascii``,
 an Arrow pandas UDF applied only to rows that hold non-ASCII text.
 """
 
-from __future__ import annotations
 
 from functools import reduce
 
