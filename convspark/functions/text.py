@@ -26,7 +26,7 @@ def py_strip(c) -> Column:
 
 def word_count(c) -> Column:
     """``len(str(x).split())`` — whitespace word count; 0 for empty, null stays null."""
-    return F.regexp_count(_c(c), f"{NON_WS_CLASS}+").cast("long")
+    return F.regexp_count(_c(c), F.lit(f"{NON_WS_CLASS}+")).cast("long")
 
 
 def normalize_role(c) -> Column:

@@ -1,4 +1,4 @@
 """Import every plan module so its queries register themselves."""
 
-from . import sft, text  # noqa: F401
+from . import judge, sft, splits, text, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
