@@ -176,8 +176,8 @@ def local_stamp(c) -> Column:
 def elapsed_hms(seconds) -> Column:
     """Seconds -> HH:MM:SS; Python round() is half-even; hours unbounded."""
     total = F.bround(_c(seconds).cast("double"), 0).cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(total / 3600).cast("long"),
-                           F.floor((total % 3600) / 60).cast("long"), (total % 60).cast("long"))
+    return F.when(total.isNull(), F.lit(None)).otherwise(F.format_string("%02d:%02d:%02d", F.floor(total / 3600).cast("long"),
+                           F.floor((total % 3600) / 60).cast("long"), (total % 60).cast("long")))
 
 
 def window_size_from_model(c) -> Column:
