@@ -131,3 +131,40 @@ def java_class(chars: str) -> str:
 WS_CLASS = "[" + java_class(PY_WHITESPACE) + "]"
 NON_WS_CLASS = "[^" + java_class(PY_WHITESPACE) + "]"
 LINE_BREAK_RE = "\\r\\n|[" + java_class(PY_LINE_BREAKS) + "]"
+
+# ---------------------------------------------------------------- fixed values (profiles)
+# Patient profile template with its 13 slots, in order.
+PROFILE_TEMPLATE = (
+    "You will act as a help-seeker struggling with negative emotions in a conversation with "
+    "someone who is listening to you.\n"
+    "YOUR PROFILE:\n"
+    "${name}${gender}${age}${marital_status}${occupation}${situation_of_the_client}"
+    "${counseling_history}${resistance_toward_the_support}${symptom_severity}"
+    "${cognition_distortion_exhibition}${depression_severity}${suicidal_ideation_severity}"
+    "${homicidal_ideation_severity}\n"
+    "YOUR TASK:\n"
+    "As the client, your role is to continue the conversation by responding naturally to the "
+    "supporter, reflecting the characteristics outlined in your profile."
+)
+PROFILE_SECTION_START = "YOUR PROFILE:"
+PROFILE_SECTION_END = "YOUR TASK:"
+# Profile fields: (source key, slot, label, lower-cased before use)
+PROFILE_FIELDS = [
+    ("name", "name", "name", True),
+    ("gender", "gender", "gender", True),
+    ("age", "age", "age", True),
+    ("marital status", "marital_status", "marital status", True),
+    ("occupation", "occupation", "occupation", True),
+    ("situation of the client", "situation_of_the_client", "situation of the client", True),
+    ("counseling history", "counseling_history", "counseling history", False),
+    ("resistance toward the support", "resistance_toward_the_support", "resistance toward the support", True),
+]
+PROFILE_TAIL_FIELDS = [
+    ("depression severity", "depression_severity", "depression severity"),
+    ("suicidal ideation severity", "suicidal_ideation_severity", "suicidal ideation severity"),
+    ("homicidal ideation severity", "homicidal_ideation_severity", "homicidal ideation severity"),
+]
+# Cognitive model block labels, in order.
+COGNITIVE_MODEL_FIELDS = [("situation", "Situation"), ("automatic_thoughts", "Automatic Thoughts"),
+                          ("emotion", "Emotions"), ("behavior", "Behavior")]
+# ---------------------------------------------------------------- end fixed values (profiles)
