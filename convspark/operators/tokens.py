@@ -53,3 +53,17 @@ def request_usage(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) -> DataF
     return a.select("conv_id", "turn", prompt.alias("prompt_tokens"),
                     F.col("n_words").alias("completion_tokens"),
                     (prompt + F.col("n_words")).alias("total_tokens"))
+
+
+def quality_keep(rows: DataFrame, column: str = "mi_quality", observe_name: str | None = "quality_filter"):
+    """F1 + A7: keep ``lower(column) == 'high'`` when the column exists (else keep all).
+
+    Kept/total counts are collected in the same pass with ``observe`` (read them
+    from the query listener or ``Observation``), not by a second job.
+    """
+    if column not in rows.columns:
+        return rows
+    keep = F.lower(F.col(column).cast("string")) == "high"
+    if observe_name:
+        rows = rows.observe(observe_name, F.count(F.lit(1)).alias("total"), F.count_if(keep).alias("kept"))
+    return rows.filter(keep)
