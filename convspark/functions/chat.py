@@ -36,7 +36,7 @@ def last_subsequence_start(ids, marker) -> Column:
     ids, marker = _c(ids), _c(marker)
     m = F.size(marker)
     # single-token marker (the common case): one reverse scan, O(n)
-    rpos = F.array_position(F.reverse(ids), F.element_at(marker, 1))
+    rpos = F.array_position(F.reverse(ids), F.try_element_at(marker, F.lit(1)))
     single = F.when(rpos == 0, F.lit(0)).otherwise(F.size(ids) - rpos + 1)
     starts = F.sequence(F.lit(1), F.greatest(F.size(ids) - m + 1, F.lit(1)))
     hits = F.filter(starts, lambda i: F.slice(ids, i, m) == marker)
@@ -52,7 +52,7 @@ def loss_labels(ids, marker, newline_id=None) -> Column:
     start = last_subsequence_start(ids, marker)
     upto = start + F.size(marker) - 1  # number of masked leading tokens (1-based end)
     if newline_id is not None:
-        upto = F.when(F.element_at(ids, upto + 1) == F.lit(newline_id), upto + 1).otherwise(upto)
+        upto = F.when(F.try_element_at(ids, upto + 1) == F.lit(newline_id), upto + 1).otherwise(upto)
     return F.when(start == 0, F.transform(ids, lambda x: F.lit(IGNORE_INDEX))) \
         .otherwise(F.transform(ids, lambda x, i: F.when(i < upto, F.lit(IGNORE_INDEX)).otherwise(x)))
 

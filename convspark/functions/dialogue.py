@@ -66,12 +66,12 @@ def item_from_map(m) -> Column:
     m = _c(m)
     text = F.lit(None).cast("string")
     for k in reversed(TEXT_KEYS):
-        text = F.when(F.map_contains_key(m, k), F.element_at(m, F.lit(k))).otherwise(text)
-    first_val = F.element_at(F.filter(F.map_values(m), lambda v: v.isNotNull()), 1)
+        text = F.when(F.map_contains_key(m, k), F.try_element_at(m, F.lit(k))).otherwise(text)
+    first_val = F.try_element_at(F.filter(F.map_values(m), lambda v: v.isNotNull()), F.lit(1))
     text = F.coalesce(text, first_val, F.lit(""))
     role = F.lit(None).cast("string")
     for k in reversed(ROLE_KEYS):
-        role = F.when(F.map_contains_key(m, k), F.element_at(m, F.lit(k))).otherwise(role)
+        role = F.when(F.map_contains_key(m, k), F.try_element_at(m, F.lit(k))).otherwise(role)
     return _turn(normalize_role(role), text)
 
 

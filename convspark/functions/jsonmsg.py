@@ -62,7 +62,7 @@ def completion_content(response) -> Column:
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     choices = F.try_variant_get(v, "$.choices", "variant")
     carr = F.try_variant_get(choices, "$", "array<variant>")
-    first = F.element_at(carr, 1)
+    first = F.try_element_at(carr, F.lit(1))
     content = F.try_variant_get(first, "$.message.content", "string")
     has_content = F.try_variant_get(first, "$.message.content", "variant").isNotNull()
     err = (F.when(v.isNull(), F.lit("Invalid JSON returned by server"))

@@ -26,9 +26,9 @@ def end_check_prompts(turns: DataFrame, tail: int = END_CHECK_TAIL,
                       include_current=False, block=block)
     users = framed.filter(F.col("role") == "user")
     labels = F.create_map(*[x for k, v in END_CHECK_SPEAKERS.items() for x in (F.lit(k), F.lit(v + ": "))])
-    shown = F.filter("tail", lambda m: F.element_at(labels, m["role"]).isNotNull())
+    shown = F.filter("tail", lambda m: F.try_element_at(labels, m["role"]).isNotNull())
     body = F.array_join(F.transform(shown, lambda m: F.concat(
-        F.element_at(labels, m["role"]), py_strip(m["text"]), F.lit("\n"))), "")
+        F.try_element_at(labels, m["role"]), py_strip(m["text"]), F.lit("\n"))), "")
     return users.select("conv_id", "turn", F.concat(F.lit(END_CHECK_HEADER), body).alias("prompt"))
 
 

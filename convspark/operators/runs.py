@@ -53,7 +53,7 @@ def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind
     e = dense_position(e, ["process"], ["ts", "tie"], F.floor(_micros("ts") / F.lit(DAY_MICROS)), out="pos")
     framed = lookback(e, ["process"], "pos", 1, ["pos", "kind", "ts"], out="prev", include_current=False)
     ends = framed.filter(F.col("kind") == "end")
-    prev = F.element_at("prev", -1)
+    prev = F.try_element_at("prev", F.lit(-1))
     paired = (F.size("prev") == 1) & (prev["kind"] == "start")
     start = F.when(paired, prev["ts"])
     secs = (_micros("ts") - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)

@@ -45,7 +45,7 @@ def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
                       out="frame", block=block)
     n = F.size("frame")
     targets = framed.filter((F.col("role") == "assistant") & (n >= 2)
-                            & (F.element_at("frame", -2)["role"] == "user"))
+                            & (F.try_element_at("frame", F.lit(-2))["role"] == "user"))
     out = targets.select("conv_id", "turn", "frame",
                          F.explode(F.array(*[F.lit(int(w)) for w in sorted(set(windows))]))
                          .alias("window_size"))
@@ -53,7 +53,7 @@ def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
     ctx = F.slice("frame", -k, k)
     body = F.transform(F.slice(ctx, 1, k - 1),
                        lambda m: _msg(sample_role(m["role"]), py_strip(m["text"])))
-    target = _msg(F.lit("assistant"), py_strip(F.element_at(ctx, -1)["text"]))
+    target = _msg(F.lit("assistant"), py_strip(F.try_element_at(ctx, F.lit(-1))["text"]))
     messages = F.concat(F.array(_msg(F.lit("system"), F.lit(system_prompt))), body,
                         F.array(target)).cast(MSG)
     return out.select("conv_id", "turn", "window_size", messages.alias("messages"))
@@ -98,7 +98,7 @@ def inference_contexts(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) ->
 
 def prompt_target(samples: DataFrame) -> DataFrame:
     """Last assistant message is the target; the rest is the prompt."""
-    last = F.element_at("messages", -1)
+    last = F.try_element_at("messages", F.lit(-1))
     is_asst = (F.size("messages") > 0) & (last["role"] == "assistant")
     return samples.withColumn("prompt_messages",
                               F.when(is_asst, F.slice("messages", 1, F.size("messages") - 1))

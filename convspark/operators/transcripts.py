@@ -26,7 +26,7 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     """K1 rows: drop system/unknown roles (F7), speaker label, cleaned text (X7),
     and the ``'Speaker: text\\n\\n'`` line that the transcript file is made of."""
     speakers = F.create_map(*[x for k, v in TRANSCRIPT_SPEAKERS.items() for x in (F.lit(k), F.lit(v))])
-    t = turns.withColumn("speaker", F.element_at(speakers, F.col("role"))) \
+    t = turns.withColumn("speaker", F.try_element_at(speakers, F.col("role"))) \
         .filter(F.col("speaker").isNotNull())
     t = with_clean_text(t, "text", "clean")
     return t.withColumn("line", F.concat("speaker", F.lit(": "), "clean", F.lit("\n\n")))

@@ -29,13 +29,13 @@ def profile_rows(spark, sf_dir):
     sev = F.array(*[F.lit(s) for s in _SEV])
 
     def sev_of(i):
-        return F.element_at(sev, ((k + i) % 5 + 1).cast("int"))
+        return F.try_element_at(sev, ((k + i) % 5 + 1).cast("int"))
 
     profile = F.struct(
         F.col("c_name").alias("name"), (F.lit(20) + k % 50).cast("string").alias("age"),
         F.when(k % 3 == 0, "Female").when(k % 3 == 1, "Male").otherwise("Not specified").alias("gender"),
         F.col("c_mktsegment").alias("occupation"),
-        F.element_at(F.array(*[F.lit(x) for x in ["Married", "Single", "Unknown", "N/A"]]),
+        F.try_element_at(F.array(*[F.lit(x) for x in ["Married", "Single", "Unknown", "N/A"]]),
                      (F.col("c_nationkey") % 4 + 1).cast("int")).alias("marital status"),
         F.concat(F.lit("Lives in "), F.coalesce("n_name", F.lit("nowhere"))).alias("situation of the client"),
         F.when(F.col("c_acctbal") > 5000, "Had CBT Before").otherwise("Cannot be determined")

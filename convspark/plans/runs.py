@@ -128,7 +128,7 @@ FROM grid g GROUP BY g.experiment"""
 def grid_coverage(spark, sf_dir):
     names = F.array(*[F.lit(e) for e, _, _ in EXPERIMENTS])
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
-    done = ev.select(F.element_at(names, (F.col("user_id") % _N_EXP + 1).cast("int")).alias("experiment"),
+    done = ev.select(F.try_element_at(names, (F.col("user_id") % _N_EXP + 1).cast("int")).alias("experiment"),
                      F.col("user_id").alias("profile_id"),
                      (F.col("event_id") % NUM_PROFILE_REPEATS).alias("repeat"))
     return R.coverage(_grid(spark, sf_dir), done).select("experiment", "n_planned", "n_missing", "n_done")

@@ -139,7 +139,7 @@ FROM (SELECT {_MODEL_SQL} AS model, * FROM usage) x GROUP BY model"""
 @register("truncation_rate", _TRUNC_SQL)
 def truncation_rate(spark, sf_dir):
     u = request_usage(turns(spark, sf_dir), 5)
-    model = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("conv_id") % 3 + 1).cast("int"))
+    model = F.try_element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("conv_id") % 3 + 1).cast("int"))
     g = C.generation_flags(F.col("prompt_tokens") + F.col("completion_tokens"), "prompt_tokens",
                            F.lit(JUDGE_MAX_NEW_TOKENS))
     u = u.select(model.alias("model"), "prompt_tokens", g["generated_tokens"].alias("gen"),
