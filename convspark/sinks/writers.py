@@ -19,7 +19,9 @@ def write_transcripts(turns: DataFrame, out: str, stamp_col: str = "ts") -> None
     docs = render_dialogue(lines, F.col("line"), "", out="transcript")
     named = docs.join(keys, "conv_id").select(
         "experiment", F.concat(F.lit("conversation_profile"), F.col("profile_id").cast("string"), F.lit("_"),
-                               file_stamp(stamp_col)).alias("conversation"), "transcript")
+                               file_stamp(stamp_col)).alias("conversation"),
+        # the text writer ends every value with "\n"; drop one so files end in exactly "\n\n"
+        F.regexp_replace("transcript", "\n$", "").alias("transcript"))
     named.write.mode("overwrite").partitionBy("experiment", "conversation").text(out)
 
 

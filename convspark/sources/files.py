@@ -30,13 +30,17 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     raw = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
            .text(root, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("transcript")))
-    name = F.regexp_extract("file", "([^/]+)$", 1)
+    # plain layout: <experiment>/conversation_profile<id>_<stamp>.txt; our writer's
+    # layout: experiment=<e>/conversation=conversation_profile<id>_<stamp>/part-*.txt
     parent = F.regexp_extract("file", "([^/]+)/[^/]+$", 1)
-    stamp = F.regexp_extract(name, NAME_RE, 2)
+    grand = F.regexp_extract("file", "([^/]+)/[^/]+/[^/]+$", 1)
+    experiment = F.when(parent.startswith("conversation="), F.regexp_replace(grand, "^experiment=", "")) \
+        .otherwise(parent)
+    stamp = F.regexp_extract("file", NAME_RE, 2)
     return raw.select(
-        "file", parent.alias("experiment"),
-        F.expr(f"try_cast(nullif(regexp_extract(regexp_extract(file, '([^/]+)$', 1), '{NAME_RE}', 1), '') as int)")
-        .alias("profile_id"),
+        "file", experiment.alias("experiment"),
+        F.when(F.regexp_extract("file", NAME_RE, 1) != "", F.regexp_extract("file", NAME_RE, 1))
+        .cast("int").alias("profile_id"),
         F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyyMMdd'T'HHmmss")).alias("ts"),
         "transcript")
 
@@ -44,7 +48,7 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
 def transcript_turns(docs: DataFrame, text_col: str = "transcript") -> DataFrame:
     """S3: 'Speaker: text\\n\\n' blocks -> turn rows (``turn`` dense from 0, role mapped back)."""
     blocks = docs.select("*", F.posexplode(F.split(F.col(text_col), "\n\n")).alias("_i", "_b")) \
-        .filter(F.col("_b") != "").drop(text_col)
+        .filter(F.trim(F.col("_b"), F.lit("\n")) != "").drop(text_col)
     spk = F.regexp_extract("_b", TRANSCRIPT_TURN_RE, 1)
     parsed = blocks.withColumn("speaker", F.when(spk != "", spk)) \
         .withColumn("text", F.when(spk != "", F.regexp_extract("_b", TRANSCRIPT_TURN_RE, 2)).otherwise(F.col("_b")))
