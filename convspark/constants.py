@@ -128,8 +128,14 @@ def java_class(chars: str) -> str:
     return "".join(out)
 
 
+# Explicit classes (valid in Java and RE2 alike) — used by the SQL oracles.
 WS_CLASS = "[" + java_class(PY_WHITESPACE) + "]"
 NON_WS_CLASS = "[^" + java_class(PY_WHITESPACE) + "]"
+# Compact Java forms of the same sets: with the (?U) flag Java's \s is the Unicode
+# White_Space property, which plus \x1c-\x1f is exactly Python's whitespace.  One
+# property test per char instead of a 30-way union: ~4x faster on long texts.
+J_WS = "[\\s\\x{1c}-\\x{1f}]"
+J_NON_WS = "[^\\s\\x{1c}-\\x{1f}]"
 LINE_BREAK_RE = "\\r\\n|[" + java_class(PY_LINE_BREAKS) + "]"
 
 # ---------------------------------------------------------------- fixed values (profiles)

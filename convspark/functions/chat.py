@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import IGNORE_INDEX, IM_END, IM_START, MAX_SEQ_LENGTH, NON_WS_CLASS
+from ..constants import IGNORE_INDEX, IM_END, IM_START, J_NON_WS, MAX_SEQ_LENGTH
 from .text import _c
 
 
@@ -20,7 +20,7 @@ def chat_text(messages, add_generation_prompt: bool = False) -> Column:
 
 def whitespace_tokens(c) -> Column:
     """U-4 default tokenizer: whitespace words (as the usage accounting counts them)."""
-    return F.regexp_extract_all(_c(c), F.lit(f"({NON_WS_CLASS}+)"), 1)
+    return F.regexp_extract_all(_c(c), F.lit(f"(?U)({J_NON_WS}+)"), 1)
 
 
 def token_ids(tokens) -> Column:
@@ -53,8 +53,11 @@ def loss_labels(ids, marker, newline_id=None) -> Column:
     upto = start + F.size(marker) - 1  # number of masked leading tokens (1-based end)
     if newline_id is not None:
         upto = F.when(F.try_element_at(ids, upto + 1) == F.lit(newline_id), upto + 1).otherwise(upto)
-    return F.when(start == 0, F.transform(ids, lambda x: F.lit(IGNORE_INDEX))) \
-        .otherwise(F.transform(ids, lambda x, i: F.when(i < upto, F.lit(IGNORE_INDEX)).otherwise(x)))
+    # no per-element lambda: the mask boundary is computed once per row, then
+    # labels = [-100] * upto ++ ids[upto:]
+    upto = F.when(start == 0, F.size(ids)).otherwise(upto).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), upto),
+                    F.slice(ids, upto + 1, F.greatest(F.size(ids) - upto, F.lit(0))))
 
 
 def token_budget(n_tokens, ctx: int = MAX_SEQ_LENGTH) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import PANAS_FEELINGS, WS_CLASS
+from ..constants import J_WS, PANAS_FEELINGS
 from .text import _c, py_strip
 
 # Fixed patterns: leading "<number> , <explanation>", else the first number anywhere.
 NUMBER = "([0-9]+(?:\\.[0-9]+)?)"
-LEAD_RE = f"(?s)^{WS_CLASS}*{NUMBER}{WS_CLASS}*,{WS_CLASS}*(.*)"
+LEAD_RE = f"(?sU)^{J_WS}*{NUMBER}{J_WS}*,{J_WS}*(.*)"
 
 
 def parse_score(c) -> Column:
@@ -34,8 +34,8 @@ def parse_score(c) -> Column:
 
 # PANAS lines: "feeling, score, explanation" (example order) or
 # "feeling, explanation, score" (instruction order) — both accepted (Q20).
-PANAS_A = f"^{WS_CLASS}*([A-Za-z]+){WS_CLASS}*,{WS_CLASS}*([1-5]){WS_CLASS}*(?:,(.*))?$"
-PANAS_B = f"^{WS_CLASS}*([A-Za-z]+){WS_CLASS}*,(.*),{WS_CLASS}*([1-5]){WS_CLASS}*$"
+PANAS_A = f"(?U)^{J_WS}*([A-Za-z]+){J_WS}*,{J_WS}*([1-5]){J_WS}*(?:,(.*))?$"
+PANAS_B = f"(?U)^{J_WS}*([A-Za-z]+){J_WS}*,(.*),{J_WS}*([1-5]){J_WS}*$"
 
 
 def parse_panas(c) -> Column:

@@ -10,9 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import (CLEAN_REPLACEMENTS, NON_WS_CLASS, ROLE_EXACT_ASSISTANT,
-                         ROLE_EXACT_USER, ROLE_SUBSTR_ASSISTANT, ROLE_SUBSTR_USER,
-                         WS_CLASS)
+from ..constants import (CLEAN_REPLACEMENTS, J_NON_WS, PY_WHITESPACE, ROLE_EXACT_ASSISTANT,
+                         ROLE_EXACT_USER, ROLE_SUBSTR_ASSISTANT, ROLE_SUBSTR_USER)
 
 
 def _c(c) -> Column:
@@ -21,12 +20,12 @@ def _c(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace incl. \\x1c-\\x1f on both ends (Q2)."""
-    return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def word_count(c) -> Column:
     """``len(str(x).split())`` — whitespace word count; 0 for empty, null stays null."""
-    return F.regexp_count(_c(c), F.lit(f"{NON_WS_CLASS}+")).cast("long")
+    return F.regexp_count(_c(c), F.lit(f"(?U){J_NON_WS}+")).cast("long")
 
 
 def normalize_role(c) -> Column:
@@ -130,7 +129,13 @@ def strip_tags_generation(c) -> Column:
     s = F.regexp_replace(_c(c), "(?s)<think>.*?</think>", "")
     s = F.regexp_replace(s, "(?s)<tool_call>.*?</tool_call>", "")
     s = F.regexp_replace(s, "</?(think|tool_call)[^>]*>", "")
-    return py_strip(s)
+    return py_strip(_if_tagged(c, s))
+
+
+def _if_tagged(c, cleaned: Column) -> Column:
+    """Run the regex chain only on texts that can hold a tag (two substring probes)."""
+    c = _c(c)
+    return F.when(c.contains("think") | c.contains("tool_call"), cleaned).otherwise(c)
 
 
 def strip_tags_dataset(c) -> Column:
@@ -138,7 +143,7 @@ def strip_tags_dataset(c) -> Column:
     s = F.regexp_replace(_c(c), "(?s)<think>.*?</think>\\n*", "")
     s = F.regexp_replace(s, "(?s)<tool_call>.*?</tool_call>\\n*", "")
     s = F.regexp_replace(s, "</?(think|tool_call)[^>]*>\\n*", "")
-    return py_strip(s)
+    return py_strip(_if_tagged(c, s))
 
 
 # ---------------------------------------------------------------- misc scalars
