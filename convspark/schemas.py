@@ -1,4 +1,4 @@
-"""Declared schemas for the reference's data shapes."""
+"""Declared schemas for the corpus data shapes."""
 
 from pyspark.sql import types as T
 

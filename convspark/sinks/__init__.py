@@ -1 +1 @@
-"""Writers for the reference's output products (K1-K7)."""
+"""Writers for the corpus output products (K1-K7)."""
