@@ -162,3 +162,34 @@ ORDER BY pt.conv_id, pt.turn LIMIT {_PICK_N}"""
 def eval_pick(spark, sf_dir):
     picked = S.prompt_target(S.eval_pick(_samples5(spark, sf_dir), _PICK_N, window_size=5))
     return picked.select("conv_id", "turn", C.chat_text("prompt_messages", True).alias("prompt"), "target")
+
+
+# ---------------------------------------------------------------- K6 / A5 per window and split
+
+def _sft_meta_sql():
+    from .splits import _SPLIT_CTE
+    msgs = " UNION ALL ".join(f"SELECT * FROM ({_sft_window_sql(w)}) m{w}" for w in (1, 2, 5))
+    return f"""WITH {_SPLIT_CTE},
+m AS ({msgs}),
+c AS (SELECT conv_id, turn, window_size,
+             {_tags_sql(f"string_agg({_MSG_SQL}, '' ORDER BY pos)", True)} AS text
+      FROM m GROUP BY conv_id, turn, window_size),
+lens AS (SELECT c.window_size, sp.split, {words('c.text')} AS n FROM c JOIN sp ON sp.conv_id = c.conv_id)
+SELECT window_size, split, count(*) AS num_examples, min(n) AS min_len, max(n) AS max_len,
+       avg(n) AS mean_len, median(n) AS median_len,
+       count(*) FILTER (WHERE n > {MAX_SEQ_LENGTH}) AS n_over_max
+FROM lens GROUP BY window_size, split"""
+
+
+@register("sft_metadata", _sft_meta_sql())
+def sft_metadata(spark, sf_dir):
+    from ..operators.split import split_ids
+    t = turns(spark, sf_dir)
+    s = S.sft_samples(S.normalized_turns(t), [1, 2, 5])
+    s = s.join(split_ids(t.select("conv_id")), "conv_id")
+    txt = s.select("window_size", "split", word_count(strip_tags_dataset(C.chat_text("messages"))).alias("n"))
+    L = F.col("n")
+    return txt.groupBy("window_size", "split").agg(
+        F.count(F.lit(1)).alias("num_examples"), F.min(L).alias("min_len"), F.max(L).alias("max_len"),
+        F.avg(L).alias("mean_len"), F.median(L).alias("median_len"),
+        F.count_if(L > MAX_SEQ_LENGTH).alias("n_over_max"))
