@@ -23,12 +23,48 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), text.alias("text"))
 
 
+LABEL_MAX = 50
+# Private-use character marking label positions; texts holding it take the regex path.
+_SEP = "\ue000"
+
+
+def _label_of(segment: Column) -> Column:
+    """Label ending at the colon that follows ``segment``: the last (at most 50)
+    characters after the segment's last newline; '' when there is none."""
+    cand = F.substring_index(segment, "\n", -1)
+    n = F.length(cand)
+    return F.when(n > LABEL_MAX, F.substring(cand, n - (LABEL_MAX - 1), LABEL_MAX)).otherwise(cand)
+
+
+def _labels_linear(s: Column):
+    """(labels, pieces) of the label scan in one linear pass over the colons.
+
+    A label can only end at a colon and cannot contain a colon or newline, so the
+    leftmost lazy match for each colon is exactly ``_label_of`` the text between it
+    and the previous colon.  Splitting on ':' once replaces the per-position
+    50-character regex probe.  ``s + '\n'`` makes the last segment label-free.
+    """
+    segs = F.split(F.concat(s, F.lit("\n")), ":", -1)
+    labels = F.filter(F.transform(segs, _label_of), lambda x: x != "")
+
+    def emit(g):
+        lab = _label_of(g)
+        return F.concat(F.substring(g, F.lit(1), F.length(g) - F.length(lab)),
+                        F.when(lab != "", F.lit(_SEP)).otherwise(F.lit(":")))
+
+    joined = F.array_join(F.transform(segs, emit), "")
+    body = F.substring(joined, F.lit(1), F.length(joined) - 2)  # drop the added "\n" and ':'
+    return labels, F.split(body, _SEP, -1)
+
+
 def parse_labelled(c) -> Column:
     """X2: 'Speaker: text' runs. Labels may sit anywhere (Q5); text before the
     first label is dropped; empty texts are dropped."""
     s = _c(c)
-    labels = F.regexp_extract_all(s, F.lit(LABEL_RE), 1)
-    pieces = F.split(s, LABEL_SPLIT_RE, -1)
+    fast_labels, fast_pieces = _labels_linear(s)
+    use_regex = s.contains(_SEP)
+    labels = F.when(use_regex, F.regexp_extract_all(s, F.lit(LABEL_RE), 1)).otherwise(fast_labels)
+    pieces = F.when(use_regex, F.split(s, LABEL_SPLIT_RE, -1)).otherwise(fast_pieces)
     texts = F.slice(pieces, 2, F.size(labels))
     zipped = F.arrays_zip(labels.alias("label"), texts.alias("body"))
     turns = F.transform(zipped, lambda z: _turn(normalize_role(py_strip(z["label"])),
@@ -56,7 +92,7 @@ def parse_dialogue_text(c) -> Column:
     s = _c(c)
     empty = F.array().cast("array<struct<role:string,text:string>>")
     return (F.when(s.isNull(), empty)
-            .when(s.rlike(LABEL_SPLIT_RE), parse_labelled(s))
+            .when(F.size(_labels_linear(s)[0]) > 0, parse_labelled(s))
             .otherwise(parse_lines(s)))
 
 

@@ -95,7 +95,7 @@ def test_parse_score(spark):
 
 DIALOGUES = ["T: hi\nC: hello\nT: one thing: focus", "preamble\nTherapist: a\nClient: b",
              "x" * 70 + " 10:30", "::a: b", "a:b:c:", "", " : x",
-             "A - x\nB\ty\nplain line\n\n\r\nClient - z", "Client - a\r\nTherapist - b"]
+             "A - x\nB\ty\nplain line\n\n\r\nClient - z", "Client - a\r\nTherapist - b", "a\ue000b: c"]
 
 
 def test_dialogue_text(spark):
@@ -103,6 +103,15 @@ def test_dialogue_text(spark):
     assert [[(t["role"], t["text"]) for t in g] for g in got] == [dialogue_model(s) for s in DIALOGUES]
 
 
+def test_dialogue_text_fuzz(spark):
+    import random
+    rnd = random.Random(5)
+    alphabet = ["a", "b", " ", ":", "\n", "x" * 30, "\r", "Client", "T", "::"]
+    vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25))) for _ in range(300)]
+    got = one_col(spark, vals, D.parse_dialogue_text("v"))
+    assert [[(t["role"], t["text"]) for t in g] for g in got] == [dialogue_model(s) for s in vals]
+
+
 def test_dialogue_items(spark):
     # maps built with create_map keep key order (Python dicts may not survive as ordered maps)
     df = spark.sql("""SELECT m FROM VALUES
