@@ -119,7 +119,8 @@ def with_clean_text(df: DataFrame, text_col: str, out: str) -> DataFrame:
     pre = df.withColumn("_pre", _pre_clean(text_col))
     non_ascii = F.col("_pre").rlike("[^\\x00-\\x7F]")
     ascii_rows = pre.filter(~non_ascii | F.col("_pre").isNull()).withColumn(out, _post_clean("_pre"))
-    other = pre.filter(non_ascii).withColumn(out, _post_clean(nfkd_ascii("_pre")))
+    from ..session import spread
+    other = spread(pre.filter(non_ascii)).withColumn(out, _post_clean(nfkd_ascii("_pre")))
     return ascii_rows.unionByName(other).drop("_pre")
 
 

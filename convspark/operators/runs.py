@@ -22,18 +22,19 @@ def experiments_frame(spark: SparkSession) -> DataFrame:
 def run_grid(experiments: DataFrame, profiles: DataFrame, repeats: int = NUM_PROFILE_REPEATS) -> DataFrame:
     """Experiments x profiles x repeat.  The experiment side is a fixed 14-row
     table (broadcast); the profile side is whatever profile table is given."""
+    from ..session import spread
     rep = profiles.sparkSession.range(repeats).select(F.col("id").alias("repeat"))
-    return profiles.select("profile_id").crossJoin(F.broadcast(experiments)).crossJoin(F.broadcast(rep))
+    return spread(profiles.select("profile_id")).crossJoin(F.broadcast(experiments)).crossJoin(F.broadcast(rep))
 
 
 def coverage(grid: DataFrame, done: DataFrame, keys=("experiment", "profile_id", "repeat")) -> DataFrame:
     """Planned runs per experiment, done, and missing (left anti join)."""
     keys = list(keys)
-    missing = grid.join(done.select(*keys).distinct(), keys, "left_anti")
-    planned = grid.groupBy("experiment").agg(F.count(F.lit(1)).alias("n_planned"))
-    miss = missing.groupBy("experiment").agg(F.count(F.lit(1)).alias("n_missing"))
-    return planned.join(miss, "experiment", "left").fillna(0, ["n_missing"]) \
-        .withColumn("n_done", F.col("n_planned") - F.col("n_missing"))
+    # one pass over the grid: left join the (deduplicated) done runs, count the gaps
+    flagged = grid.join(done.select(*keys).distinct().withColumn("_done", F.lit(True)), keys, "left")
+    return flagged.groupBy("experiment").agg(
+        F.count(F.lit(1)).alias("n_planned"), F.count_if(F.col("_done").isNull()).alias("n_missing"),
+        F.count_if(F.col("_done")).alias("n_done"))
 
 
 def _micros(c):

@@ -78,6 +78,9 @@ def run_model(df: DataFrame, prompt_col: str, factory: ModelFactory, out: str =
     """
     if partitions:
         df = df.repartition(partitions)
+    else:
+        from ..session import spread
+        df = spread(df, per_core=2)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField(f"{out}_error", T.StringType())])
 

@@ -11,6 +11,7 @@ from ..constants import (COGNITIVE_MODEL_FIELDS, PROFILE_BLANK_EXACT, PROFILE_BL
 from ..functions.prompts import _SLOT
 from ..operators import profiles as PR
 from ..sources.tables import table
+from ..session import spread
 from .registry import register
 from .sqlbits import in_list, q, strip, words
 
@@ -24,7 +25,7 @@ def profile_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal",
                                                 "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = c.join(n, c.c_nationkey == n.n_nationkey, "left")
+    j = spread(c).join(n, c.c_nationkey == n.n_nationkey, "left")
     k = F.col("c_custkey")
     sev = F.array(*[F.lit(s) for s in _SEV])
 

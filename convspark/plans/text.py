@@ -10,6 +10,7 @@ from ..functions.scores import parse_score
 from ..functions.text import strip_tags_dataset, strip_tags_generation
 from ..operators.transcripts import labelled_rows_to_turns, render_dialogue, transcript_lines
 from ..sources.tables import table, turns
+from ..session import spread
 from .registry import register
 from .sqlbits import norm_role, strip
 
@@ -191,7 +192,7 @@ SELECT doc_id, {_tags_sql('raw', False)} AS gen_text, {_tags_sql('raw', True)} A
 
 @register("strip_tags", _TAGS_SQL)
 def strip_tags(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     w = d.select("doc_id", _wrap(d).alias("raw"))
     return w.select("doc_id", strip_tags_generation("raw").alias("gen_text"),
                     strip_tags_dataset("raw").alias("data_text"))
@@ -226,7 +227,7 @@ FROM s
 def judge_reply_fixture(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = lab.join(doc, "doc_id")
+    j = spread(lab.join(doc, "doc_id"))
     k = F.col("doc_id") % 5
     q = F.col("quality")
     reply = (F.when(k == 0, F.concat((q * 3).cast("string"), F.lit(", "), "text"))

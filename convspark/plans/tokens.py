@@ -10,6 +10,7 @@ from ..functions.text import strip_tags_dataset, window_size_from_model, word_co
 from ..operators import samples as S
 from ..operators.tokens import length_stats, request_usage
 from ..sources.tables import table, turns
+from ..session import spread
 from .registry import register
 from .sft import _sft_window_sql
 from .sqlbits import NON_WS_CLASS, q, words
@@ -79,7 +80,7 @@ FROM d GROUP BY lang"""
 
 @register("token_stats", _STATS_SQL)
 def token_stats(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", word_count("text").alias("n"))
+    d = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", word_count("text").alias("n"))
     return length_stats(d, "n", ["lang"])
 
 

@@ -68,3 +68,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
+    """Round-robin ``df`` over every core when it has fewer partitions than cores.
+
+    For CPU-heavy row work (regex cleaning, prompt rendering, model calls) on an
+    input that arrives in a few large splits.  A big input already has more
+    partitions than cores and is returned unchanged, so no shuffle is added at
+    scale.  Looking at the partition count only plans the scan; it runs no job.
+    """
+    if df.isStreaming:
+        return df  # micro-batches are sized by the source options instead
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
