@@ -90,6 +90,19 @@ def nfkd_ascii(c) -> Column:
     return _NFKD(_c(c))
 
 
+def pandas_token_counter(encode):
+    """U-4: wrap any tokenizer ``encode(text) -> ids`` as an Arrow pandas UDF that
+    returns the token count.  The default everywhere is the JVM-side whitespace
+    count (``word_count``), which needs no Python."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else len(encode(x))).astype("Int64")
+
+    return lambda c: count(_c(c))
+
+
 def _pre_clean(c) -> Column:
     src = "".join(CLEAN_REPLACEMENTS.keys())
     dst = "".join(CLEAN_REPLACEMENTS.values())

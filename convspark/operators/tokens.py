@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_SEQ_LENGTH
-from ..functions.text import word_count
+from ..functions.text import pandas_token_counter, word_count  # noqa: F401 (U-4 re-export)
 from .ordered import DEFAULT_BLOCK, lookback
 
 
-def pandas_token_counter(encode: Callable[[str], list]) -> Callable[[Column], Column]:
-    """U-4: wrap any tokenizer ``encode(text) -> ids`` as an Arrow pandas UDF
-    returning the token count.  The default everywhere is the JVM-side
-    whitespace count (``word_count``), which needs no Python."""
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def count(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else len(encode(x)))
-
-    return lambda c: count(F.col(c) if isinstance(c, str) else c)
-
-
 def length_stats(df: DataFrame, length_col: str, group_cols=(), limit_over: int = MAX_SEQ_LENGTH,
                  sample_limit: int | None = None, order_cols=()) -> DataFrame:
     """A5: count, min, max, mean, median and number over the context per group.

@@ -62,3 +62,16 @@ def score_rollup(spark, sf_dir):
     s = judged(spark, sf_dir).withColumn(
         "experiment", F.concat(F.lit("exp_"), (F.col("conv_id") % 3).cast("string")))
     return J.experiment_rollup(s)
+
+
+_PIVOT_SQL = f"""WITH {_JUDGE_CTE}
+SELECT 'exp_' || CAST(conv_id % 3 AS VARCHAR) AS experiment,
+       {", ".join(f"avg(score) FILTER (WHERE metric = {q(m)}) AS {m}" for m in sorted(J.DEFAULT_TEMPLATES))}
+FROM js GROUP BY 1"""
+
+
+@register("score_pivot", _PIVOT_SQL)
+def score_pivot(spark, sf_dir):
+    s = judged(spark, sf_dir).withColumn(
+        "experiment", F.concat(F.lit("exp_"), (F.col("conv_id") % 3).cast("string")))
+    return J.experiment_pivot(s, sorted(J.DEFAULT_TEMPLATES))

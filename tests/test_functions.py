@@ -165,3 +165,10 @@ def test_elapsed_hms(spark):
 def test_verdict(spark):
     vals = ["Yes.", "yes", "YES", "no", "yesterday"]
     assert one_col(spark, vals, verdict_yes("v")) == [("Yes" in v or "yes" in v) for v in vals]
+
+
+def test_pluggable_token_counter(spark):
+    from convspark.operators.tokens import pandas_token_counter
+    count = pandas_token_counter(lambda s: s.split())
+    vals = ["a b  c", "", " x\ty ", None]
+    assert one_col(spark, vals, count("v")) == [3, 0, 2, None]
