@@ -68,13 +68,16 @@ ModelFactory = Callable[[], Callable[[str], str]]
 
 
 def run_model(df: DataFrame, prompt_col: str, factory: ModelFactory, out: str = "reply",
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, checkpoint: bool = False) -> DataFrame:
     """U-1/U-2/U-3: apply a user model to every prompt, in parallel.
 
     ``factory()`` is called once per task (model load reused across prompts);
     the returned callable maps one prompt to one string.  A failing call yields
     ``''`` and the error text in ``<out>_error`` (the evaluation keeps going).
     ``partitions`` spreads prompts by count: model latency, not bytes, dominates.
+    ``checkpoint=True`` writes the replies once to the shared checkpoint folder
+    (reliable ``checkpoint``): a sampling model is not deterministic, so a lost
+    executor must not make Spark call it again for rows already scored.
     """
     if partitions:
         df = df.repartition(partitions)
@@ -100,7 +103,11 @@ def run_model(df: DataFrame, prompt_col: str, factory: ModelFactory, out: str =
             pdf[f"{out}_error"] = errors
             yield pdf
 
-    return df.mapInPandas(apply, schema)
+    replies = df.mapInPandas(apply, schema)
+    if checkpoint:
+        from ..session import cut_lineage
+        replies = cut_lineage(replies)
+    return replies
 
 
 def word_count_judge() -> Callable[[str], str]:

@@ -106,3 +106,43 @@ LEFT JOIN sys ON sys.conv_id = u.conv_id
 @register("inference_context", _INFER_SQL)
 def inference_context(spark, sf_dir):
     return S.explode_messages(S.inference_contexts(turns(spark, sf_dir), _INFER_W))
+
+
+# ---------------------------------------------------------------- A7 stage counts
+
+_STAGES_SQL = f"""
+WITH t AS (SELECT conv_id, turn, {norm_role('role')} AS role FROM conversations),
+g AS (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role, turn FROM t),
+pairs AS (SELECT count(*) FILTER (WHERE role = 'assistant' AND prev_role = 'user') AS n FROM g),
+full5 AS (SELECT count(*) FILTER (WHERE role = 'assistant' AND prev_role = 'user' AND turn >= 5) AS n FROM g),
+q AS (SELECT count(*) AS n_in, count(*) FILTER (WHERE l.quality = 1) AS n_out
+      FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+SELECT 'quality_filter' AS stage, q.n_in, q.n_out FROM q
+UNION ALL SELECT 'samples_w' || CAST(w AS VARCHAR), (SELECT count(*) FROM conversations), pairs.n
+          FROM pairs, (VALUES (1), (2), (5)) v(w)
+UNION ALL SELECT 'full_windows_w5', pairs.n, full5.n FROM pairs, full5
+"""
+
+
+@register("stage_counts", _STAGES_SQL)
+def stage_counts(spark, sf_dir):
+    """Rows in and out of each preparation stage, counted in one pass per stage."""
+    from ..operators.tokens import quality_keep
+    from ..sources.tables import table
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    doc = table(spark, sf_dir, "documents").select("doc_id")
+    rows = lab.join(doc, "doc_id").withColumn(
+        "mi_quality", F.when(F.col("quality") == 1, "High").otherwise("low"))
+    kept = quality_keep(rows, observe_name=None)
+    q = rows.agg(F.count(F.lit(1)).alias("n_in")).crossJoin(kept.agg(F.count(F.lit(1)).alias("n_out"))) \
+        .select(F.lit("quality_filter").alias("stage"), "n_in", "n_out")
+    t = turns(spark, sf_dir)
+    s = S.sft_samples(S.normalized_turns(t), [1, 2, 5])
+    n_turns = t.agg(F.count(F.lit(1)).alias("n_in"))
+    per_w = s.groupBy("window_size").agg(F.count(F.lit(1)).alias("n_out")).crossJoin(n_turns) \
+        .select(F.concat(F.lit("samples_w"), F.col("window_size").cast("string")).alias("stage"), "n_in", "n_out")
+    s5 = s.filter(F.col("window_size") == 5)
+    full = s5.agg(F.count(F.lit(1)).alias("n_in"),
+                  F.count_if(F.size("messages") - 2 == F.col("window_size")).alias("n_out")) \
+        .select(F.lit("full_windows_w5").alias("stage"), "n_in", "n_out")
+    return q.unionByName(per_w).unionByName(full)

@@ -79,3 +79,18 @@ def test_split_properties(spark):
     assert got == want
     with pytest.raises(ValueError):
         SP.split_ids(ids, train_frac=1.0)
+
+
+def test_run_model_errors_and_checkpoint(spark):
+    from convspark.operators.scoring import run_model
+
+    def factory():
+        def model(p):
+            if "boom" in p:
+                raise RuntimeError("model failed")
+            return p.upper()
+        return model
+
+    df = spark.createDataFrame([("a",), ("boom",)], "prompt string")
+    out = run_model(df, "prompt", factory, checkpoint=True).orderBy("prompt").collect()
+    assert [(r.reply, r.reply_error) for r in out] == [("A", None), ("", "RuntimeError: model failed")]
