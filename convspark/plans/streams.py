@@ -103,7 +103,7 @@ def stream_scores(spark, sf_dir):
 
 _T6_SQL = """
 WITH mx AS (SELECT max(ts) AS m FROM events),
-g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, sum(value) AS total
+g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total
       FROM events GROUP BY 1, 2)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, n, total
 FROM g, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 1 HOUR"""

@@ -154,7 +154,8 @@ def windowed_usage(events: DataFrame, key: str, value: str, size: str = "1 hour"
     """Tumbling-window totals per key; rows later than the watermark are dropped."""
     return (events.withWatermark("ts", delay)
             .groupBy(F.window("ts", size).alias("w"), key)
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+            # doubles summed in arrival order: round so totals do not depend on that order
+            .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 6).alias("total"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total"))
 
 
