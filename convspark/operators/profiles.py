@@ -65,5 +65,8 @@ def patient_prompts(profiles: DataFrame, template: str = PATIENT_TEMPLATE) -> Da
 def expand_histories(prompts: DataFrame, factory: Callable, partitions: int | None = None) -> DataFrame:
     """J5 + U-2: generate a backstory from each history section and splice it in."""
     h = prompts.withColumn("history", P.history_section("prompt"))
+    if partitions is None:
+        from ..session import spread
+        h = spread(h, per_core=2)
     gen = run_model(h, "history", factory, out="backstory", partitions=partitions)
     return gen.withColumn("expanded", P.splice_history("prompt", py_strip("backstory")))

@@ -56,9 +56,16 @@ def load_templates(spark: SparkSession, folder: str) -> DataFrame:
                       pieces.alias("pieces"))
 
 
-def render_prompts(docs: DataFrame, templates: DataFrame, text_col: str = "transcript") -> DataFrame:
+def render_prompts(docs: DataFrame, templates: DataFrame, text_col: str = "transcript",
+                   partitions: int | None = None) -> DataFrame:
     """J1 + X11: every document x every template (broadcast nested loop; the
-    template side is a handful of rows whose size does not grow with data)."""
+    template side is a handful of rows whose size does not grow with data).
+
+    ``partitions`` round-robins the documents first, so the model calls that
+    follow run on that many tasks; documents are 1/len(templates) of the
+    prompt bytes, so this is the cheapest place to spread the work."""
+    if partitions:
+        docs = docs.repartition(partitions)
     t = F.broadcast(templates.select("metric", "pieces"))
     return docs.crossJoin(t).withColumn("prompt", F.expr(f"array_join(pieces, `{text_col}`)")) \
         .drop("pieces")
@@ -81,9 +88,6 @@ def run_model(df: DataFrame, prompt_col: str, factory: ModelFactory, out: str =
     """
     if partitions:
         df = df.repartition(partitions)
-    else:
-        from ..session import spread
-        df = spread(df, per_core=2)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()),
                                               T.StructField(f"{out}_error", T.StringType())])
 

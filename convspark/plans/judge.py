@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import scoring as J
 from ..operators.transcripts import render_dialogue, transcript_lines
 from ..sources.tables import turns
+from ..session import default_partitions
 from .registry import register
 from .sqlbits import q, words
 from .text import _CLEAN_SQL
@@ -30,7 +31,7 @@ def judged(spark, sf_dir):
     """Long score table: conv_id, metric, reply, score, explanation."""
     lines = transcript_lines(turns(spark, sf_dir))
     docs = render_dialogue(lines, F.col("line"), "", out="transcript")
-    prompts = J.render_prompts(docs, J.templates_frame(spark))
+    prompts = J.render_prompts(docs, J.templates_frame(spark), partitions=default_partitions(spark))
     replies = J.run_model(prompts, "prompt", J.word_count_judge).drop("prompt", "transcript")
     return J.score_replies(replies)
 

@@ -227,7 +227,7 @@ FROM s
 def judge_reply_fixture(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = spread(lab.join(doc, "doc_id"))
+    j = lab.join(spread(doc), "doc_id")
     k = F.col("doc_id") % 5
     q = F.col("quality")
     reply = (F.when(k == 0, F.concat((q * 3).cast("string"), F.lit(", "), "text"))
