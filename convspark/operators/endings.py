@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import (DOCTOR_INSIST, END_CHECK_HEADER, END_CHECK_SPEAKERS, END_CHECK_TAIL,
                          END_STREAK, MAX_TURNS)
 from ..functions.text import py_strip
+from ..session import cut_lineage
 from .ordered import DEFAULT_BLOCK, lookback, running
 
 
@@ -42,9 +43,10 @@ def end_streaks(checks: DataFrame, verdict: str = "verdict", block: int = DEFAUL
     yes = F.col(verdict).cast("boolean")
     c = running(checks, ["conv_id"], "turn", [("_cy", "sum", F.when(yes, 1).otherwise(0).cast("long"), True)],
                 block=block)
-    c = running(c, ["conv_id"], "turn", [("_z", "max", F.when(~yes, F.col("_cy")), True)], block=block)
+    c = running(cut_lineage(c), ["conv_id"], "turn", [("_z", "max", F.when(~yes, F.col("_cy")), True)],
+                block=block)
     streak = F.when(yes, F.col("_cy") - F.coalesce(F.col("_z"), F.lit(0))).otherwise(F.lit(0))
-    return c.withColumn("streak", streak.cast("long")).drop("_cy", "_z")
+    return cut_lineage(c.withColumn("streak", streak.cast("long")).drop("_cy", "_z"))
 
 
 def end_points(streaks: DataFrame, threshold: int = END_STREAK) -> DataFrame:

@@ -14,8 +14,10 @@ key spreads over many tasks, and stitch the blocks back together:
   so no frame straddles a block and each block is windowed independently.
 
 Earlier-block aggregates come from a ``groupBy(key, block)`` table whose size
-is rows / block_size; it is joined back on ``(key, block)``, the same keys
-the local windows are partitioned by, so the big side is not re-shuffled.
+is rows / block_size, read off the last row of each locally windowed block
+(so the input is exchanged once and that exchange is reused); it is joined
+back on ``(key, block)``, the same keys the local windows are partitioned by,
+so the big side is not re-shuffled.
 With the default block size an ordinary conversation is a single block and
 the plan reduces to the usual one-exchange, one-sort window.
 """
@@ -50,7 +52,9 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence, block_of
     d = df.withColumn("_blk", block_of.cast("long"))
     local = d.withColumn("_lrn", F.row_number().over(
         Window.partitionBy(*keys, "_blk").orderBy(*_cols(order))) - 1)
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    # block sizes come from the numbered rows themselves: both branches then share
+    # one exchange of the input (reused), instead of evaluating the input twice
+    counts = local.groupBy(*keys, "_blk").agg((F.max("_lrn") + 1).alias("_n"))
     carry = counts.select(*keys, "_blk", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
@@ -66,14 +70,16 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
     ``specs`` = [(out, op, expr, inclusive)], op in sum|max|min|count.  With
     ``inclusive=False`` the current row is left out (rows strictly before).
     """
-    base = df.withColumn("_blk", position_block(pos, block))
-    d = base
+    d = df.withColumn("_blk", position_block(pos, block))
     w_in = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     w_ex = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     for out, op, expr, inclusive in specs:
         d = d.withColumn(f"_{out}_l", _AGG[op](expr).over(w_in if inclusive else w_ex))
-    totals = base.groupBy(*keys, "_blk").agg(*[
-        _AGG[op](expr).alias(f"_{out}_t") for out, op, expr, _ in specs])
+        # the block total is the inclusive running value at the block's last row
+        d = d.withColumn(f"_{out}_i", _AGG[op](expr).over(w_in) if not inclusive else F.col(f"_{out}_l"))
+    # derived from the windowed rows, so this branch reuses the same exchange of the input
+    totals = d.groupBy(*keys, "_blk").agg(*[
+        F.max_by(f"_{out}_i", pos).alias(f"_{out}_t") for out, _, _, _ in specs])
     w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     carry_ops = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     carry = totals.select(*keys, "_blk", *[
@@ -87,7 +93,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
             val = F.greatest(car, loc)
         else:
             val = F.least(car, loc)
-        j = j.withColumn(out, val).drop(f"_{out}_l", f"_{out}_c")
+        j = j.withColumn(out, val).drop(f"_{out}_l", f"_{out}_c", f"_{out}_i")
     return j.drop("_blk")
 
 

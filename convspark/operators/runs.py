@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EARLY_STOPPING_PATIENCE, EXPERIMENTS, NUM_PROFILE_REPEATS, SAVE_TOTAL_LIMIT
 from ..functions.text import elapsed_hms, window_size_from_model
+from ..session import cut_lineage
 from .ordered import dense_position, lookback, running
 
 # Time blocks for ordering events inside one process / run: an hour per block keeps a
@@ -53,7 +54,8 @@ def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind
     """
     e = events.select(F.col(process).alias("process"), F.col(kind).alias("kind"),
                       F.col(ts).alias("ts"), F.col(tie).alias("tie"))
-    e = dense_position(e, ["process"], ["ts", "tie"], F.floor(_micros("ts") / F.lit(HOUR_MICROS)), out="pos")
+    e = cut_lineage(dense_position(e, ["process"], ["ts", "tie"],
+                                   F.floor(_micros("ts") / F.lit(HOUR_MICROS)), out="pos"))
     framed = lookback(e, ["process"], "pos", 1, ["pos", "kind", "ts"], out="prev", include_current=False)
     ends = framed.filter(F.col("kind") == "end")
     prev = F.try_element_at("prev", F.lit(-1))
@@ -87,9 +89,10 @@ def best_checkpoints(log: DataFrame, keep: int = SAVE_TOTAL_LIMIT) -> DataFrame:
 def early_stop(log: DataFrame, patience: int = EARLY_STOPPING_PATIENCE) -> DataFrame:
     """Stop at the first evaluation ``patience`` evaluations after the last
     strict improvement of the best loss; null when training would not stop."""
+    log = cut_lineage(log)
     r = running(log, ["run"], "step", [("_prev_best", "min", F.col("loss"), False)])
     improved = F.col("_prev_best").isNull() | (F.col("loss") < F.col("_prev_best"))
-    r = r.withColumn("_imp", improved)
+    r = cut_lineage(r.withColumn("_imp", improved))
     r = running(r, ["run"], "step", [("_last_imp", "max", F.when(F.col("_imp"), F.col("step")), True)])
     stop = F.when(F.col("step") - F.col("_last_imp") >= patience, F.col("step"))
     return r.groupBy("run").agg(F.min(stop).alias("stop_step"), F.count(F.lit(1)).alias("n_evals"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SFT_SYSTEM_PROMPT
 from ..functions.text import normalize_role, py_strip, sample_role
+from ..session import cut_lineage
 from .ordered import DEFAULT_BLOCK, dense_position, lookback, position_block
 
 MSG = "array<struct<role:string,content:string>>"
@@ -82,7 +83,7 @@ def inference_contexts(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) ->
     if w < 1:
         raise ValueError("window size must be >= 1 (Q15)")
     ns = turns.filter(F.col("role") != "system")
-    ns = dense_position(ns, ["conv_id"], ["turn"], position_block("turn", block), out="ns_pos")
+    ns = cut_lineage(dense_position(ns, ["conv_id"], ["turn"], position_block("turn", block), out="ns_pos"))
     framed = lookback(ns, ["conv_id"], "ns_pos", w - 1, ["ns_pos", "role", "text"],
                       out="frame", block=block)
     users = framed.filter(F.col("role") == "user")

@@ -65,7 +65,12 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    Used between chained ordered passes (position -> running -> running): each
+    pass branches its input, so without a cut the input plan would be evaluated
+    once per branch of every later pass.  Eager: the rows are written once, now.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
 
