@@ -21,8 +21,8 @@ def test_sft_window_one_shuffle_and_pruned_scan(spark):
 
 
 def test_event_filter_pushed_and_columns_pruned(spark):
-    p = plan(spark, "process_pairs")
-    assert re.search(r"PushedFilters: \[[^\]]*In\(event_type", p)
+    p = plan(spark, "grid_coverage")
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,purchase\)", p)
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     assert scans and all("props" not in s and "value" not in s for s in scans)
 
