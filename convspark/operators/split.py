@@ -22,8 +22,12 @@ BUCKET_HEX = 4  # 16**4 = 65,536 buckets at most
 
 
 def split_ids(ids: DataFrame, key: str = "conv_id", train_frac: float = TRAIN_FRAC,
-              seed: int = SPLIT_SEED) -> DataFrame:
-    """``key, split`` with split in {'train', 'test'} for each distinct id."""
+              seed: int = SPLIT_SEED, materialize: bool = True) -> DataFrame:
+    """``key, split`` with split in {'train', 'test'} for each distinct id.
+
+    The assignment is read by several consumers (semi/anti joins, checks), so by
+    default it is written once to the shared checkpoint folder (eager) and every
+    consumer reads that, instead of re-deriving the ranking each time."""
     test_frac = 1.0 - train_frac
     if not 0.0 < test_frac < 1.0:
         raise ValueError("test_frac must be between 0 and 1")
@@ -39,8 +43,12 @@ def split_ids(ids: DataFrame, key: str = "conv_id", train_frac: float = TRAIN_FR
                           .cast("long").alias("_cut"))
     ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h")))
     j = ranked.join(F.broadcast(offs), "_b")
-    return j.select(key, F.when(F.col("_off") + F.col("_r") <= F.col("_cut"), "train")
-                    .otherwise("test").alias("split"))
+    out = j.select(key, F.when(F.col("_off") + F.col("_r") <= F.col("_cut"), "train")
+                   .otherwise("test").alias("split"))
+    if materialize:
+        from ..session import cut_lineage
+        out = cut_lineage(out)
+    return out
 
 
 def split_rows(rows: DataFrame, splits: DataFrame, key: str = "conv_id"):

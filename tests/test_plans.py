@@ -40,7 +40,10 @@ def test_templates_broadcast_not_shuffled(spark):
 
 
 def test_split_single_partition_only_on_bucket_table(spark):
-    p = plan(spark, "train_test_split")
+    from convspark.operators.split import split_ids
+    from convspark.sources.tables import turns
+    p = split_ids(turns(spark, SF_CHECK).select("conv_id"), materialize=False) \
+        ._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is the running count over <= 65,536 hash buckets
     assert p.count("SinglePartition") == 1
     assert "BroadcastExchange" in p
