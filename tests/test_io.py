@@ -116,3 +116,24 @@ def test_templates_folder(spark, tmp_path):
     (tmp_path / "panas_before.txt").write_text("skip {intake_form}")
     t = J.load_templates(spark, str(tmp_path)).collect()
     assert [(r.metric, r.pieces) for r in t] == [("b_metric", ["Rate {x}: ", " end"])]
+
+
+def test_sft_sinks(spark, tmp_path):
+    from convspark.functions.chat import chat_text
+    from convspark.operators import samples as S
+    from convspark.operators.split import split_ids
+    t = turns(spark, SF_SMALL)
+    s = S.sft_samples(S.normalized_turns(t), [1, 5]).join(split_ids(t.select("conv_id")), "conv_id")
+    s = s.withColumn("text", chat_text("messages"))
+    out = str(tmp_path / "sft")
+    W.write_sft(s, out)
+    back = spark.read.parquet(out)
+    assert set(back.columns) >= {"window_size", "split", "messages", "text"}
+    assert back.count() == s.count()
+    meta = W.training_metadata(back).collect()
+    assert {(r.window_size, r.split) for r in meta} <= {(1, "train"), (1, "test"), (5, "train"), (5, "test")}
+    assert sum(r.num_examples for r in meta) == s.count()
+    hist = spark.createDataFrame([("w1", 100, 0.5, 1.2)], "run string, step int, epoch double, eval_loss double")
+    W.append_eval_history(hist, str(tmp_path / "hist"))
+    W.append_eval_history(hist, str(tmp_path / "hist"))
+    assert spark.read.parquet(str(tmp_path / "hist")).count() == 2
