@@ -122,19 +122,68 @@ def clean_text_ascii(c) -> Column:
     return _post_clean(_pre_clean(c))
 
 
+# Blocks whose NFKD-then-ASCII image is tabulated for the JVM: Latin-1 and Latin
+# Extended A/B, IPA, spacing modifiers and combining marks, general punctuation,
+# super/subscripts, currency, letterlike symbols, number forms, Latin ligatures and
+# fullwidth ASCII.  Text with characters outside them goes to the Python UDF.
+NFKD_BLOCKS = [(0x0080, 0x036F), (0x2000, 0x215F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)]
+
+
+def _nfkd_table():
+    """Per-character NFKD+ASCII images, derived from Python's own ``unicodedata``.
+
+    Applying them character by character is exact: NFKD only decomposes, and the
+    canonical reordering it adds moves combining marks, which are non-ASCII and
+    dropped anyway.  Returns (single-char sources, their images, dropped chars,
+    multi-char (source, image) pairs)."""
+    import unicodedata
+    src, dst, drop, multi = [], [], [], []
+    for lo, hi in NFKD_BLOCKS:
+        for cp in range(lo, hi + 1):
+            ch = chr(cp)
+            img = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+            if len(img) == 1:
+                src.append(ch)
+                dst.append(img)
+            elif not img:
+                drop.append(ch)
+            else:
+                multi.append((ch, img))
+    return "".join(src), "".join(dst), "".join(drop), multi
+
+
+_TABLE = None
+
+
+def nfkd_ascii_jvm(c) -> Column:
+    """NFKD + drop non-ASCII for the tabulated blocks as one ``translate``.
+
+    Characters outside the blocks, and the few with multi-character images, are
+    left untouched (still non-ASCII), so the caller routes those rows to ``nfkd_ascii``."""
+    global _TABLE
+    if _TABLE is None:
+        _TABLE = _nfkd_table()
+    src, dst, drop, _multi = _TABLE
+    # one translate: single-character images map, empty images are deleted (source
+    # characters past the end of the target string).  Characters with multi-character
+    # images (fractions, ligatures, digraphs; a few dozen) stay non-ASCII here and send
+    # their rare rows to the UDF, which keeps this a single codegen'd expression.
+    return F.translate(_c(c), src + drop, dst)
+
+
 def with_clean_text(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """X7 on a DataFrame: quotes/dashes -> ASCII, NFKD, drop non-ASCII, collapse spaces, strip.
 
-    Rows that are pure ASCII after the replacements never leave the JVM; only
-    the non-ASCII remainder goes through the Arrow UDF.  The split is two
-    filtered branches of the same plan, unioned back (no shuffle).
+    NFKD runs in the JVM for the tabulated blocks (all European Latin text).
+    Only rows that still hold other characters go through the Arrow UDF; the
+    split is two filtered branches of the same plan, unioned back (no shuffle).
     """
-    pre = df.withColumn("_pre", _pre_clean(text_col))
-    non_ascii = F.col("_pre").rlike("[^\\x00-\\x7F]")
-    ascii_rows = pre.filter(~non_ascii | F.col("_pre").isNull()).withColumn(out, _post_clean("_pre"))
+    pre = df.withColumn("_pre", _pre_clean(text_col)).withColumn("_jvm", nfkd_ascii_jvm("_pre"))
+    non_ascii = F.col("_jvm").rlike("[^\\x00-\\x7F]")
+    jvm_rows = pre.filter(~non_ascii | F.col("_jvm").isNull()).withColumn(out, _post_clean("_jvm"))
     from ..session import spread
     other = spread(pre.filter(non_ascii)).withColumn(out, _post_clean(nfkd_ascii("_pre")))
-    return ascii_rows.unionByName(other).drop("_pre")
+    return jvm_rows.unionByName(other).drop("_pre", "_jvm")
 
 
 # ---------------------------------------------------------------- X9 / X10 tags

@@ -138,6 +138,18 @@ def test_clean_text(spark):
     assert got == [clean_model(s) for s in CLEAN]
 
 
+def test_clean_text_fuzz(spark):
+    import random
+    rnd = random.Random(11)
+    pool = ([chr(c) for c in range(0x20, 0x7F)] + [chr(c) for c in range(0x80, 0x370)]
+            + [chr(c) for c in range(0x2000, 0x2160)] + [chr(c) for c in range(0xFB00, 0xFB07)]
+            + ["Ａ", "ｚ", "中", "😀", "ﬀ", "Ω", "ǅ", "\u0301", "\u00a0", "\x1c"])
+    vals = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = [r["c"] for r in with_clean_text(df, "v", "c").orderBy("i").collect()]
+    assert got == [clean_model(s) for s in vals]
+
+
 TAGS = ["<think>a</think>\n\nb", "x <think>nested <think>y</think> z</think> w", "<think>unclosed",
         "<tool_call id=1>q</tool_call>\nrest", " \n<tool_call>{}</tool_call>\n\nend "]
 
