@@ -56,3 +56,31 @@ def parse_panas(c) -> Column:
     known = F.array(*[F.lit(f) for f in PANAS_FEELINGS])
     parsed = F.transform(lines, one)
     return F.filter(parsed, lambda r: F.array_contains(known, r["feeling"]))
+
+
+def panas_delta(before, after, positive=None) -> Column:
+    """X29 inside one row: after - before per feeling present in both replies.
+
+    struct(n_feelings, positive_delta, negative_delta, total_delta).  Both parsed
+    replies (X28 arrays, at most 20 items each) sit in the same row, so the
+    per-feeling match is an array lookup rather than a shuffled equi-join; use a
+    join on (conversation, feeling) only when the two replies live in different
+    tables.  A feeling repeated in ``before`` matches its first occurrence.
+    """
+    from ..constants import PANAS_POSITIVE
+    pos = F.array(*[F.lit(f) for f in (positive or PANAS_POSITIVE)])
+    b = _c(before)
+    pairs = F.transform(_c(after), lambda x: F.struct(
+        x["feeling"].alias("feeling"),
+        (x["score"] - F.try_element_at(F.filter(b, lambda y: y["feeling"] == x["feeling"]), F.lit(1))["score"])
+        .alias("d")))
+    matched = F.filter(pairs, lambda p: p["d"].isNotNull())
+
+    def total(cond):
+        return F.aggregate(matched, F.lit(0).cast("long"),
+                           lambda acc, p: acc + F.when(cond(p), p["d"]).otherwise(0).cast("long"))
+
+    return F.struct(F.size(matched).cast("long").alias("n_feelings"),
+                    total(lambda p: F.array_contains(pos, p["feeling"])).alias("positive_delta"),
+                    total(lambda p: ~F.array_contains(pos, p["feeling"])).alias("negative_delta"),
+                    total(lambda p: F.lit(True)).alias("total_delta"))

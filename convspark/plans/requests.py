@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import PANAS_FEELINGS, PANAS_POSITIVE
 from ..functions import jsonmsg as JM
-from ..functions.scores import parse_panas
+from ..functions.scores import panas_delta as panas_delta_row, parse_panas
 from ..functions.text import word_count
 from ..operators.ordered import lookback
 from ..sources.tables import table, turns
@@ -155,18 +155,13 @@ def panas_delta(spark, sf_dir):
         f, F.lit(", seems "), F.lower(f), F.lit(" now, "),
         ((F.col("doc_id") * 3 + i + F.col("quality")) % 5 + 1).cast("string"))), "\n")
     replies = lab.select("doc_id", before.alias("before"), after.alias("after"))
-    b = replies.select("doc_id", F.explode(parse_panas("before")).alias("p")) \
-        .select("doc_id", F.col("p.feeling").alias("feeling"), F.col("p.score").alias("before_s"))
-    a = replies.select("doc_id", F.explode(parse_panas("after")).alias("p")) \
-        .select("doc_id", F.col("p.feeling").alias("feeling"), F.col("p.score").alias("after_s"))
-    j = b.join(a, ["doc_id", "feeling"])
-    d = F.col("after_s") - F.col("before_s")
-    pos = F.col("feeling").isin(*PANAS_POSITIVE)
-    return j.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_feelings"),
-        F.sum(F.when(pos, d).otherwise(0)).cast("long").alias("positive_delta"),
-        F.sum(F.when(~pos, d).otherwise(0)).cast("long").alias("negative_delta"),
-        F.sum(d).cast("long").alias("total_delta"))
+    # both replies are in the same row: the per-feeling match needs no shuffle
+    # parse once into columns: the lookup lambda must see a column, not the parser
+    parsed = replies.select("doc_id", parse_panas("before").alias("b"), parse_panas("after").alias("a"))
+    d = panas_delta_row("b", "a")
+    return parsed.select("doc_id", d["n_feelings"].alias("n_feelings"),
+                          d["positive_delta"].alias("positive_delta"),
+                          d["negative_delta"].alias("negative_delta"), d["total_delta"].alias("total_delta"))
 
 
 # ---------------------------------------------------------------- F1 / A7
