@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import EARLY_STOPPING_PATIENCE, EXPERIMENTS, NUM_PROFILE_REPEATS, SAVE_TOTAL_LIMIT
-from ..functions.text import elapsed_hms, window_size_from_model
+from ..functions.text import elapsed_hms, local_stamp, window_size_from_model
 from ..session import cut_lineage
 from .ordered import dense_position, lookback, running
 
@@ -63,6 +63,7 @@ def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind
     start = F.when(paired, prev["ts"])
     secs = (_micros("ts") - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
     return ends.select("process", F.col("ts").alias("end_ts"), start.alias("start_ts"),
+                       local_stamp(start).alias("start_local"),
                        secs.alias("elapsed_seconds"), elapsed_hms(secs).alias("elapsed_hms"),
                        F.when(paired, "ok").otherwise("orphan").alias("status"))
 

@@ -144,7 +144,7 @@ l AS (SELECT *, lag(kind) OVER w AS pk, lag(ts) OVER w AS pts FROM e
 p AS (SELECT process, ts AS end_ts, CASE WHEN pk = 'start' THEN pts END AS start_ts FROM l WHERE kind = 'end'),
 s AS (SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 1e6 AS elapsed_seconds FROM p),
 r AS (SELECT *, CAST(round_even(elapsed_seconds, 0) AS BIGINT) AS tot FROM s)
-SELECT process, end_ts, start_ts, elapsed_seconds,
+SELECT process, end_ts, start_ts, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_local, elapsed_seconds,
        CASE WHEN tot IS NULL THEN NULL ELSE printf('%02d:%02d:%02d', tot // 3600, (tot % 3600) // 60, tot % 60) END
          AS elapsed_hms,
        CASE WHEN start_ts IS NULL THEN 'orphan' ELSE 'ok' END AS status
