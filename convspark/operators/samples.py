@@ -108,7 +108,7 @@ def prompt_target(samples: DataFrame) -> DataFrame:
 
 
 def eval_pick(samples: DataFrame, n: int, window_size: int | None = None) -> DataFrame:
-    """F6 + L2: full windows of the given size, non-empty, first ``n`` by (conv_id, turn).
+    """F6 + L2: full windows of the given size, first ``n`` by (conv_id, turn), empty ones skipped.
 
     ``orderBy().limit()`` plans as a distributed top-k (TakeOrderedAndProject).
     """
@@ -116,5 +116,5 @@ def eval_pick(samples: DataFrame, n: int, window_size: int | None = None) -> Dat
     if window_size is not None:
         s = s.filter((F.col("window_size") == window_size)
                      & (F.size("messages") - 2 == window_size))
-    s = s.filter(F.size("messages") > 0)
-    return s.orderBy("conv_id", "turn", "window_size").limit(n)
+    # the first n are picked first; an empty one among them is skipped, not replaced
+    return s.orderBy("conv_id", "turn", "window_size").limit(n).filter(F.size("messages") > 0)
