@@ -21,10 +21,14 @@ def length_stats(df: DataFrame, length_col: str, group_cols=(), limit_over: int
     if sample_limit:
         df = df.orderBy(*order_cols).limit(sample_limit)
     L = F.col(length_col)
-    return df.groupBy(*group_cols).agg(
-        F.count(L).alias("sample_count"), F.min(L).alias("min_len"), F.max(L).alias("max_len"),
-        F.avg(L).alias("mean_len"), F.median(L).alias("median_len"),
-        F.count_if(L > limit_over).alias("n_over_max"))
+    aggs = [F.count(L).alias("sample_count"), F.min(L).alias("min_len"), F.max(L).alias("max_len"),
+            F.avg(L).alias("mean_len"), F.median(L).alias("median_len"),
+            F.count_if(L > limit_over).alias("n_over_max")]
+    if sample_limit:
+        # the sampled lengths themselves, in sample order (bounded by sample_limit)
+        keyed = F.struct(*[F.col(c) for c in order_cols], L.alias("_len")) if order_cols else F.struct(L.alias("_len"))
+        aggs.append(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["_len"]).alias("sample_lengths"))
+    return df.groupBy(*group_cols).agg(*aggs)
 
 
 def request_usage(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) -> DataFrame:

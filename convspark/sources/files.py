@@ -72,14 +72,27 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("input_pos", F.monotonically_increasing_id())
 
 
-def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind: str | None = None) -> DataFrame:
+def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind: str | None = None,
+                       schema=None) -> DataFrame:
     """S5 + F3 + X2-X4: exported dialogue rows -> ``id, turn, role, text``.
 
     ``dialogue`` may be a string (labels / lines) or a list (``kind`` = map | pair | scalar).
+    Pass ``schema`` with ``dialogue ARRAY<MAP<STRING,STRING>>`` to keep each item's own
+    keys (and null values); with inferred structs, absent keys and nulls look alike.
     Rows without a dialogue are dropped; a missing id becomes a row number.
     """
-    df = spark.read.format(fmt).load(path)
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.load(path)
     df = df.filter(F.col("dialogue").isNotNull())
+    dtype = df.schema["dialogue"].dataType
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
+        names = [f.name for f in dtype.elementType.fields]
+        as_map = F.transform("dialogue", lambda x: F.map_filter(
+            F.create_map(*[e for n in names for e in (F.lit(n), x[n].cast("string"))]),
+            lambda k, v: v.isNotNull()))
+        df = df.withColumn("dialogue", as_map)
     rid = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
     df = df.withColumn("id", F.coalesce(rid, F.monotonically_increasing_id().cast("string")))
     dtype = df.schema["dialogue"].dataType

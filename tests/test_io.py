@@ -137,3 +137,18 @@ def test_sft_sinks(spark, tmp_path):
     W.append_eval_history(hist, str(tmp_path / "hist"))
     W.append_eval_history(hist, str(tmp_path / "hist"))
     assert spark.read.parquet(str(tmp_path / "hist")).count() == 2
+
+
+def test_dialogue_rows_list_shapes(spark, tmp_path):
+    p = tmp_path / "lists.json"
+    p.write_text(json.dumps({"id": "m", "dialogue": [{"speaker": "therapist", "utterance": "hi"},
+                                                      {"role": "client", "content": "yo"}]}) + "\n")
+    rows = SRC.read_dialogue_rows(spark, str(p)).orderBy("turn").collect()
+    assert [(r.role, r.text) for r in rows] == [("assistant", "hi"), ("user", "yo")]
+    rows = SRC.read_dialogue_rows(spark, str(p), schema="id string, dialogue array<map<string,string>>") \
+        .orderBy("turn").collect()
+    assert [(r.role, r.text) for r in rows] == [("assistant", "hi"), ("user", "yo")]
+    q = tmp_path / "pairs.json"
+    q.write_text(json.dumps({"id": "p", "dialogue": [["Client", "a"], ["Counselor", "b"]]}) + "\n")
+    rows = SRC.read_dialogue_rows(spark, str(q)).orderBy("turn").collect()
+    assert [(r.role, r.text) for r in rows] == [("user", "a"), ("assistant", "b")]

@@ -94,3 +94,12 @@ def test_run_model_errors_and_checkpoint(spark):
     df = spark.createDataFrame([("a",), ("boom",)], "prompt string")
     out = run_model(df, "prompt", factory, checkpoint=True).orderBy("prompt").collect()
     assert [(r.reply, r.reply_error) for r in out] == [("A", None), ("", "RuntimeError: model failed")]
+
+
+def test_length_stats_sampled(spark):
+    from convspark.operators.tokens import length_stats
+    df = spark.createDataFrame([(i, (i * 37) % 11) for i in range(50)], "i int, n int")
+    r = length_stats(df, "n", sample_limit=5, order_cols=["i"], limit_over=5).collect()[0]
+    first = [(i * 37) % 11 for i in range(5)]
+    assert r.sample_lengths == first and r.sample_count == 5 and r.max_len == max(first)
+    assert r.median_len == sorted(first)[2] and r.n_over_max == sum(x > 5 for x in first)
