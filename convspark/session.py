@@ -87,15 +87,21 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """
     if df.isStreaming:
         return df  # micro-batches are sized by the source options instead
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if "Exchange" in plan:
-        # after a shuffle the partition count is decided at run time (AQE); asking for
-        # it would execute the upstream stages, so leave such inputs alone
+    try:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        if "Exchange" in plan:
+            # after a shuffle the partition count is decided at run time (AQE); asking
+            # for it would execute the upstream stages, so leave such inputs alone
+            return df
+        target = df.sparkSession.sparkContext.defaultParallelism * per_core
+        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without the JVM handles
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def default_partitions(spark: SparkSession, per_core: int = 2) -> int:
     """Partition count for latency-bound work (model calls): a few tasks per core."""
-    return spark.sparkContext.defaultParallelism * per_core
+    try:
+        return spark.sparkContext.defaultParallelism * per_core
+    except Exception:  # noqa: BLE001 - Connect sessions: fall back to the shuffle setting
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
