@@ -49,14 +49,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     tests) do we set our own, under ``fallback`` or the system temp dir.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: the server owns the checkpoint dir
+        sc = None
+    if not conf_dir and sc is not None:
+        conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         import tempfile
         conf_dir = fallback or os.path.join(tempfile.gettempdir(), "convspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
