@@ -41,3 +41,24 @@ def test_lookback_blocks(spark):
             got = lookback(df, ["conv_id"], "turn", w, ["turn"], out="fr", block=block)
             got = got.select("conv_id", "turn", F.transform("fr", lambda x: x["turn"]).alias("f"))
             assert sorted(got.collect()) == sorted(exp.collect()), (w, block)
+
+
+def test_blocked_plans_equal_default_on_real_turns(spark):
+    """A hot conversation is processed in blocks: with blocks of 2-6 turns (so every
+    conversation spans several blocks) the products equal the single-block ones."""
+    from convspark.operators import endings as EN
+    from convspark.operators import samples as S
+    from convspark.sources.tables import turns
+
+    t = turns(spark, "/root/testdata/sf0.01")
+    nt = S.normalized_turns(t)
+    a = S.sft_samples(nt, [1, 2, 5], block=6).collect()
+    b = S.sft_samples(nt, [1, 2, 5]).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    a = S.inference_contexts(t, 5, block=5).collect()
+    b = S.inference_contexts(t, 5).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    checks = t.filter("role = 'user'").select("conv_id", "turn", (F.col("turn") % 3 != 0).alias("verdict"))
+    a = EN.end_streaks(checks, block=2).collect()
+    b = EN.end_streaks(checks).collect()
+    assert sorted(map(str, a)) == sorted(map(str, b))
