@@ -9,7 +9,7 @@ from ..operators.transcripts import render_dialogue, transcript_lines
 from ..session import checkpoint_path
 from ..sources.tables import turns
 from ..streaming import live as L
-from ..streaming.runner import run_to_table, table_stream
+from ..streaming.runner import run_to_table, session_time_zone, table_stream
 from .judge import _JUDGE_CTE
 from .registry import register
 from .runs import _PAIRS_SQL, _STREAK_CTE
@@ -42,11 +42,12 @@ def stream_end_detect(spark, sf_dir):
 
 @register("stream_process_pairs", f"SELECT process, end_ts, start_ts, status FROM ({_PAIRS_SQL}) p")
 def stream_process_pairs(spark, sf_dir):
-    e = _events(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
-    e = e.select(F.col("user_id").alias("process"),
-                 F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"),
-                 "ts", "event_id")
-    return _ntz(run_to_table(L.live_process_pairs(e), "process_pairs"))
+    with session_time_zone(spark):
+        e = _events(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase"))
+        e = e.select(F.col("user_id").alias("process"),
+                     F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"),
+                     "ts", "event_id")
+        return _ntz(run_to_table(L.live_process_pairs(e), "process_pairs"))
 
 
 _CTX_SQL = """
@@ -111,7 +112,9 @@ FROM g, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 1 HOUR"""
 
 @register("stream_usage_windows", _T6_SQL)
 def stream_usage_windows(spark, sf_dir):
-    return _ntz(run_to_table(L.windowed_usage(_events(spark, sf_dir), "event_type", "value"), "usage_windows"))
+    with session_time_zone(spark):
+        return _ntz(run_to_table(L.windowed_usage(_events(spark, sf_dir), "event_type", "value"),
+                                 "usage_windows"))
 
 
 _T7_SQL = """
@@ -127,4 +130,5 @@ SELECT user_id, session_start, session_end, n_events FROM g, mx WHERE session_en
 
 @register("stream_sessions", _T7_SQL)
 def stream_sessions(spark, sf_dir):
-    return _ntz(run_to_table(L.idle_sessions(_events(spark, sf_dir), "user_id"), "sessions"))
+    with session_time_zone(spark):
+        return _ntz(run_to_table(L.idle_sessions(_events(spark, sf_dir), "user_id"), "sessions"))

@@ -6,6 +6,7 @@ Sources are file streams over the parquet tables; sinks are parquet folders
 """
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,18 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
+
+
+@contextmanager
+def session_time_zone(spark: SparkSession, tz: str = "UTC"):
+    """Build and run a stream under a fixed session time zone, then restore it.
+
+    Time-zone-dependent expressions (NTZ <-> TIMESTAMP casts, window alignment)
+    capture the zone when the DataFrame is analysed, so everything built inside
+    the block keeps ``tz`` even after the block ends."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", tz)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
