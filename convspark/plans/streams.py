@@ -32,8 +32,11 @@ def _ntz(df):
     return df
 
 
-@register("stream_end_detect", f"""WITH {_STREAK_CTE}
-SELECT conv_id, min(turn) AS end_turn, CAST(2 AS BIGINT) AS streak FROM st WHERE streak >= 2 GROUP BY conv_id""")
+@register("stream_end_detect", f"""WITH {_STREAK_CTE},
+e AS (SELECT conv_id, min(turn) AS end_turn FROM st WHERE streak >= 2 GROUP BY conv_id)
+SELECT e.conv_id, 'end' AS kind, e.end_turn, CAST(2 AS BIGINT) AS streak,
+       (SELECT count(*) FROM st WHERE st.conv_id = e.conv_id AND st.turn > e.end_turn) AS ignored
+FROM e""")
 def stream_end_detect(spark, sf_dir):
     s = table_stream(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     checks = s.select("conv_id", "turn", (F.col("turn") % 3 != 0).alias("verdict"), _turn_ts().alias("ts"))

@@ -27,32 +27,38 @@ from ..operators import scoring as J
 
 # ---------------------------------------------------------------- T1 end detection
 
-END_OUT = "conv_id long, end_turn long, streak long"
-END_STATE = "streak long, ended boolean"
+END_OUT = "conv_id long, kind string, end_turn long, streak long, ignored long"
+END_STATE = "streak long, ended boolean, end_turn long"
 
 
 def _end_fn(key: Tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One row ``kind='end'`` when the streak first reaches the threshold (with the
+    number of later turns already seen in that micro-batch); turns that arrive in later
+    batches for an ended conversation are dropped and reported as ``kind='late'``."""
     if state.hasTimedOut:
         state.remove()
         return
-    streak, ended = state.get if state.exists else (0, False)
+    streak, ended, end_turn = state.get if state.exists else (0, False, None)
     rows = pd.concat(list(pdfs)).sort_values("turn")
     out = []
-    for turn, verdict in zip(rows["turn"], rows["verdict"]):
-        if ended:
-            break  # turns after the end are ignored
-        streak = streak + 1 if bool(verdict) else 0
-        if streak >= END_STREAK:
-            ended = True
-            out.append((int(key[0]), int(turn), int(streak)))
-    state.update((int(streak), bool(ended)))
+    if ended:
+        out.append((int(key[0]), "late", int(end_turn), int(streak), int(len(rows))))
+    else:
+        for turn, verdict in zip(rows["turn"], rows["verdict"]):
+            streak = streak + 1 if bool(verdict) else 0
+            if streak >= END_STREAK:
+                ended, end_turn = True, int(turn)
+                later = int((rows["turn"] > turn).sum())
+                out.append((int(key[0]), "end", end_turn, int(streak), later))
+                break
+    state.update((int(streak), bool(ended), end_turn))
     state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
     if out:
-        yield pd.DataFrame(out, columns=["conv_id", "end_turn", "streak"])
+        yield pd.DataFrame(out, columns=["conv_id", "kind", "end_turn", "streak", "ignored"])
 
 
 def live_end_detection(checks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``checks`` stream (conv_id, turn, verdict, ts) -> one row when a conversation ends."""
+    """``checks`` stream (conv_id, turn, verdict, ts) -> a row when a conversation ends."""
     return (checks.withWatermark("ts", delay).groupBy("conv_id")
             .applyInPandasWithState(_end_fn, END_OUT, END_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))

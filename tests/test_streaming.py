@@ -38,8 +38,9 @@ def test_end_detection_edge_cases(spark, tmp_path):
     df = _stream(spark, tmp_path, rows, "conv_id long, turn long, verdict boolean, secs long")
     df = df.withColumn("ts", F.timestamp_seconds("secs"))
     out = run_to_table(L.live_end_detection(df), "t1-test").orderBy("conv_id").collect()
-    # conversation 1 ends at its 5th check (streak 2), 2 never ends, 3 ends on its second check
-    assert [(r.conv_id, r.end_turn) for r in out] == [(1, 8), (3, 2)]
+    # conversation 1 ends at its 5th check (streak 2), 2 never ends, 3 ends on its second check;
+    # later checks of an ended conversation are dropped and counted
+    assert [(r.conv_id, r.kind, r.end_turn, r.ignored) for r in out] == [(1, "end", 8, 2), (3, "end", 2, 2)]
 
 
 def test_rolling_context_keeps_w(spark, tmp_path):
@@ -50,3 +51,23 @@ def test_rolling_context_keeps_w(spark, tmp_path):
     out = run_to_table(L.live_rolling_context(df, 3), "t3-test").orderBy("turn").collect()
     assert [(r.turn, r.n_messages, r.context_chars) for r in out] == [(0, 1, 1), (2, 3, 6), (4, 3, 12), (6, 3, 18)]
     assert os.path.isdir(str(tmp_path))
+
+
+def test_end_detection_late_batch(spark, tmp_path):
+    base = 1704067200
+    d = str(tmp_path / "late")
+    schema = "conv_id long, turn long, verdict boolean, secs long"
+    spark.createDataFrame([(1, 0, True, base), (1, 2, True, base + 60)], schema).coalesce(1) \
+        .write.mode("append").parquet(d)
+    spark.createDataFrame([(1, 4, False, base + 120), (1, 6, True, base + 180)], schema).coalesce(1) \
+        .write.mode("append").parquet(d)
+    files = sorted(f for f in os.listdir(d) if f.endswith(".parquet"))
+    assert len(files) == 2
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
+           .withColumn("ts", F.timestamp_seconds("secs")))
+    out = run_to_table(L.live_end_detection(src), "t1-late").orderBy("kind").collect()
+    got = sorted((r.kind, r.end_turn, r.ignored) for r in out)
+    # file order decides the batches; either way one end at turn 2 and the two later
+    # turns are counted once (same batch -> 'end' row, next batch -> 'late' row)
+    assert ("end", 2, 0) in got or ("end", 2, 2) in got
+    assert sum(r.ignored for r in out) == 2
