@@ -32,7 +32,8 @@ def normalized_turns(turns: DataFrame, conv: str = "conv_id", pos: str = "turn",
 
 
 def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
-                system_prompt: str = SFT_SYSTEM_PROMPT, block: int = DEFAULT_BLOCK) -> DataFrame:
+                system_prompt: str = SFT_SYSTEM_PROMPT, block: int = DEFAULT_BLOCK,
+                renumber: bool = False) -> DataFrame:
     """W1/W2 + F4 + X25: one sample per user->assistant pair and window size.
 
     Returns ``conv_id, turn (target), window_size, messages ARRAY<STRUCT<role,content>>``
@@ -41,6 +42,14 @@ def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
     """
     if not windows or min(windows) < 1:
         raise ValueError("window sizes must be >= 1 (Q15)")
+    if renumber:
+        # turn numbers with gaps: frames count rows, so number them 0..n-1 first
+        # (skew-safe) and report the original turn of each target
+        numbered = cut_lineage(dense_position(turns.withColumnRenamed("turn", "_orig_turn"), ["conv_id"],
+                                              ["_orig_turn"], position_block("_orig_turn", block), out="turn"))
+        out = sft_samples(numbered.select("conv_id", "turn", "role", "text"), windows, system_prompt, block)
+        return out.join(numbered.select("conv_id", "turn", "_orig_turn"), ["conv_id", "turn"]) \
+            .select("conv_id", F.col("_orig_turn").alias("turn"), "window_size", "messages")
     wmax = max(windows)
     framed = lookback(turns, ["conv_id"], "turn", wmax, ["turn", "role", "text"],
                       out="frame", block=block)
