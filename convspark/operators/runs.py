@@ -30,6 +30,24 @@ def run_grid(experiments: DataFrame, profiles: DataFrame, repeats: int = NUM_PRO
     return spread(profiles.select("profile_id")).crossJoin(F.broadcast(experiments)).crossJoin(F.broadcast(rep))
 
 
+def coverage_counts(experiments: DataFrame, profiles: DataFrame, done: DataFrame,
+                    repeats: int = NUM_PROFILE_REPEATS) -> DataFrame:
+    """J7 counts without building the grid: planned = profiles x repeats per experiment,
+    done = distinct finished runs whose experiment, profile and repeat are in the grid.
+
+    Same numbers as ``coverage(run_grid(...), done)`` but the work is proportional to
+    the profile and done tables, not to their 126-fold product."""
+    n_prof = profiles.select("profile_id").distinct().agg(F.count(F.lit(1)).alias("_np"))
+    valid = (done.select("experiment", "profile_id", "repeat").distinct()
+             .filter((F.col("repeat") >= 0) & (F.col("repeat") < repeats))
+             .join(profiles.select("profile_id").distinct(), "profile_id", "left_semi"))
+    per = valid.groupBy("experiment").agg(F.count(F.lit(1)).alias("n_done"))
+    out = F.broadcast(experiments.select("experiment")).crossJoin(n_prof).join(per, "experiment", "left")
+    return out.select("experiment", (F.col("_np") * repeats).alias("n_planned"),
+                      (F.col("_np") * repeats - F.coalesce("n_done", F.lit(0))).alias("n_missing"),
+                      F.coalesce("n_done", F.lit(0)).alias("n_done"))
+
+
 def coverage(grid: DataFrame, done: DataFrame, keys=("experiment", "profile_id", "repeat")) -> DataFrame:
     """Planned runs per experiment, done, and missing (left anti join)."""
     keys = list(keys)

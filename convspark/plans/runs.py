@@ -97,16 +97,14 @@ SELECT experiment, doctor_model, expand_history,
 FROM exps"""
 
 
-def _grid(spark, sf_dir):
-    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"))
-    return R.run_grid(R.experiments_frame(spark), profiles)
-
-
 @register("run_grid", _GRID_SQL)
 def run_grid(spark, sf_dir):
-    g = _grid(spark, sf_dir)
-    return g.groupBy("experiment", "doctor_model", "expand_history", "window_size").agg(
-        F.countDistinct("profile_id").alias("n_profiles"), F.count(F.lit(1)).alias("n_runs"))
+    # the plan per experiment; the grid rows themselves come from R.run_grid when needed
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"))
+    n = profiles.distinct().agg(F.count(F.lit(1)).alias("n_profiles"))
+    return F.broadcast(R.experiments_frame(spark)).crossJoin(n).select(
+        "experiment", "doctor_model", "expand_history", "window_size", "n_profiles",
+        (F.col("n_profiles") * NUM_PROFILE_REPEATS).alias("n_runs"))
 
 
 _N_EXP = len(EXPERIMENTS)
@@ -131,7 +129,8 @@ def grid_coverage(spark, sf_dir):
     done = ev.select(F.try_element_at(names, (F.col("user_id") % _N_EXP + 1).cast("int")).alias("experiment"),
                      F.col("user_id").alias("profile_id"),
                      (F.col("event_id") % NUM_PROFILE_REPEATS).alias("repeat"))
-    return R.coverage(_grid(spark, sf_dir), done).select("experiment", "n_planned", "n_missing", "n_done")
+    profiles = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("profile_id"))
+    return R.coverage_counts(R.experiments_frame(spark), profiles, done)
 
 
 # ---------------------------------------------------------------- J6 / X24 / A8

@@ -112,3 +112,15 @@ def test_sft_renumber_gapped_turns(spark):
     b = S.sft_samples(t, [1, 5])
     key = lambda r: (r.conv_id, int(r.turn), r.window_size, str(r.messages))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+
+
+def test_coverage_counts_equal_grid_anti_join(spark):
+    from convspark.operators import runs as R
+    profiles = spark.range(7).select(F.col("id").alias("profile_id"))
+    exps = R.experiments_frame(spark)
+    done = spark.createDataFrame([("one_shot", 1, 0), ("one_shot", 1, 0), ("one_shot", 2, 8), ("one_shot", 99, 1),
+                                  ("zero_shot_expand_2", 3, 4), ("unknown", 1, 1), ("one_shot", 1, 9)],
+                                 "experiment string, profile_id long, repeat long")
+    a = R.coverage(R.run_grid(exps, profiles), done).select("experiment", "n_planned", "n_missing", "n_done")
+    b = R.coverage_counts(exps, profiles, done)
+    assert sorted(a.collect()) == sorted(b.collect())
