@@ -21,7 +21,7 @@ def _secret_rule(ord_: int, kind: str, regex: str, group: int, least: int) -> st
     r = "'" + regex.replace("'", "''") + "'"
     return f"""
 SELECT rid, {ord_} AS ord, '{kind}' AS kind,
-       list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], x -> length(x))), 0) AS s,
+       list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s,
        length(hits[i]) AS n
 FROM (SELECT rid, gaps, hits, keys, unnest(generate_series(1, len(hits))) AS i
       FROM (SELECT rid, string_split_regex(t, {r}) AS gaps, regexp_extract_all(t, {r}) AS hits,
