@@ -54,13 +54,15 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = _survivors(first.select(by_prefix.alias("__k")), filter_words)
 
     def refined(df: DataFrame) -> DataFrame:
+        # a row without a group keeps its prefix hash as key, which no full hash equals: one null
+        # key for all of them would send them to one task
         out = _keep_flag(df, by_prefix, prefixes, filter_words)
-        return out.withColumn("__full", F.when(F.col("__hit"), F.sha2(text, 256))).drop("__hit")
+        return out.withColumn("__full", F.when(F.col("__hit"), F.sha2(text, 256)).otherwise(by_prefix.cast("string")))
 
-    groups = (refined(docs.select(id_col, text_col)).where("__full is not null")
+    groups = (refined(docs.select(id_col, text_col)).where("__hit")
               .groupBy("__full").agg(F.max(id_col).alias("__keep_id"), F.count("*").alias("__group_size"))
               .where("__group_size > 1"))
-    return (refined(docs).join(groups, "__full", "left")
+    return (refined(docs).drop("__hit").join(groups, "__full", "left")
             .withColumn("__kept", F.col("__group_size").isNull() | F.col(id_col).eqNullSafe(F.col("__keep_id")))
             .withColumn("__keep_id", F.when(F.col("__group_size").isNull(), F.col(id_col))
                         .otherwise(F.col("__keep_id")))

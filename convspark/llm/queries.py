@@ -50,10 +50,11 @@ def op5_html_text(spark, sf_dir):
 
 
 def op6_exact_dedup(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    # the digest is taken before the operator's join, which then carries no text
+    docs = load(spark, sf_dir, "documents", "doc_id", "text").withColumn("text_sha256", F.sha2(text_or_empty("text"), 256))
     return exact_dedup.mark_duplicates(docs).select(
         "doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"),
-        F.col("__kept").alias("kept"), F.sha2(text_or_empty("text"), 256).alias("text_sha256"))
+        F.col("__kept").alias("kept"), "text_sha256")
 
 
 def op7_chat_format(spark, sf_dir):
