@@ -30,6 +30,7 @@ HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8
 BANDS = ((0, 1), (2, 3))
 SIMILARITY = 0.8
 RUN_SHINGLES = 200_000
+CELL = 1024
 
 
 def shingles(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
@@ -190,6 +191,96 @@ def _verified_windows(spans: DataFrame, regions: DataFrame, width: int, least: f
             .drop("__a", "__b"))
 
 
+def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: float, cell: int = CELL) -> DataFrame:
+    """Verified pairs among the windows ``rows`` of each key, at least a spanning forest of them.
+
+    Windows of a key are aligned at their anchors, so two of them are compared position by
+    position around these.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
+    which compares two of its parts, so that no task gets a whole hot key and no pair is left out.
+    """
+    begin = F.greatest(F.col("first"), F.col("anchor") - (width - 1))
+    end = F.least(F.col("stop"), F.col("anchor") + width)
+    near = (rows.select("key", "doc", "region", "anchor", "first", "stop")
+            .join(regions, ["doc", "region"]).withColumn("lo", begin).withColumn("hi", end)
+            .withColumn("near", F.slice("hashes", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")))
+            .select("key", "doc", "anchor", "lo", "near"))
+    size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mine = F.pmod(F.xxhash64("doc", "anchor"), F.col("parts")).cast("int")
+    cells = (near.join(size, "key").withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("mine", mine)
+             .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+             .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                     "doc", "anchor", "lo", "near"))
+    keys = ["key", "i", "j"]
+    kind = rows.schema["doc"].dataType.simpleString()
+    out = f"doc {kind}, start long, end long, rdoc {kind}, rstart long, rend long, similarity double"
+    reach = 2 * width - 1
+
+    def pairs(t: pa.Table) -> list[tuple]:
+        doc, anchor = t.column("doc").to_pylist(), t.column("anchor").to_numpy()
+        around = np.zeros((t.num_rows, reach), np.int64)
+        around[:] = -1 - np.arange(t.num_rows)[:, None] - (1 << 40)  # equal to nothing where there is no shingle
+        for n, (lo, near) in enumerate(zip(t.column("lo").to_pylist(), t.column("near").to_pylist())):
+            at = lo - int(anchor[n]) + width - 1
+            around[n, at:at + len(near)] = near
+        root, got = np.arange(t.num_rows), []
+        enough = int(np.ceil(least * 2 * width / (1 + least) - 1e-9))
+        for i in range(t.num_rows - 1):
+            later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
+            same = around[later] == around[i]
+            many = same.sum(axis=1) >= enough
+            later, same = later[many], same[many]
+            if not len(later):
+                continue
+            sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
+            hits = sums[:, width:] - sums[:, :-width]
+            for j, h in zip(later, hits):
+                best = int(h.argmax())
+                if h[best] < enough or doc[i] == doc[j] or root[i] == root[j]:
+                    continue
+                a, b = (set(around[x, best:best + width].tolist()) for x in (i, j))
+                sim = len(a & b) / len(a | b)
+                if sim < least:
+                    continue
+                root[root == root[j]] = root[i]
+                lo, hi = best, best
+                while lo and h[lo - 1] >= enough:
+                    lo -= 1
+                while hi + 1 < len(h) and h[hi + 1] >= enough:
+                    hi += 1
+                one, two = ((i, j) if doc[i] > doc[j] else (j, i))
+                at = [(int(anchor[x]) - width + 1 + lo, int(anchor[x]) + 1 + hi) for x in (one, two)]
+                got.append((doc[one], *at[0], doc[two], *at[1], sim))
+        return got
+
+    def run(batches):
+        held = None
+
+        def emit(t: pa.Table):
+            got, key = [], np.stack([t.column(k).to_numpy() for k in keys])
+            edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if b - a > 1:
+                    got += pairs(t.slice(a, b - a))
+            cols = list(zip(*got)) or [()] * 7
+            kinds = [t.schema.field("doc").type, pa.int64(), pa.int64()] * 2 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                              names=["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows >= 4 * cell:
+                key = np.stack([held.column(k).to_numpy() for k in keys])
+                whole = int(np.argmax((key == key[:, -1:]).all(axis=0)))  # where the last group begins
+                if whole:
+                    yield emit(held.slice(0, whole))
+                    held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield emit(held)
+
+    return cells.repartition(*keys).sortWithinPartitions(*keys, "doc", "anchor").mapInArrow(run, out).distinct()
+
+
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
                     similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc, start_word, end_word, rep_doc, rep_start_word, rep_end_word, similarity)``: passages of
@@ -201,8 +292,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's passage is paired with one of its class's representative, the smallest id for
     which the pair passes verification: pairs with representatives, not all pairs.  Copies of
     a whole text enter as one document, the kept one, and are listed against it at the end.
-    A key whose first document does not verify against some others is taken up again for
-    those among themselves, round by round until none is left.  Null texts are empty; texts
+    Members of a key that do not verify against its first document are compared among
+    themselves.  Null texts are empty; texts
     shorter than ``min_words`` and rows without an id take no part; rows that repeat an id and
     text are one; an id with different texts stands for each of them.  Extra columns are not carried.
     """
@@ -218,43 +309,38 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(_island(shared, ["doc"], "first", "stop", "region"))
     regions = cut_lineage(_regions(texts, shared, shingle_words))
 
-    results, todo = None, shared
     lead = Window.partitionBy("key").orderBy("doc", "first")
-    while True:
-        rep = F.first(F.struct("doc", "region", "anchor", "first", "last")).over(lead)
-        edges = (todo.withColumn("rep", rep).where("doc <> rep.doc")
-                 .withColumn("low", F.greatest(F.expr("first - anchor"), F.expr("rep.first - rep.anchor")))
-                 .withColumn("high", F.least(F.expr("last - anchor"), F.expr("rep.last - rep.anchor"))))
-        # aligned at the anchors where the windows allow it, else each side's own first passage
-        aligned = F.col("low") <= F.col("high")
-        edges = edges.select(
-            "key", "doc", "region", "anchor", "first", "last", "stop",
-            F.when(aligned, F.expr("anchor + low")).otherwise(F.col("first")).alias("start"),
-            F.when(aligned, F.expr("anchor + high")).otherwise(F.col("first")).alias("end_"),
-            F.col("rep.doc").alias("rdoc"), F.col("rep.region").alias("rregion"),
-            F.when(aligned, F.expr("rep.anchor + low")).otherwise(F.col("rep.first")).alias("rstart"))
-        edges = edges.withColumn("end", F.col("end_") + width).withColumn("diag", F.expr("start - rstart")).drop("end_")
-        side = ["doc", "region", "rdoc", "rregion", "diag"]
-        edges = cut_lineage(_island(edges, side, "start", "end", "isle"))
-        isles = (edges.groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-                 .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
-        isles = cut_lineage(_verified(isles, regions, similarity))
-        # of an island that fails as a whole every passage is tried
-        single = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi").withColumn(
-            "rend", F.expr("end - diag"))
-        single = cut_lineage(_verified_windows(single, regions, width, similarity))
-        hits = single.select(*side, "start", F.explode("good").alias("g")).select(
-            *side, F.expr("start + g.at").alias("start"), F.col("g.similarity").alias("similarity")).distinct()
-        hits = (_island(hits.withColumn("next", F.col("start") + 1), side, "start", "next", "run")
-                .groupBy(*side, "run").agg(F.min("start").alias("start"), (F.max("start") + width).alias("end"),
-                                           F.min("similarity").alias("similarity"))
-                .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
-        cols = ["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"]
-        good = isles.where("ok").select(*cols).unionByName(hits.select(*cols))
-        results = good if results is None else results.unionByName(good)
-        todo = single.where("size(good) = 0").select("key", "doc", "region", "anchor", "first", "last", "stop")
-        if todo.isEmpty():
-            break
+    rep = F.first(F.struct("doc", "region", "anchor", "first", "last")).over(lead)
+    edges = (shared.withColumn("rep", rep).where("doc <> rep.doc")
+             .withColumn("low", F.greatest(F.expr("first - anchor"), F.expr("rep.first - rep.anchor")))
+             .withColumn("high", F.least(F.expr("last - anchor"), F.expr("rep.last - rep.anchor"))))
+    # aligned at the anchors where the windows allow it, else each side's own first passage
+    aligned = F.col("low") <= F.col("high")
+    edges = edges.select(
+        "key", "doc", "region", "anchor", "first", "stop",
+        F.when(aligned, F.expr("anchor + low")).otherwise(F.col("first")).alias("start"),
+        F.when(aligned, F.expr("anchor + high")).otherwise(F.col("first")).alias("end_"),
+        F.col("rep.doc").alias("rdoc"), F.col("rep.region").alias("rregion"),
+        F.when(aligned, F.expr("rep.anchor + low")).otherwise(F.col("rep.first")).alias("rstart"))
+    edges = edges.withColumn("end", F.col("end_") + width).withColumn("diag", F.expr("start - rstart")).drop("end_")
+    side = ["doc", "region", "rdoc", "rregion", "diag"]
+    edges = cut_lineage(_island(edges, side, "start", "end", "isle"))
+    isles = (edges.groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+             .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
+    isles = cut_lineage(_verified(isles, regions, similarity))
+    # of an island that fails as a whole every passage is tried
+    single = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi").withColumn(
+        "rend", F.expr("end - diag"))
+    single = cut_lineage(_verified_windows(single, regions, width, similarity))
+    hits = single.select(*side, "start", F.explode("good").alias("g")).select(
+        *side, F.expr("start + g.at").alias("start"), F.col("g.similarity").alias("similarity")).distinct()
+    hits = (_island(hits.withColumn("next", F.col("start") + 1), side, "start", "next", "run")
+            .groupBy(*side, "run").agg(F.min("start").alias("start"), (F.max("start") + width).alias("end"),
+                                       F.min("similarity").alias("similarity"))
+            .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
+    rest = _among_themselves(single.where("size(good) = 0"), regions, width, similarity)
+    cols = ["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"]
+    results = isles.where("ok").select(*cols).unionByName(hits.select(*cols)).unionByName(rest.select(*cols))
     k = shingle_words - 1
     passages = results.select(
         "doc", F.col("start").alias("start_word"), (F.col("end") + k).alias("end_word"), F.col("rdoc").alias("rep_doc"),
