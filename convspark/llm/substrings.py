@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import cut_lineage, text_or_empty
-from .exact_dedup import mark_duplicates
 
 SHINGLE_WORDS = 5
 MIN_WORDS = 50
@@ -180,17 +179,6 @@ def _verified(spans: DataFrame, regions: DataFrame, least: float) -> DataFrame:
             .withColumn("ok", F.col("similarity") >= least).drop("__a", "__b"))
 
 
-def _verified_windows(spans: DataFrame, regions: DataFrame, width: int, least: float) -> DataFrame:
-    """``spans`` with ``good``: ``(at, similarity)`` of each passage of ``width`` shingles that verifies."""
-    def one(o: Column) -> Column:
-        a, b = (F.slice(c, o + 1, F.lit(width)) for c in ("__a", "__b"))
-        return F.struct(o.cast("long").alias("at"), _similarity(a, b).alias("similarity"))
-
-    tried = F.transform(F.sequence(F.lit(0), F.size("__a") - width), one)
-    return (_sides(spans, regions).withColumn("good", F.filter(tried, lambda x: x.similarity >= least))
-            .drop("__a", "__b"))
-
-
 def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: float, cell: int = CELL) -> DataFrame:
     """Verified pairs among the windows ``rows`` of each key, at least a spanning forest of them.
 
@@ -219,9 +207,11 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         doc, anchor = t.column("doc").to_pylist(), t.column("anchor").to_numpy()
         around = np.zeros((t.num_rows, reach), np.int64)
         around[:] = -1 - np.arange(t.num_rows)[:, None] - (1 << 40)  # equal to nothing where there is no shingle
+        begin, end = np.zeros((2, t.num_rows), np.int64)
         for n, (lo, near) in enumerate(zip(t.column("lo").to_pylist(), t.column("near").to_pylist())):
-            at = lo - int(anchor[n]) + width - 1
-            around[n, at:at + len(near)] = near
+            begin[n] = lo - int(anchor[n]) + width - 1
+            end[n] = begin[n] + len(near)
+            around[n, begin[n]:end[n]] = near
         root, got = np.arange(t.num_rows), []
         enough = int(np.ceil(least * 2 * width / (1 + least) - 1e-9))
         for i in range(t.num_rows - 1):
@@ -233,6 +223,9 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
                 continue
             sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
             hits = sums[:, width:] - sums[:, :-width]
+            at = np.arange(hits.shape[1])
+            hits[(at < np.maximum(begin[later], begin[i])[:, None])
+                 | (at + width > np.minimum(end[later], end[i])[:, None])] = 0
             for j, h in zip(later, hits):
                 best = int(h.argmax())
                 if h[best] < enough or doc[i] == doc[j] or root[i] == root[j]:
@@ -286,21 +279,16 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(doc, start_word, end_word, rep_doc, rep_start_word, rep_end_word, similarity)``: passages of
     ``min_words`` words or more that near-duplicate one of another document (ends exclusive).
 
-    ``similarity`` is that of the two passages, or, where only parts of an aligned run verify, the
-    lowest of the ``min_words`` long passages that the part consists of.
+    A document's passage is paired with the one of its class's representative, the smallest id that has
+    the signature: pairs with representatives, not all pairs, so copies give one row each.  Runs
+    of windows that do not verify as wholes are compared passage by passage, among themselves and
+    with their representative; ``similarity`` is then that of the best passage in the run.
 
-    A document's passage is paired with one of its class's representative, the smallest id for
-    which the pair passes verification: pairs with representatives, not all pairs.  Copies of
-    a whole text enter as one document, the kept one, and are listed against it at the end.
-    Members of a key that do not verify against its first document are compared among
-    themselves.  Null texts are empty; texts
-    shorter than ``min_words`` and rows without an id take no part; rows that repeat an id and
-    text are one; an id with different texts stands for each of them.  Extra columns are not carried.
+    Null texts are empty; texts shorter than ``min_words`` and rows without an id take no part;
+    rows that repeat an id are never compared with each other.  Extra columns are not carried.
     """
     width = min_words - shingle_words + 1
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
-    marked = mark_duplicates(base, "doc", "text")
-    texts = marked.where("__kept").select("doc", "text")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"))
     by_key = Window.partitionBy("key")
     shared = (window_rows(texts, min_words, shingle_words)
               .withColumn("__low", F.min("doc").over(by_key)).withColumn("__high", F.max("doc").over(by_key))
@@ -309,45 +297,32 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(_island(shared, ["doc"], "first", "stop", "region"))
     regions = cut_lineage(_regions(texts, shared, shingle_words))
 
-    lead = Window.partitionBy("key").orderBy("doc", "first")
-    rep = F.first(F.struct("doc", "region", "anchor", "first", "last")).over(lead)
+    rep = F.first(F.struct("doc", "region", "anchor", "first", "last", "stop")).over(
+        Window.partitionBy("key").orderBy("doc", "first"))
     edges = (shared.withColumn("rep", rep).where("doc <> rep.doc")
              .withColumn("low", F.greatest(F.expr("first - anchor"), F.expr("rep.first - rep.anchor")))
              .withColumn("high", F.least(F.expr("last - anchor"), F.expr("rep.last - rep.anchor"))))
     # aligned at the anchors where the windows allow it, else each side's own first passage
     aligned = F.col("low") <= F.col("high")
     edges = edges.select(
-        "key", "doc", "region", "anchor", "first", "stop",
+        "key", "doc", "region", "anchor", "first", "stop", "rep",
         F.when(aligned, F.expr("anchor + low")).otherwise(F.col("first")).alias("start"),
-        F.when(aligned, F.expr("anchor + high")).otherwise(F.col("first")).alias("end_"),
-        F.col("rep.doc").alias("rdoc"), F.col("rep.region").alias("rregion"),
+        (F.when(aligned, F.expr("anchor + high")).otherwise(F.col("first")) + width).alias("end"),
         F.when(aligned, F.expr("rep.anchor + low")).otherwise(F.col("rep.first")).alias("rstart"))
-    edges = edges.withColumn("end", F.col("end_") + width).withColumn("diag", F.expr("start - rstart")).drop("end_")
+    edges = edges.withColumn("diag", F.expr("start - rstart")).drop("rstart").withColumns(
+        {"rdoc": F.col("rep.doc"), "rregion": F.col("rep.region")})
     side = ["doc", "region", "rdoc", "rregion", "diag"]
     edges = cut_lineage(_island(edges, side, "start", "end", "isle"))
     isles = (edges.groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
              .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
     isles = cut_lineage(_verified(isles, regions, similarity))
-    # of an island that fails as a whole every passage is tried
-    single = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi").withColumn(
-        "rend", F.expr("end - diag"))
-    single = cut_lineage(_verified_windows(single, regions, width, similarity))
-    hits = single.select(*side, "start", F.explode("good").alias("g")).select(
-        *side, F.expr("start + g.at").alias("start"), F.col("g.similarity").alias("similarity")).distinct()
-    hits = (_island(hits.withColumn("next", F.col("start") + 1), side, "start", "next", "run")
-            .groupBy(*side, "run").agg(F.min("start").alias("start"), (F.max("start") + width).alias("end"),
-                                       F.min("similarity").alias("similarity"))
-            .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
-    rest = _among_themselves(single.where("size(good) = 0"), regions, width, similarity)
+    # windows of a run that fails as a whole meet again, with their representatives, passage by passage
+    missed = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi")
+    own = ["key", "doc", "region", "anchor", "first", "stop"]
+    again = missed.select(*own).unionByName(missed.select("key", *[f"rep.{c}" for c in own[1:]])).distinct()
+    rest = _among_themselves(cut_lineage(again), regions, width, similarity)
     cols = ["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"]
-    results = isles.where("ok").select(*cols).unionByName(hits.select(*cols)).unionByName(rest.select(*cols))
     k = shingle_words - 1
-    passages = results.select(
+    return isles.where("ok").select(*cols).unionByName(rest.select(*cols)).select(
         "doc", F.col("start").alias("start_word"), (F.col("end") + k).alias("end_word"), F.col("rdoc").alias("rep_doc"),
         F.col("rstart").alias("rep_start_word"), (F.col("rend") + k).alias("rep_end_word"), "similarity")
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
-    copies = (marked.where(~F.col("__kept")).withColumn("n", words).where(F.col("n") >= min_words)
-              .select("doc", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"),
-                      F.col("__keep_id").alias("rep_doc"), F.lit(0).cast("long").alias("rep_start_word"),
-                      F.col("n").alias("rep_end_word"), F.lit(1.0).alias("similarity")))
-    return passages.unionByName(copies)
