@@ -48,8 +48,6 @@ END_CHECK_HEADER = "Here is the conversation you have to judge whether it has en
 END_CHECK_TAIL = 6          # messages looked at by the end check (W4)
 END_STREAK = 2              # consecutive "yes" verdicts that end a conversation (W6)
 DOCTOR_INSIST = ""          # appended after "\n" at streak 1 (W7)
-DOCTOR_GREETING = ("Hello, how are you feeling today? Any concerns or feelings you'd like to "
-                   "share? I'm here to listen and help with whatever you're going through.")
 
 # Judge (evaluate folder): metric templates skipped by name, scale, token limit.
 SKIPPED_TEMPLATES = ["panas_after.txt", "panas_before.txt"]
@@ -63,7 +61,6 @@ MAX_SEQ_LENGTH = 2048
 TRAIN_FRAC = 0.90
 SPLIT_SEED = 42
 DEFAULT_WINDOWS = [1, 2, 5]
-TOKEN_STATS_SAMPLE_LIMIT = 2000
 RESPONSE_MARKER = "<|im_start|>assistant"
 IGNORE_INDEX = -100
 EARLY_STOPPING_PATIENCE = 3
@@ -90,7 +87,6 @@ EXPERIMENTS = [
     ("models_1e_cactus_sft_50", "models/models_1e/qwen-cactus-therapist_w50", True),
     ("models_3e_cactus_sft_5", "models/models_3e/qwen-cactus-therapist_w5", True),
 ]
-NUM_PROFILES = 12
 NUM_PROFILE_REPEATS = 9
 MAX_TURNS = 100
 

@@ -13,8 +13,8 @@ key spreads over many tasks, and stitch the blocks back together:
   last ``w`` rows of each block are copied into the next block as a halo,
   so no frame straddles a block and each block is windowed independently.
 
-Earlier-block aggregates come from a ``groupBy(key, block)`` table whose size
-is rows / block_size, read off the last row of each locally windowed block
+Earlier-block aggregates come from a ``groupBy(key, block)`` table with a row per
+block that holds rows (for sparse keys hardly smaller than the input), read off the last row of each locally windowed block
 (so the input is exchanged once and that exchange is reused); it is joined
 back on ``(key, block)``, the same keys the local windows are partitioned by,
 so the big side is not re-shuffled.
@@ -42,6 +42,18 @@ def position_block(pos: str, block: int = DEFAULT_BLOCK) -> Column:
     return F.floor(F.col(pos) / F.lit(block)).cast("long")
 
 
+def _null_proof(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with two columns per key, a value and a null flag, that join and partition alike: a
+    null key is a key of its own, and the windows' partitioning still serves the joins."""
+    names = []
+    for n, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        fill = F.lit("1970-01-01" if kind.typeName() == "date" else "0" if kind.typeName() == "string" else 0).cast(kind)
+        df = df.withColumn(f"_k{n}", F.coalesce(F.col(k), fill)).withColumn(f"_n{n}", F.col(k).isNull())
+        names += [f"_k{n}", f"_n{n}"]
+    return df, names
+
+
 def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence, block_of: Column,
                    out: str = "pos") -> DataFrame:
     """Add ``out`` = 0-based position of each row inside ``keys`` by ``order``.
@@ -49,7 +61,8 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence, block_of
     ``block_of`` must be non-decreasing in ``order`` (e.g. ``floor(turn / B)``
     or the hour of a timestamp); rows of one key are numbered block by block.
     """
-    d = df.withColumn("_blk", block_of.cast("long"))
+    d, keys = _null_proof(df, keys)
+    d = d.withColumn("_blk", block_of.cast("long"))
     local = d.withColumn("_lrn", F.row_number().over(
         Window.partitionBy(*keys, "_blk").orderBy(*_cols(order))) - 1)
     # block sizes come from the numbered rows themselves: both branches then share
@@ -60,7 +73,7 @@ def dense_position(df: DataFrame, keys: Sequence[str], order: Sequence, block_of
         F.lit(0)).alias("_off"))
     return (local.join(carry, [*keys, "_blk"], "inner")
             .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("long"))
-            .drop("_blk", "_lrn", "_off"))
+            .drop("_blk", "_lrn", "_off", *keys))
 
 
 def running(df: DataFrame, keys: Sequence[str], pos: str,
@@ -70,7 +83,8 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
     ``specs`` = [(out, op, expr, inclusive)], op in sum|max|min|count.  With
     ``inclusive=False`` the current row is left out (rows strictly before).
     """
-    d = df.withColumn("_blk", position_block(pos, block))
+    d, keys = _null_proof(df, keys)
+    d = d.withColumn("_blk", position_block(pos, block))
     w_in = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     w_ex = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     for out, op, expr, inclusive in specs:
@@ -94,7 +108,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str,
         else:
             val = F.least(car, loc)
         j = j.withColumn(out, val).drop(f"_{out}_l", f"_{out}_c", f"_{out}_i")
-    return j.drop("_blk")
+    return j.drop("_blk", *keys)
 
 
 def lookback(df: DataFrame, keys: Sequence[str], pos: str, w: int, fields: Sequence,

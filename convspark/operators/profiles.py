@@ -16,13 +16,13 @@ from .scoring import run_model
 # ('Patient History:' ... 'In the upcoming conversation') are what the
 # operators rely on; callers pass their own template text.
 PATIENT_TEMPLATE = (
-    "Play a therapy client whose psychological profile follows.\n${psy_profile}\n"
-    "Patient History: ${history}\n\nCognitive Conceptualization Diagram:\n"
-    "Core Beliefs: ${core_belief}\nIntermediate Beliefs: ${intermediate_belief}\n"
-    "Intermediate Beliefs during Depression: ${intermediate_belief_depression}\n"
-    "Coping Strategies: ${coping_strategies}\n\n"
-    "Cognitive Models:\n${cognitive_models}\n\n"
-    "In the upcoming conversation, stay in character and answer the therapist briefly."
+    "You are the client in a therapy session. Who you are:\n${psy_profile}\n"
+    "Patient History: ${history}\n\nHow you see yourself and others.\n"
+    "- deep down you hold that: ${core_belief}\n- so you live by the rules: ${intermediate_belief}\n"
+    "- on a low day these become: ${intermediate_belief_depression}\n"
+    "- to get by you: ${coping_strategies}\n\n"
+    "Moments that show it:\n${cognitive_models}\n\n"
+    "In the upcoming conversation, answer in a sentence or two and never step out of the role."
 )
 
 

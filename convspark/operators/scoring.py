@@ -128,9 +128,18 @@ def score_replies(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     return df.withColumn("score", p["score"]).withColumn("explanation", p["explanation"])
 
 
+def materialized(scores: DataFrame) -> DataFrame:
+    """Scores written once to the checkpoint folder, for readers that would otherwise run the model again."""
+    from ..session import cut_lineage
+    return cut_lineage(scores)
+
+
 def metric_means(scores: DataFrame, key: str = "conv_id") -> DataFrame:
     """A1 + A3: mean score per metric (unparsed ignored; null when none parsed),
-    number of conversations evaluated and number of parsed scores."""
+    number of conversations evaluated and number of parsed scores.
+
+    Two aggregates read the scores, so they are materialized first: one model call per prompt."""
+    scores = materialized(scores.select(key, "metric", "score"))
     n_conv = scores.agg(F.countDistinct(key).alias("n_conversations"))
     per = scores.groupBy("metric").agg(F.avg("score").alias("avg_score"),
                                       F.count("score").alias("n_scored"))

@@ -30,7 +30,7 @@ def split_ids(ids: DataFrame, key: str = "conv_id", train_frac: float = TRAIN_FR
     consumer reads that, instead of re-deriving the ranking each time."""
     test_frac = 1.0 - train_frac
     if not 0.0 < test_frac < 1.0:
-        raise ValueError("test_frac must be between 0 and 1")
+        raise ValueError(f"train_frac must leave rows on both sides, got {train_frac}")
     keep = 1.0 - test_frac  # the same float expression as the source (Q23)
     d = ids.select(key).distinct().filter(F.col(key).isNotNull())
     d = d.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
@@ -52,16 +52,16 @@ def split_ids(ids: DataFrame, key: str = "conv_id", train_frac: float = TRAIN_FR
 
 
 def split_rows(rows: DataFrame, splits: DataFrame, key: str = "conv_id"):
-    """(train rows, test rows) by semi / anti join on the train ids."""
-    train_ids = splits.filter(F.col("split") == "train").select(key)
-    return rows.join(train_ids, key, "left_semi"), rows.join(train_ids, key, "left_anti")
+    """(train rows, test rows).  Rows without an id belong to neither side."""
+    side = lambda name: splits.filter(F.col("split") == name).select(key)
+    return rows.join(side("train"), key, "left_semi"), rows.join(side("test"), key, "left_semi")
 
 
 def split_check(all_ids: DataFrame, splits: DataFrame, key: str = "conv_id") -> DataFrame:
     """O3: train ∩ test = ∅ and train ∪ test = all; one row of four counts."""
     tr = splits.filter(F.col("split") == "train").select(key)
     te = splits.filter(F.col("split") == "test").select(key)
-    allk = all_ids.select(key).distinct()
+    allk = all_ids.select(key).filter(F.col(key).isNotNull()).distinct()
     overlap = tr.intersect(te).agg(F.count(F.lit(1)).alias("n_overlap"))
     missing = allk.exceptAll(tr.unionByName(te)).agg(F.count(F.lit(1)).alias("n_missing"))
     counts = splits.agg(F.count_if(F.col("split") == "train").alias("n_train"),

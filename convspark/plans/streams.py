@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import scoring as J
@@ -9,16 +11,11 @@ from ..operators.transcripts import render_dialogue, transcript_lines
 from ..session import checkpoint_path
 from ..sources.tables import turns
 from ..streaming import live as L
-from ..streaming.runner import run_to_table, session_time_zone, table_stream
+from ..streaming.runner import remove_folder, run_to_table, session_time_zone, table_stream
 from .judge import _JUDGE_CTE
 from .registry import register
 from .runs import _PAIRS_SQL, _STREAK_CTE
 
-# synthetic event time for turn rows: one minute per turn, conversations far apart
-def _turn_ts():
-    return F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 100000 + F.col("turn") * 60)
-
-
 def _events(spark, sf_dir):
     """Event stream with ``ts`` as TIMESTAMP (watermarks need it; session zone is UTC)."""
     return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -39,8 +36,8 @@ SELECT e.conv_id, 'end' AS kind, e.end_turn, CAST(2 AS BIGINT) AS streak,
 FROM e""")
 def stream_end_detect(spark, sf_dir):
     s = table_stream(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    checks = s.select("conv_id", "turn", (F.col("turn") % 3 != 0).alias("verdict"), _turn_ts().alias("ts"))
-    return run_to_table(L.live_end_detection(checks), "end_detect")
+    checks = s.select("conv_id", "turn", (F.col("turn") % 3 != 0).alias("verdict"))
+    return L.latest(run_to_table(L.live_end_detection(checks), "end_detect"), "conv_id")
 
 
 @register("stream_process_pairs", f"SELECT process, end_ts, start_ts, status FROM ({_PAIRS_SQL}) p")
@@ -50,59 +47,63 @@ def stream_process_pairs(spark, sf_dir):
         e = e.select(F.col("user_id").alias("process"),
                      F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"),
                      "ts", "event_id")
-        return _ntz(run_to_table(L.live_process_pairs(e), "process_pairs"))
+        found = L.latest(run_to_table(L.live_process_pairs(e), "process_pairs"), "process", "event_id")
+        return _ntz(found.drop("event_id"))
 
 
 _CTX_SQL = """
-WITH ns AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'),
-w AS (SELECT *, count(*) OVER x AS n_messages, sum(length(coalesce(text, ''))) OVER x AS context_chars FROM ns
+WITH ns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role <> 'system'),
+w AS (SELECT conv_id, turn, role, count(*) OVER x AS n_messages, sum(length(text)) OVER x AS context_chars,
+             string_agg(role || ': ' || text, chr(10)) OVER x AS context FROM ns
       WINDOW x AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-SELECT conv_id, turn, CAST(n_messages AS INTEGER) AS n_messages, CAST(context_chars AS BIGINT) AS context_chars
+SELECT conv_id, turn, CAST(n_messages AS INTEGER) AS n_messages, CAST(context_chars AS BIGINT) AS context_chars, context
 FROM w WHERE role = 'user'"""
 
 
 @register("stream_rolling_context", _CTX_SQL)
 def stream_rolling_context(spark, sf_dir):
-    s = table_stream(spark, sf_dir, "conversations").withColumn("ts", _turn_ts())
-    return run_to_table(L.live_rolling_context(s, 5), "rolling_context")
+    s = table_stream(spark, sf_dir, "conversations")
+    return L.latest(run_to_table(L.live_rolling_context(s, 5), "rolling_context"), "conv_id", "turn")
 
 
-_REQ_BODY = """CASE conv_id % 4 WHEN 0 THEN '{"messages": [' WHEN 1 THEN '{"messages": {}}'
-  WHEN 2 THEN '{"messages": [{"role": "user"}]}' ELSE '{"messages": [{"role": "user", "content": "hi"}]}' END"""
-_T4_SQL = f"""
-WITH r AS (SELECT conv_id, turn, {_REQ_BODY} AS body FROM conversations)
+# request bodies made from every turn's role and text; some are broken, by text length and role
+_T4_SQL = """
 SELECT conv_id, turn,
-  CASE conv_id % 4 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'No messages provided'
-       WHEN 2 THEN 'Invalid message format at index 0' END AS error,
-  CASE WHEN conv_id % 4 = 3 AND json_valid(body) THEN 'ok' ELSE 'error' END AS status
-FROM r"""
+  CASE WHEN length(text) % 5 = 0 THEN 'Invalid JSON' WHEN length(text) % 5 = 1 THEN 'Messages must be a list'
+       WHEN length(text) % 5 = 2 AND turn = 0 THEN 'No messages provided'
+       WHEN role = 'system' THEN 'Invalid message format at index 0' END AS error,
+  CASE WHEN length(text) % 5 < 2 OR role = 'system' OR (length(text) % 5 = 2 AND turn = 0) THEN 'error' ELSE 'ok' END AS status
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) t"""
 
 
 @register("stream_request_check", _T4_SQL)
 def stream_request_check(spark, sf_dir):
-    s = table_stream(spark, sf_dir, "conversations")
-    k = F.col("conv_id") % 4
-    body = (F.when(k == 0, F.lit('{"messages": [')).when(k == 1, F.lit('{"messages": {}}'))
-            .when(k == 2, F.lit('{"messages": [{"role": "user"}]}'))
-            .otherwise(F.lit('{"messages": [{"role": "user", "content": "hi"}]}')))
-    out = L.live_request_check(s.select("conv_id", "turn", body.alias("body")))
+    s = table_stream(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    k = F.length("text") % 5
+    one = F.to_json(F.struct("role", F.when(F.col("role") != "system", F.col("text")).alias("content")))
+    whole = F.concat(F.lit('{"messages": ['), one, F.lit("]}"))
+    body = (F.when(k == 0, F.expr("substring(whole, 1, length(whole) - 2)"))
+            .when(k == 1, F.concat(F.lit('{"messages": {"text": '), F.to_json(F.array("text")), F.lit("}}")))
+            .when((k == 2) & (F.col("turn") == 0), F.lit('{"messages": []}'))
+            .otherwise(F.col("whole")))
+    out = L.live_request_check(s.withColumn("whole", whole).select("conv_id", "turn", body.alias("body")))
     return run_to_table(out.select("conv_id", "turn", "error", "status"), "request_check")
 
 
 @register("stream_scores", f"""WITH {_JUDGE_CTE}
 SELECT metric, avg(score) AS avg_score, count(score) AS n_scored FROM js GROUP BY metric""")
 def stream_scores(spark, sf_dir):
-    # K1: write the transcripts as files, then S1/T5: score them as a file stream
+    # the transcripts, many to a file, written first and then scored as a file stream
     lines = transcript_lines(turns(spark, sf_dir))
     docs = render_dialogue(lines, F.col("line"), "", out="transcript")
-    folder = checkpoint_path(spark, "streams", "transcripts-" + __import__("uuid").uuid4().hex[:12])
-    docs.select(F.col("conv_id").cast("string").alias("conv_key"), "transcript") \
-        .write.partitionBy("conv_key").text(folder)
-    files = (spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64)
-             .text(folder, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("transcript")))
+    folder = checkpoint_path(spark, "streams", "transcripts-" + uuid.uuid4().hex[:12])
+    docs.select(F.col("conv_id").cast("string").alias("file"), "transcript").write.parquet(folder)
+    files = (spark.readStream.schema("file string, transcript string").option("maxFilesPerTrigger", 4)
+             .parquet(folder))
     scores = L.live_scores(files, J.templates_frame(spark))
-    return run_to_table(L.running_metric_means(scores), "scores", mode="complete")
+    means = run_to_table(L.running_metric_means(scores), "scores", mode="complete")
+    remove_folder(spark, folder)
+    return means
 
 
 _T6_SQL = """

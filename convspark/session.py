@@ -39,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,6 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else ""
+        if not fallback and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
         conf_dir = fallback or os.path.join(tempfile.gettempdir(), "convspark-checkpoints")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
@@ -64,6 +68,32 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return conf_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers (a zip, once per application), so that Python operators run from any
+    working directory; an installed or PYTHONPATH copy is found first by workers that have one."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect: artifacts are the client's business
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    import tempfile
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="convspark-"), "convspark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("convspark", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A sub-folder of the shared checkpoint dir (stream state, cut lineage)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

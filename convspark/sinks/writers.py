@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import file_stamp
-from ..operators.scoring import scores_by_conversation
+from ..functions.text import file_stamp, word_count
+from ..operators.scoring import (ModelFactory, materialized, render_prompts, run_model, score_replies,
+                                 scores_by_conversation)
 from ..operators.transcripts import render_dialogue, transcript_lines
+from ..sources.files import read_transcripts
 
 
 def write_transcripts(turns: DataFrame, out: str, stamp_col: str = "ts") -> None:
@@ -31,12 +33,13 @@ def write_run_dumps(dumps: DataFrame, out: str) -> None:
 
 
 def write_scores(scores: DataFrame, out: str, key: str = "conversation_file") -> None:
-    """K3: one JSON line per conversation ``{conversation_file, scores: {metric: {...}}}``."""
-    scores_by_conversation(scores, key).write.mode("overwrite").option("ignoreNullFields", False).json(out)
+    """K3: one JSON line per conversation ``{conversation_file, scores: {metric: {...}}}``, in name order."""
+    scores_by_conversation(scores, key).orderBy(key).write.mode("overwrite").option("ignoreNullFields", False).json(out)
 
 
 def write_summary(scores: DataFrame, out: str, key: str = "conversation_file") -> None:
     """K4: ``{num_conversations, average_scores: {metric: mean or null}}`` (one row)."""
+    scores = materialized(scores.select(key, "metric", "score"))
     per = scores.groupBy("metric").agg(F.avg("score").alias("avg"))
     n = scores.agg(F.countDistinct(key).alias("num_conversations"))
     summary = per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "avg"))))
@@ -45,6 +48,20 @@ def write_summary(scores: DataFrame, out: str, key: str = "conversation_file") -
         .option("ignoreNullFields", False).json(out)
 
 
+def evaluate_folder(spark: SparkSession, root: str, templates: DataFrame, factory: ModelFactory, out: str,
+                    partitions: int | None = None) -> DataFrame:
+    """S1 -> J1 -> U-1 -> X8 -> K3 + K4: score every transcript under ``root`` with every template.
+
+    The model is called once per prompt: its scored replies are written to the checkpoint folder
+    and both files, ``<out>/scores`` and ``<out>/summary``, come from there.  Returns the scores."""
+    docs = read_transcripts(spark, root).select(F.col("file").alias("conversation_file"), "transcript")
+    replies = run_model(render_prompts(docs, templates, partitions=partitions), "prompt", factory)
+    scores = materialized(score_replies(replies.drop("prompt", "transcript")))
+    write_scores(scores, f"{out}/scores")
+    write_summary(scores, f"{out}/summary")
+    return scores
+
+
 def write_sft(samples: DataFrame, out: str) -> None:
     """K5: SFT samples partitioned by window size and split."""
     samples.write.mode("overwrite").partitionBy("window_size", "split").parquet(out)
@@ -52,7 +69,7 @@ def write_sft(samples: DataFrame, out: str) -> None:
 
 def training_metadata(samples: DataFrame, text_col: str = "text", limit: int = 2048) -> DataFrame:
     """K6: per (window_size, split): example counts and token-length stats as one nested row."""
-    n = F.size(F.split(F.trim(F.col(text_col)), "\\s+"))
+    n = word_count(text_col)
     g = samples.withColumn("_n", n).groupBy("window_size", "split").agg(
         F.count(F.lit(1)).alias("num_examples"),
         F.struct(F.count("_n").alias("sample_count"), F.min("_n").alias("min"), F.max("_n").alias("max"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +47,8 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
 
 def transcript_turns(docs: DataFrame, text_col: str = "transcript") -> DataFrame:
     """S3: 'Speaker: text\\n\\n' blocks -> turn rows (``turn`` dense from 0, role mapped back)."""
-    blocks = docs.select("*", F.posexplode(F.split(F.col(text_col), "\n\n")).alias("_i", "_b")) \
-        .filter(F.trim(F.col("_b"), F.lit("\n")) != "").drop(text_col)
+    parts = F.filter(F.split(F.col(text_col), "\n\n"), lambda b: F.trim(b, F.lit("\n")) != "")
+    blocks = docs.select("*", F.posexplode(parts).alias("_i", "_b")).drop(text_col)
     spk = F.regexp_extract("_b", TRANSCRIPT_TURN_RE, 1)
     parsed = blocks.withColumn("speaker", F.when(spk != "", spk)) \
         .withColumn("text", F.when(spk != "", F.regexp_extract("_b", TRANSCRIPT_TURN_RE, 2)).otherwise(F.col("_b")))
@@ -72,6 +72,17 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("input_pos", F.monotonically_increasing_id())
 
 
+def _row_index(df: DataFrame, out: str) -> DataFrame:
+    """0-based position in reading order: the place inside the scan's partition plus the sizes of the
+    partitions before it (a row per partition, broadcast)."""
+    d = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
+    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offs), "_part")
+            .withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_part", "_off"))
+
+
 def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind: str | None = None,
                        schema=None) -> DataFrame:
     """S5 + F3 + X2-X4: exported dialogue rows -> ``id, turn, role, text``.
@@ -79,13 +90,13 @@ def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind:
     ``dialogue`` may be a string (labels / lines) or a list (``kind`` = map | pair | scalar).
     Pass ``schema`` with ``dialogue ARRAY<MAP<STRING,STRING>>`` to keep each item's own
     keys (and null values); with inferred structs, absent keys and nulls look alike.
-    Rows without a dialogue are dropped; a missing id becomes a row number.
+    A missing id becomes the row's position among all rows read, and only then rows without a
+    dialogue are dropped.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(path)
-    df = df.filter(F.col("dialogue").isNotNull())
+    df = _row_index(reader.load(path), "_row").filter(F.col("dialogue").isNotNull())
     dtype = df.schema["dialogue"].dataType
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
         names = [f.name for f in dtype.elementType.fields]
@@ -94,7 +105,7 @@ def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind:
             lambda k, v: v.isNotNull()))
         df = df.withColumn("dialogue", as_map)
     rid = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("id", F.coalesce(rid, F.monotonically_increasing_id().cast("string")))
+    df = df.withColumn("id", F.coalesce(rid, F.col("_row").cast("string")))
     dtype = df.schema["dialogue"].dataType
     if isinstance(dtype, T.StringType):
         turns = parse_dialogue_text("dialogue")

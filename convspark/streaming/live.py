@@ -1,134 +1,136 @@
 """Live operators on Structured Streaming.
 
-* T1 end detection, T2 process pairing, T3 rolling context: custom state per
-  key with ``applyInPandasWithState`` (state = a few scalars / a bounded list),
-  event-time timeout so idle keys are dropped once the watermark passes.
+* T1 end detection, T2 process pairing, T3 rolling context: custom state per key with
+  ``applyInPandasWithState``.  The state is the key's rows so far, so rows may arrive in any order and
+  over any number of micro-batches: each batch works the key's answer out anew and emits the rows
+  that changed, with a rising ``rev``.  The row with the highest ``rev`` counts (``latest``).
+  There is no watermark, so no row is dropped; ``idle`` optionally forgets keys that
+  had no row for so long, and says so in a row of its own.
 * T4 request validation: stateless ``readStream`` + the F10 expression.
-* T5 judge scoring of arriving transcript files: file source + stream-static
-  template join + the model operator + a running mean per metric.
-* T6 windowed usage and T7 idle sessions: built-in ``window`` /
-  ``session_window`` aggregations with a watermark; late rows are dropped.
+* T5 judge scoring of arriving transcripts: file source + stream-static template join + the
+  model operator + a running mean per metric.
+* T6 windowed usage and T7 idle sessions: built-in ``window`` / ``session_window`` aggregations
+  with a watermark, whose feature it is to leave out rows later than that.
 
 Every writer uses a checkpoint under the shared ``spark.checkpoint.dir`` so a
 restarted query resumes exactly once.
 """
 
 import json
-from typing import Iterator, Tuple
+from typing import Callable, Iterator, Tuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..constants import END_STREAK
 from ..functions.jsonmsg import request_check
 from ..operators import scoring as J
 
+STATE = "rows string, answers string, rev long"
+
+
+def _keyed_history(rows: DataFrame, key: str, fields: list[str], answer: Callable[[list], dict], out: str,
+                   idle: str | None) -> DataFrame:
+    """Per key: ``answer(sorted rows) -> {name: values}`` after each batch; emits ``key, *values, rev, expired``
+    for the names whose values changed."""
+    schema = T.StructType([rows.schema[key], *T._parse_datatype_string(out).fields,
+                           T.StructField("rev", T.LongType()), T.StructField("expired", T.BooleanType())])
+    names, width = schema.names, len(schema.names) - 3
+    timeout = pd.Timedelta(idle).total_seconds() if idle else None
+
+    def step(group: Tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, before, rev = state.get if state.exists else ("[]", "{}", 0)
+        held, before, rev = json.loads(held), json.loads(before), rev + 1
+        k = None if pd.isna(group[0]) else group[0]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k, *[None] * width, rev, True)], columns=names, dtype=object)
+            return
+        for pdf in pdfs:
+            held += json.loads(pdf[fields].to_json(orient="values", force_ascii=False))
+        held.sort(key=lambda r: [(x is not None, x) for x in r])
+        now = answer(held)
+        now = {n: list(v) for n, v in now.items()}
+        changed = [(k, *v, rev, False) for n, v in now.items() if before.get(n) != v]
+        state.update((json.dumps(held), json.dumps(now), rev))
+        if timeout:
+            state.setTimeoutDuration(int(timeout * 1000))
+        if changed:
+            yield pd.DataFrame(changed, columns=names, dtype=object)
+
+    mode = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.select(key, *fields).groupBy(key).applyInPandasWithState(step, schema, STATE, "append", mode)
+
+
+def latest(changes: DataFrame, *keys: str) -> DataFrame:
+    """The last state of each answer: the rows with the highest ``rev`` per ``keys``, expiry notes left out."""
+    rest = [c for c in changes.columns if c not in (*keys, "rev", "expired")]
+    return (changes.filter(~F.col("expired")).groupBy(*keys)
+            .agg(F.max_by(F.struct(*rest), "rev").alias("_v")).select(*keys, "_v.*"))
+
+
 # ---------------------------------------------------------------- T1 end detection
 
-END_OUT = "conv_id long, kind string, end_turn long, streak long, ignored long"
-END_STATE = "streak long, ended boolean, end_turn long"
-
-
-def _end_fn(key: Tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One row ``kind='end'`` when the streak first reaches the threshold (with the
-    number of later turns already seen in that micro-batch); turns that arrive in later
-    batches for an ended conversation are dropped and reported as ``kind='late'``."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    streak, ended, end_turn = state.get if state.exists else (0, False, None)
-    rows = pd.concat(list(pdfs)).sort_values("turn")
-    out = []
-    if ended:
-        out.append((int(key[0]), "late", int(end_turn), int(streak), int(len(rows))))
-    else:
-        for turn, verdict in zip(rows["turn"], rows["verdict"]):
-            streak = streak + 1 if bool(verdict) else 0
-            if streak >= END_STREAK:
-                ended, end_turn = True, int(turn)
-                later = int((rows["turn"] > turn).sum())
-                out.append((int(key[0]), "end", end_turn, int(streak), later))
-                break
-    state.update((int(streak), bool(ended), end_turn))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-    if out:
-        yield pd.DataFrame(out, columns=["conv_id", "kind", "end_turn", "streak", "ignored"])
-
-
-def live_end_detection(checks: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``checks`` stream (conv_id, turn, verdict, ts) -> a row when a conversation ends."""
-    return (checks.withWatermark("ts", delay).groupBy("conv_id")
-            .applyInPandasWithState(_end_fn, END_OUT, END_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def _end_of(rows: list) -> dict:
+    streak = 0
+    for n, (turn, verdict) in enumerate(rows):
+        streak = streak + 1 if verdict else 0
+        if streak >= END_STREAK:
+            return {"end": ("end", turn, streak, sum(r[0] > turn for r in rows[n + 1:]))}
+    return {}
 
 
-# ---------------------------------------------------------------- T2 process pairing
+def live_end_detection(checks: DataFrame, idle: str | None = None) -> DataFrame:
+    """``checks`` stream (conv_id, turn, verdict) -> ``conv_id, kind, end_turn, streak, ignored`` once the
+    streak reaches the threshold, and again whenever later or earlier turns change it (``ignored``
+    counts the turns after the end)."""
+    return _keyed_history(checks, "conv_id", ["turn", "verdict"], _end_of,
+                          "kind string, end_turn long, streak long, ignored long", idle)
 
-PAIR_OUT = "process long, end_ts timestamp, start_ts timestamp, status string"
-PAIR_STATE = "start_us long"
 
+# ---------------------------------------------------------------- T2 process pairing
 
-def _pair_fn(key: Tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    pending = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-    out = []
-    for kind, ts in zip(rows["kind"], rows["ts"]):
+def _pairs_of(rows: list) -> dict:
+    out, pending = {}, None
+    for us, event, kind in rows:
         if kind == "start":
-            pending = ts
+            pending = us
         else:
-            out.append((int(key[0]), ts, pending, "ok" if pending is not None else "orphan"))
+            out[str(event)] = (event, us, pending, "orphan" if pending is None else "ok")
             pending = None
-    if pending is None:
-        state.remove()
-    else:
-        state.update((int(pd.Timestamp(pending).value // 1000),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 30 * 86_400_000)
-    if out:
-        yield pd.DataFrame(out, columns=["process", "end_ts", "start_ts", "status"])
+    return out
 
 
-def live_process_pairs(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``events`` stream (process, kind start|end, ts, event_id) -> one row per end."""
-    return (events.withWatermark("ts", delay).groupBy("process")
-            .applyInPandasWithState(_pair_fn, PAIR_OUT, PAIR_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+def live_process_pairs(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """``events`` stream (process, kind start|end, ts, event_id) -> ``process, event_id, end_ts, start_ts, status``
+    per end event, and again when an event that belongs before it arrives later."""
+    rows = events.select("process", F.unix_micros("ts").alias("us"), "event_id", "kind")
+    found = _keyed_history(rows, "process", ["us", "event_id", "kind"], _pairs_of,
+                           "event_id long, end_us long, start_us long, status string", idle)
+    return found.select("process", "event_id", F.timestamp_micros("end_us").alias("end_ts"),
+                        F.timestamp_micros("start_us").alias("start_ts"), "status", "rev", "expired")
 
 
 # ---------------------------------------------------------------- T3 rolling context
 
-CTX_OUT = "conv_id long, turn long, n_messages int, context_chars long"
-CTX_STATE = "recent string"
-
-
-def _ctx_fn_for(w: int):
-    def fn(key: Tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs)).sort_values("turn")
-        out = []
-        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-            recent = (recent + [[role, text]])[-w:]
+def live_rolling_context(turns: DataFrame, w: int, idle: str | None = None) -> DataFrame:
+    """Turn stream -> at each user turn the last ``w`` non-system messages: ``conv_id, turn, n_messages,
+    context_chars, context`` (``role: text`` lines)."""
+    def contexts(rows: list) -> dict:
+        out = {}
+        for n, (turn, role, _) in enumerate(rows):
             if role == "user":
-                out.append((int(key[0]), int(turn), len(recent), sum(len(t or "") for _, t in recent)))
-        state.update((json.dumps(recent),))  # bounded: at most w messages
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "n_messages", "context_chars"])
-    return fn
-
-
-def live_rolling_context(turns: DataFrame, w: int, delay: str = "1 hour") -> DataFrame:
-    """Non-system turn stream -> at each user turn, size of the last ``w`` messages."""
-    return (turns.filter(F.col("role") != "system").withWatermark("ts", delay).groupBy("conv_id")
-            .applyInPandasWithState(_ctx_fn_for(w), CTX_OUT, CTX_STATE, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+                recent = [(r, t or "") for _, r, t in rows[max(0, n + 1 - w):n + 1]]
+                out[f"{turn}.{n}" if n and rows[n - 1][0] == turn else str(turn)] = (
+                    turn, len(recent), sum(len(t) for _, t in recent), "\n".join(f"{r}: {t}" for r, t in recent))
+        return out
+
+    talk = turns.filter(F.col("role") != "system")
+    return _keyed_history(talk, "conv_id", ["turn", "role", "text"], contexts,
+                          "turn long, n_messages int, context_chars long, context string", idle)
 
 
 # ---------------------------------------------------------------- T4 request validation

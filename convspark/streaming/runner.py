@@ -10,23 +10,31 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_path
+from ..session import checkpoint_path, cut_lineage
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """File-source stream over ``{sf_dir}/{name}.parquet`` (schema taken from the file footer)."""
+    """File-source stream over ``{sf_dir}/{name}.parquet``, a file or a directory of part files (schema
+    from the footers).  The one-letter glob makes the source take either."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{path[:-1]}[t]"))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this module has written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain ``df`` with ``trigger(availableNow=True)`` into a fresh parquet folder; read it back."""
+    """Drain ``df`` with ``trigger(availableNow=True)`` into a fresh parquet folder; read it back.
+
+    The rows are checkpointed and the run's folder (output and stream state) is removed."""
     spark = df.sparkSession
-    run = f"{name}-{uuid.uuid4().hex[:12]}"
-    out = checkpoint_path(spark, "streams", run, "out")
-    chk = checkpoint_path(spark, "streams", run, "chk")
+    run = checkpoint_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    out, chk = f"{run}/out", f"{run}/chk"
     if mode == "complete":
         def write(batch: DataFrame, epoch: int):
             batch.write.mode("overwrite").parquet(out)
@@ -38,7 +46,9 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    result = cut_lineage(spark.read.schema(df.schema).parquet(out))
+    remove_folder(spark, run)
+    return result
 
 
 @contextmanager

@@ -1,13 +1,18 @@
 """Streaming operators on small event files: state edge cases (FIXTURES §C)."""
 
 import os
+import time
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from convspark.streaming import live as L
 from convspark.streaming.runner import run_to_table
 
+from .conftest import SF_SMALL
+
 
 def _stream(spark, tmp_path, rows, schema):
     d = str(tmp_path / f"src-{uuid.uuid4().hex[:8]}")
@@ -25,7 +30,7 @@ def test_process_pairs_edge_cases(spark, tmp_path):
     df = _stream(spark, tmp_path, [(p, k, base + s, i) for p, k, s, i in rows],
                  "process long, kind string, secs long, event_id long")
     df = df.withColumn("ts", F.timestamp_seconds("secs"))
-    out = run_to_table(L.live_process_pairs(df), "t2-test").orderBy("process", "end_ts").collect()
+    out = L.latest(run_to_table(L.live_process_pairs(df), "t2-test"), "process", "event_id").orderBy("process", "end_ts").collect()
     got = [(r.process, r.status, None if r.start_ts is None else int(r.start_ts.timestamp()) - base,
             int(r.end_ts.timestamp()) - base) for r in out]
     assert got == [(1, "orphan", None, 10), (2, "ok", 20, 50), (3, "ok", 10, 20), (3, "orphan", None, 30)]
@@ -37,7 +42,7 @@ def test_end_detection_edge_cases(spark, tmp_path):
     rows = [(c, i * 2, bool(v), base + c * 10000 + i * 60) for c, vs in conv.items() for i, v in enumerate(vs)]
     df = _stream(spark, tmp_path, rows, "conv_id long, turn long, verdict boolean, secs long")
     df = df.withColumn("ts", F.timestamp_seconds("secs"))
-    out = run_to_table(L.live_end_detection(df), "t1-test").orderBy("conv_id").collect()
+    out = L.latest(run_to_table(L.live_end_detection(df), "t1-test"), "conv_id").orderBy("conv_id").collect()
     # conversation 1 ends at its 5th check (streak 2), 2 never ends, 3 ends on its second check;
     # later checks of an ended conversation are dropped and counted
     assert [(r.conv_id, r.kind, r.end_turn, r.ignored) for r in out] == [(1, "end", 8, 2), (3, "end", 2, 2)]
@@ -48,26 +53,48 @@ def test_rolling_context_keeps_w(spark, tmp_path):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", "x" * (t + 1), base + t) for t in range(7)]
     df = _stream(spark, tmp_path, rows, "conv_id long, turn long, role string, text string, secs long")
     df = df.withColumn("ts", F.timestamp_seconds("secs"))
-    out = run_to_table(L.live_rolling_context(df, 3), "t3-test").orderBy("turn").collect()
+    out = L.latest(run_to_table(L.live_rolling_context(df, 3), "t3-test"), "conv_id", "turn").orderBy("turn").collect()
     assert [(r.turn, r.n_messages, r.context_chars) for r in out] == [(0, 1, 1), (2, 3, 6), (4, 3, 12), (6, 3, 18)]
     assert os.path.isdir(str(tmp_path))
 
 
-def test_end_detection_late_batch(spark, tmp_path):
-    base = 1704067200
-    d = str(tmp_path / "late")
-    schema = "conv_id long, turn long, verdict boolean, secs long"
-    spark.createDataFrame([(1, 0, True, base), (1, 2, True, base + 60)], schema).coalesce(1) \
-        .write.mode("append").parquet(d)
-    spark.createDataFrame([(1, 4, False, base + 120), (1, 6, True, base + 180)], schema).coalesce(1) \
-        .write.mode("append").parquet(d)
-    files = sorted(f for f in os.listdir(d) if f.endswith(".parquet"))
-    assert len(files) == 2
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(d)
-           .withColumn("ts", F.timestamp_seconds("secs")))
-    out = run_to_table(L.live_end_detection(src), "t1-late").orderBy("kind").collect()
-    got = sorted((r.kind, r.end_turn, r.ignored) for r in out)
-    # file order decides the batches; either way one end at turn 2 and the two later
-    # turns are counted once (same batch -> 'end' row, next batch -> 'late' row)
-    assert ("end", 2, 0) in got or ("end", 2, 2) in got
-    assert sum(r.ignored for r in out) == 2
+def test_late_and_early_turns_over_several_batches(spark, tmp_path):
+    """Two files, one batch each, in either order: the same end, and a null conversation is one too."""
+    schema = "conv_id long, turn long, verdict boolean"
+    parts = [[(1, 0, True), (1, 2, True), (None, 0, True)], [(1, 4, False), (1, 6, True), (None, 1, True)]]
+    for name, order in (("a", parts), ("b", parts[::-1])):
+        d = str(tmp_path / name)
+        for n, rows in enumerate(order):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{n}")
+            time.sleep(1.1)  # file times order the batches
+        src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/*"))
+        out = L.latest(run_to_table(L.live_end_detection(src), "t1-late"), "conv_id").collect()
+        assert {(r.conv_id, r.end_turn, r.ignored) for r in out} == {(1, 2, 2), (None, 1, 0)}
+
+
+STATEFUL = ["stream_end_detect", "stream_process_pairs", "stream_rolling_context", "stream_request_check", "stream_scores",
+            "stream_usage_windows", "stream_sessions"]
+
+
+@pytest.fixture(scope="module")
+def split_tables(spark, tmp_path_factory):
+    """Each table as a directory of five part files, rows dealt out without regard to keys or order
+    (events in time order, as their watermark asks for)."""
+    d = str(tmp_path_factory.mktemp("dirs"))
+    for name in ("conversations", "events"):
+        t = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        t = t.repartitionByRange(5, "ts").sortWithinPartitions("ts") if name == "events" else t.repartition(5)
+        for n, rows in enumerate(np.array_split(t.toPandas(), 5) if name == "events" else []):
+            spark.createDataFrame(rows, t.schema).coalesce(1).write.mode("append").parquet(f"{d}/{name}.parquet")
+            time.sleep(1.1)
+        if name != "events":
+            t.write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", STATEFUL)
+def test_directory_tables_lose_nothing(spark, split_tables, name):
+    from convspark.plans.catalog import QUERIES
+    def rows(df):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert rows(QUERIES[name](spark, split_tables)) == rows(QUERIES[name](spark, SF_SMALL))
