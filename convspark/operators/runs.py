@@ -94,15 +94,21 @@ def eval_log(metrics: DataFrame, run: str, ts: str, tie: str, loss: str) -> Data
                           out="step").select("run", "step", "loss")
 
 
-def best_checkpoints(log: DataFrame, keep: int = SAVE_TOTAL_LIMIT) -> DataFrame:
-    """A10: best = lowest loss (first such step); the ``keep`` newest plus the best are kept."""
-    g = log.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n_evals"),
-        F.min_by("step", F.struct("loss", "step")).alias("best_step"),
-        F.min("loss").alias("best_loss"), F.max("step").alias("last_step"))
-    newest_has_best = F.col("best_step") > F.col("last_step") - keep
-    return g.withColumn("n_kept", F.least(F.col("n_evals"), F.lit(keep))
-                        + F.when(newest_has_best, 0).otherwise(1))
+def best_checkpoints(metrics: DataFrame, run: str, ts: str, tie: str, loss: str, keep: int = SAVE_TOTAL_LIMIT) -> DataFrame:
+    """A10: best = lowest loss (first such evaluation); the ``keep`` newest plus the best are kept.
+
+    No row is numbered: one aggregate finds each run's best evaluation, one join counts the
+    evaluations before it, which is its step."""
+    m = metrics.select(F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
+                       F.col(loss).cast("double").alias("loss"))
+    g = m.groupBy("run").agg(F.count(F.lit(1)).alias("n_evals"), F.min("loss").alias("best_loss"),
+                             F.min(F.struct("loss", "ts", "tie")).alias("best"))
+    g = g.select(F.col("run").alias("_run"), "n_evals", "best_loss", F.struct("best.ts", "best.tie").alias("at"))
+    step = (m.join(g, F.col("run").eqNullSafe(F.col("_run")))
+            .groupBy("run", "n_evals", "best_loss").agg(F.count_if(F.struct("ts", "tie") < F.col("at")).alias("best_step")))
+    newest_has_best = F.col("best_step") >= F.col("n_evals") - keep
+    return step.select("run", "n_evals", "best_step", "best_loss", (F.col("n_evals") - 1).alias("last_step"),
+                       (F.least(F.col("n_evals"), F.lit(keep)) + F.when(newest_has_best, 0).otherwise(1)).alias("n_kept"))
 
 
 def early_stop(log: DataFrame, patience: int = EARLY_STOPPING_PATIENCE) -> DataFrame:

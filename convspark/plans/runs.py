@@ -8,6 +8,8 @@ from ..constants import END_CHECK_HEADER, EXPERIMENTS, NUM_PROFILE_REPEATS
 from ..functions.text import file_stamp, iso_z, verdict_yes, elapsed_hms, word_count
 from ..operators import endings as EN
 from ..operators import runs as R
+from ..operators.scoring import run_model
+from ..session import cut_lineage
 from ..sources.tables import table, turns
 from .registry import register
 from .sqlbits import q, strip, words
@@ -33,10 +35,19 @@ def end_tail_prompt(spark, sf_dir):
     return EN.end_check_prompts(turns(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- W5 (verdict stub: turn % 3 <> 0)
+# ---------------------------------------------------------------- U-3 -> X21 -> W5 -> W6 -> W7
 
-_STREAK_CTE = f"""
-c AS (SELECT conv_id, turn, (turn % 3 <> 0) AS verdict FROM conversations WHERE role = 'user'),
+# the stand-in verdict model sees nothing but the rendered prompt
+def _verdict_model():
+    return lambda prompt: "Yes, it has ended." if len(prompt) % 3 else "No, keep going."
+
+
+INSIST = "Let us come to a close."
+
+
+def _streak_cte(checks: str) -> str:
+    return f"""
+c AS ({checks}),
 g AS (SELECT *, sum(CASE WHEN verdict THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn
                                                               ROWS UNBOUNDED PRECEDING) AS grp FROM c),
 st AS (SELECT conv_id, turn, verdict,
@@ -46,12 +57,13 @@ st AS (SELECT conv_id, turn, verdict,
 """
 
 
+_STREAK_CTE = _streak_cte(f"SELECT conv_id, turn, length(prompt) % 3 <> 0 AS verdict FROM ({_TAIL_SQL}) p")
+
+
 def _streaks(spark, sf_dir):
     t = turns(spark, sf_dir)
-    prompts = EN.end_check_prompts(t)
-    # stand-in verdict model: answers "Yes" unless the turn number is a multiple of 3
-    reply = F.when(F.col("turn") % 3 != 0, F.lit("Yes, it has ended.")).otherwise(F.lit("No, keep going."))
-    checks = prompts.select("conv_id", "turn", verdict_yes(reply).alias("verdict"))
+    replies = run_model(EN.end_check_prompts(t), "prompt", _verdict_model)
+    checks = cut_lineage(replies.select("conv_id", "turn", verdict_yes("reply").alias("verdict")))
     return t, EN.end_streaks(checks)
 
 
@@ -62,7 +74,7 @@ def end_streak(spark, sf_dir):
 
 _TRUNC_SQL = f"""WITH {_STREAK_CTE},
 e AS (SELECT conv_id, min(turn) FILTER (WHERE streak >= 2) AS end_turn FROM st GROUP BY conv_id),
-x AS (SELECT c.conv_id, c.turn, c.role,
+x AS (SELECT c.conv_id, c.turn, c.role, c.text,
              sum(CASE WHEN c.role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY c.conv_id ORDER BY c.turn
                                                                   ROWS UNBOUNDED PRECEDING) AS exchange
       FROM conversations c),
@@ -70,18 +82,21 @@ k AS (SELECT x.*, e.end_turn, (x.role = 'assistant' AND EXISTS (SELECT 1 FROM st
                                   AND st.turn + 1 = x.turn AND st.streak = 1)) AS insisted
       FROM x LEFT JOIN e ON e.conv_id = x.conv_id
       WHERE (e.end_turn IS NULL OR x.turn <= e.end_turn + 1) AND x.exchange <= 100)
-SELECT conv_id, max(end_turn) AS end_turn, count(*) AS n_kept, count(*) FILTER (WHERE insisted) AS n_insist
+SELECT conv_id, max(end_turn) AS end_turn, count(*) AS n_kept, count(*) FILTER (WHERE insisted) AS n_insist,
+       md5(string_agg(coalesce(text, '') || CASE WHEN insisted THEN {NL} || {q(INSIST)} ELSE '' END, {NL} ORDER BY turn)) AS text_md5
 FROM k GROUP BY conv_id"""
 
 
 @register("end_truncate", _TRUNC_SQL)
 def end_truncate(spark, sf_dir):
     t, st = _streaks(spark, sf_dir)
-    kept = EN.truncate_at_end(t, st)
+    kept = EN.truncate_at_end(t, st, insist=INSIST)
     ends = EN.end_points(st)
-    agg = kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_kept"),
-                                      F.count_if("insisted").alias("n_insist"))
-    return agg.join(ends, "conv_id", "left").select("conv_id", "end_turn", "n_kept", "n_insist")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))),
+                        lambda x: x.text)
+    agg = kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_kept"), F.count_if("insisted").alias("n_insist"),
+                                      F.md5(F.array_join(texts, "\n")).alias("text_md5"))
+    return agg.join(ends, "conv_id", "left").select("conv_id", "end_turn", "n_kept", "n_insist", "text_md5")
 
 
 # ---------------------------------------------------------------- J3 / J7 / F13
@@ -178,7 +193,7 @@ def _log(spark, sf_dir):
 
 @register("best_checkpoint", _BEST_SQL)
 def best_checkpoint(spark, sf_dir):
-    return R.best_checkpoints(_log(spark, sf_dir))
+    return R.best_checkpoints(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "value")
 
 
 _STOP_SQL = f"""WITH {_LOG_CTE},

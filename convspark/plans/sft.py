@@ -126,23 +126,22 @@ UNION ALL SELECT 'full_windows_w5', pairs.n, full5.n FROM pairs, full5
 
 @register("stage_counts", _STAGES_SQL)
 def stage_counts(spark, sf_dir):
-    """Rows in and out of each preparation stage, counted in one pass per stage."""
-    from ..operators.tokens import quality_keep
+    """Rows in and out of each preparation stage: one aggregate over the joined labels, one over the
+    roles and positions of the turns (no text is read)."""
+    from ..operators.ordered import lookback
     from ..sources.tables import table
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     doc = table(spark, sf_dir, "documents").select("doc_id")
-    rows = lab.join(doc, "doc_id").withColumn(
-        "mi_quality", F.when(F.col("quality") == 1, "High").otherwise("low"))
-    kept = quality_keep(rows, observe_name=None)
-    q = rows.agg(F.count(F.lit(1)).alias("n_in")).crossJoin(kept.agg(F.count(F.lit(1)).alias("n_out"))) \
+    mi_quality = F.when(F.col("quality") == 1, "High").otherwise("low")
+    q = lab.join(doc, "doc_id").agg(F.count(F.lit(1)).alias("n_in"),
+                                    F.count_if(F.lower(mi_quality) == "high").alias("n_out")) \
         .select(F.lit("quality_filter").alias("stage"), "n_in", "n_out")
-    t = turns(spark, sf_dir)
-    s = S.sft_samples(S.normalized_turns(t), [1, 2, 5])
-    n_turns = t.agg(F.count(F.lit(1)).alias("n_in"))
-    per_w = s.groupBy("window_size").agg(F.count(F.lit(1)).alias("n_out")).crossJoin(n_turns) \
-        .select(F.concat(F.lit("samples_w"), F.col("window_size").cast("string")).alias("stage"), "n_in", "n_out")
-    s5 = s.filter(F.col("window_size") == 5)
-    full = s5.agg(F.count(F.lit(1)).alias("n_in"),
-                  F.count_if(F.size("messages") - 2 == F.col("window_size")).alias("n_out")) \
-        .select(F.lit("full_windows_w5").alias("stage"), "n_in", "n_out")
-    return q.unionByName(per_w).unionByName(full)
+    t = S.normalized_turns(turns(spark, sf_dir)).drop("text")
+    f = lookback(t, ["conv_id"], "turn", 1, ["turn", "role"], out="before", include_current=False)
+    pair = (F.col("role") == "assistant") & (F.try_element_at("before", F.lit(-1))["role"] == "user")
+    n = f.agg(F.count(F.lit(1)).alias("turns"), F.count_if(pair).alias("pairs"),
+              F.count_if(pair & (F.col("turn") >= 5)).alias("full"))
+    rows = [F.struct(F.lit(f"samples_w{w}").alias("stage"), F.col("turns").alias("n_in"), F.col("pairs").alias("n_out"))
+            for w in (1, 2, 5)]
+    rows.append(F.struct(F.lit("full_windows_w5").alias("stage"), F.col("pairs").alias("n_in"), F.col("full").alias("n_out")))
+    return q.unionByName(n.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))

@@ -44,7 +44,5 @@ FROM conversations c JOIN sp s ON s.conv_id = c.conv_id GROUP BY s.split"""
 @register("split_turns", _TURNS_SQL)
 def split_turns(spark, sf_dir):
     t = turns(spark, sf_dir)
-    train, test = SP.split_rows(t, SP.split_ids(t.select("conv_id")))
-    agg = [F.countDistinct("conv_id").alias("n_conversations"), F.count(F.lit(1)).alias("n_turns")]
-    return train.agg(*agg).select(F.lit("train").alias("split"), "*") \
-        .unionByName(test.agg(*agg).select(F.lit("test").alias("split"), "*"))
+    return t.join(SP.split_ids(t.select("conv_id")), "conv_id").groupBy("split").agg(
+        F.countDistinct("conv_id").alias("n_conversations"), F.count(F.lit(1)).alias("n_turns"))

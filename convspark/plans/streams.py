@@ -14,7 +14,7 @@ from ..streaming import live as L
 from ..streaming.runner import remove_folder, run_to_table, session_time_zone, table_stream
 from .judge import _JUDGE_CTE
 from .registry import register
-from .runs import _PAIRS_SQL, _STREAK_CTE
+from .runs import _PAIRS_SQL, _streak_cte
 
 def _events(spark, sf_dir):
     """Event stream with ``ts`` as TIMESTAMP (watermarks need it; session zone is UTC)."""
@@ -29,14 +29,18 @@ def _ntz(df):
     return df
 
 
-@register("stream_end_detect", f"""WITH {_STREAK_CTE},
+# the stand-in verdict depends on the turn's text
+_CHECKS_SQL = "SELECT conv_id, turn, length(coalesce(text, '')) % 3 <> 0 AS verdict FROM conversations WHERE role = 'user'"
+
+
+@register("stream_end_detect", f"""WITH {_streak_cte(_CHECKS_SQL)},
 e AS (SELECT conv_id, min(turn) AS end_turn FROM st WHERE streak >= 2 GROUP BY conv_id)
 SELECT e.conv_id, 'end' AS kind, e.end_turn, CAST(2 AS BIGINT) AS streak,
        (SELECT count(*) FROM st WHERE st.conv_id = e.conv_id AND st.turn > e.end_turn) AS ignored
 FROM e""")
 def stream_end_detect(spark, sf_dir):
     s = table_stream(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    checks = s.select("conv_id", "turn", (F.col("turn") % 3 != 0).alias("verdict"))
+    checks = s.select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 3 != 0).alias("verdict"))
     return L.latest(run_to_table(L.live_end_detection(checks), "end_detect"), "conv_id")
 
 
