@@ -25,11 +25,12 @@ from pyspark.sql import Window
 ORDER = 5
 BITS = 12  # 5 * 12 = 60 bits
 OTHER = (1 << BITS) - 1  # a letter outside the learned alphabet
-SAMPLE_DOCS = 600
-SAMPLE_CHARS = 2_000_000
+SAMPLE_DOCS = 1000
+SAMPLE_CHARS = 3_500_000
 MAX_LANGS = 512
 HELD_BACK = 5  # every fifth sampled document sets the rejection bound instead of counts
 SLACK = 1.25
+SIGMAS = 4.0
 SHARPNESS = 12.0
 UNDETERMINED = "und"
 
@@ -123,12 +124,14 @@ class Identifier:
     langs: list[str]
     alphabet: np.ndarray
     models: list[Model]
-    bounds: np.ndarray       # per language, the cross-entropy beyond which a text is rejected
+    bounds: np.ndarray       # per language, the cross-entropy beyond which a long text is rejected
+    spread: np.ndarray       # per language, the standard deviation of a character's log-probability
     keys: np.ndarray         # sorted highest-order n-grams of all languages
     table: np.ndarray        # their log-probability in every language
 
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Nats per character in every language, one row per text (of ``letters``, not empty)."""
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of every character in every language (pads count nothing), and where each
+        text starts and ends.  Texts come from ``letters`` and are not empty."""
         codes, ends = _codes(texts, self.alphabet)
         grams = _grams(codes)
         at = np.searchsorted(self.keys, grams)
@@ -140,12 +143,21 @@ class Identifier:
             scores[unseen] = np.stack([m.score(kinds) for m in self.models], axis=1)[inv]
         pad = ORDER - 1
         starts = np.concatenate([[0], ends[:-1]]) + pad
-        # a text's own characters lie between its pad and its end; sums run from start to the
-        # next text's start, whose pad rows count nothing
         for s in range(pad):
             scores[starts - 1 - s] = 0
+        return scores, starts, ends
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats per character in every language, one row per text, and the texts' lengths."""
+        scores, starts, ends = self.scores(texts)
+        # a sum runs up to the next text's start, over a pad that counts nothing
         sums = np.add.reduceat(scores, starts, axis=0, dtype=np.float64)
-        return -sums / (ends - starts)[:, None]
+        return -sums / (ends - starts)[:, None], ends - starts
+
+    def accepts(self, lang: np.ndarray, entropy: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether a text's cross-entropy is within its language's bound; the bound is wider for short
+        texts, by ``SIGMAS`` standard errors of a mean over that many characters."""
+        return entropy <= self.bounds[lang] + SIGMAS * self.spread[lang] / np.sqrt(length)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """``(language, score, cross-entropy, accepted)`` of each text."""
@@ -157,12 +169,13 @@ class Identifier:
             batch.append(i)
             size += len(clean[i])
             if size > 250_000 or n == len(todo) - 1:
-                h = self.entropies([clean[j] for j in batch])
+                h, length = self.entropies([clean[j] for j in batch])
                 best = h.argmin(axis=1)  # ties: the first language by name
                 low = h.min(axis=1)
                 share = 1.0 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1)
-                for j, b, e, p in zip(batch, best, low, share):
-                    out[j] = (self.langs[b], float(p), float(e), bool(e <= self.bounds[b]))
+                fits = self.accepts(best, low, length)
+                for j, b, e, p, ok in zip(batch, best, low, share, fits):
+                    out[j] = (self.langs[b], float(p), float(e), bool(ok))
                 batch, size = [], 0
         return out
 
@@ -198,7 +211,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     per = "lang string, grams binary, held array<string>, alphabet binary"
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r")
+        pdf = pdf.sort_values("r").drop_duplicates("text")
         texts, held, size = [], [], 0
         for k, t in enumerate(pdf["text"]):
             t = letters(t)
@@ -229,9 +242,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         models.append(train(_grams(codes)[keep]))
     keys = np.unique(np.concatenate([m.keys[-1] for m in models]))
     table = np.stack([m.score(keys) for m in models], axis=1).astype(np.float32)
-    ident = Identifier([r["lang"] for r in got], alphabet, models, np.full(len(got), np.inf), keys, table)
+    ident = Identifier([r["lang"] for r in got], alphabet, models, np.zeros(len(got)), np.zeros(len(got)), keys, table)
     for k, r in enumerate(got):
-        ident.bounds[k] = SLACK * ident.entropies(list(r["held"]))[:, k].max()
+        scores, starts, ends = ident.scores(list(r["held"]))
+        own = [scores[a:b, k] for a, b in zip(starts, ends)]
+        ident.bounds[k] = SLACK * max(-x.mean() for x in own)
+        ident.spread[k] = np.concatenate(own).std()
     return ident
 
 
