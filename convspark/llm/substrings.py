@@ -186,18 +186,18 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
     position around these.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
     which compares two of its parts, so that no task gets a whole hot key and no pair is left out.
     """
-    begin = F.greatest(F.col("first"), F.col("anchor") - (width - 1))
-    end = F.least(F.col("stop"), F.col("anchor") + width)
-    near = (rows.select("key", "doc", "region", "anchor", "first", "stop")
-            .join(regions, ["doc", "region"]).withColumn("lo", begin).withColumn("hi", end)
-            .withColumn("near", F.slice("hashes", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")))
-            .select("key", "doc", "anchor", "lo", "near"))
     size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     mine = F.pmod(F.xxhash64("doc", "anchor"), F.col("parts")).cast("int")
-    cells = (near.join(size, "key").withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("mine", mine)
+    cells = (rows.select("key", "doc", "region", "anchor", "first", "stop").join(size, "key")
+             .withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("mine", mine)
              .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-             .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                     "doc", "anchor", "lo", "near"))
+             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
+    # the shingles come last, so that they are shuffled once
+    lo = F.greatest(F.col("first"), F.col("anchor") - (width - 1))
+    hi = F.least(F.col("stop"), F.col("anchor") + width)
+    near = F.slice("hashes", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+    cells = (cells.join(regions, ["doc", "region"]).withColumn("lo", lo).withColumn("hi", hi)
+             .select("key", "i", "j", "doc", "anchor", "lo", near.alias("near")))
     keys = ["key", "i", "j"]
     kind = rows.schema["doc"].dataType.simpleString()
     out = f"doc {kind}, start long, end long, rdoc {kind}, rstart long, rend long, similarity double"
