@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import cut_lineage, text_or_empty
+from .common import text_or_empty, written
 
 SHINGLE_WORDS = 5
 MIN_WORDS = 50
@@ -294,8 +294,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .withColumn("__low", F.min("doc").over(by_key)).withColumn("__high", F.max("doc").over(by_key))
               .where("__low < __high").drop("__low", "__high")
               .withColumn("stop", F.col("last") + width))
-    shared = cut_lineage(_island(shared, ["doc"], "first", "stop", "region"))
-    regions = cut_lineage(_regions(texts, shared, shingle_words))
+    shared = written(_island(shared, ["doc"], "first", "stop", "region"))
+    regions = written(_regions(texts, shared, shingle_words))
 
     rep = F.first(F.struct("doc", "region", "anchor", "first", "last", "stop")).over(
         Window.partitionBy("key").orderBy("doc", "first"))
@@ -312,15 +312,15 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = edges.withColumn("diag", F.expr("start - rstart")).drop("rstart").withColumns(
         {"rdoc": F.col("rep.doc"), "rregion": F.col("rep.region")})
     side = ["doc", "region", "rdoc", "rregion", "diag"]
-    edges = cut_lineage(_island(edges, side, "start", "end", "isle"))
+    edges = written(_island(edges, side, "start", "end", "isle"))
     isles = (edges.groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
              .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
-    isles = cut_lineage(_verified(isles, regions, similarity))
+    isles = written(_verified(isles, regions, similarity))
     # windows of a run that fails as a whole meet again, with their representatives, passage by passage
     missed = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi")
     own = ["key", "doc", "region", "anchor", "first", "stop"]
     again = missed.select(*own).unionByName(missed.select("key", *[f"rep.{c}" for c in own[1:]])).distinct()
-    rest = _among_themselves(cut_lineage(again), regions, width, similarity)
+    rest = _among_themselves(written(again), regions, width, similarity)
     cols = ["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"]
     k = shingle_words - 1
     return isles.where("ok").select(*cols).unionByName(rest.select(*cols)).select(
