@@ -33,6 +33,16 @@ def _keep_flag(df: DataFrame, key: Column, bits: DataFrame, words: int) -> DataF
             .drop("__w", "__p", "__bits"))
 
 
+def _refinement(docs: DataFrame, text: Column, prefix_chars: int, words: int) -> tuple[Column, DataFrame]:
+    """The prefix key of a row and the bit set of the prefix keys that may belong to a group: lengths
+    seen twice first, then among those rows prefix hashes seen twice."""
+    by_len = F.xxhash64(F.length(text))
+    by_prefix = F.xxhash64(F.length(text), F.substring(text, 1, prefix_chars))
+    lens = _survivors(docs.select(by_len.alias("__k")), words)
+    first = _keep_flag(docs, by_len, lens, words).where("__hit")
+    return by_prefix, _survivors(first.select(by_prefix.alias("__k")), words)
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     prefix_chars: int = PREFIX_CHARS, filter_words: int = FILTER_WORDS) -> DataFrame:
     """Every row of ``docs`` plus ``__keep_id``, ``__group_size`` and ``__kept``.
@@ -45,13 +55,10 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Three scans, none of which shuffles a text: (1) lengths seen twice, (2) of those rows the
     prefix hashes seen twice, (3) of those rows the SHA-256 of the whole text, grouped.  What
     survives (1) and (2) is handed on as a bit set of fixed size (broadcast, 16 bytes a word).
+    The last join carries every column of ``docs``; see ``exact_dedup`` for a filter that does not.
     """
     text = text_or_empty(text_col)
-    by_len = F.xxhash64(F.length(text))
-    by_prefix = F.xxhash64(F.length(text), F.substring(text, 1, prefix_chars))
-    lens = _survivors(docs.select(by_len.alias("__k")), filter_words)
-    first = _keep_flag(docs.select(text_col), by_len, lens, filter_words).where("__hit")
-    prefixes = _survivors(first.select(by_prefix.alias("__k")), filter_words)
+    by_prefix, prefixes = _refinement(docs.select(text_col), text, prefix_chars, filter_words)
 
     def refined(df: DataFrame) -> DataFrame:
         # a row without a group keeps its prefix hash as key, which no full hash equals: one null
@@ -70,6 +77,22 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .drop("__full"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns (see ``mark_duplicates``)."""
-    return mark_duplicates(docs, id_col, text_col).where("__kept").select(*docs.columns)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                prefix_chars: int = PREFIX_CHARS, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay, with its columns (``mark_duplicates`` says which).
+
+    Rows that length and prefix set apart pass without a shuffle.  The others meet the kept ids on
+    (full hash, id), so that a group of copies, however large, spreads over all tasks.
+    """
+    text = text_or_empty(text_col)
+    by_prefix, prefixes = _refinement(docs.select(text_col), text, prefix_chars, filter_words)
+
+    def suspects(df: DataFrame) -> DataFrame:
+        return _keep_flag(df, by_prefix, prefixes, filter_words).where("__hit").withColumn("__full", F.sha2(text, 256))
+
+    stays = (suspects(docs.select(id_col, text_col)).groupBy(F.col("__full").alias("__f"))
+             .agg(F.max(id_col).alias("__keep_id")))
+    some = suspects(docs).join(
+        stays, (F.col("__full") == F.col("__f")) & F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+    alone = _keep_flag(docs, by_prefix, prefixes, filter_words).where("not __hit")
+    return alone.select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -43,6 +43,20 @@ def test_stage_keeps_columns_and_rows(spark):
         str(r[0]) for r in brute(ROWS) if r[3])
 
 
+def test_filter_agrees_with_the_marks_however_rough(spark):
+    df = docs_of(spark, ROWS + [doc(i, "hot") for i in range(100, 160)])
+    for kw in ({}, {"filter_words": 1, "prefix_chars": 2}):
+        want = [str(r["doc_id"]) for r in mark_duplicates(df, **kw).where("__kept").collect()]
+        assert sorted(str(r["doc_id"]) for r in exact_dedup(df, **kw).collect()) == sorted(want)
+
+
+def test_unique_texts_pass_without_a_shuffle_and_copies_spread_by_id(spark):
+    plan = exact_dedup(docs_of(spark, ROWS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftSemi") == 1
+    semi = next(line for line in plan.splitlines() if "LeftSemi" in line)
+    assert "__full" in semi and "<=>" in semi
+
+
 def test_empty(spark):
     df = docs_of(spark, [])
     assert exact_dedup(df).collect() == [] and exact_dedup(df).columns == df.columns
