@@ -50,7 +50,7 @@ def loss_labels(ids, marker, newline_id=None) -> Column:
     everything -100."""
     ids, marker = _c(ids), _c(marker)
     start = last_subsequence_start(ids, marker)
-    upto = start + F.size(marker) - 1  # number of masked leading tokens (1-based end)
+    upto = (start + F.size(marker) - 1).cast("int")  # number of masked leading tokens (1-based end)
     if newline_id is not None:
         upto = F.when(F.try_element_at(ids, upto + 1) == F.lit(newline_id), upto + 1).otherwise(upto)
     # no per-element lambda: the mask boundary is computed once per row, then

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import EARLY_STOPPING_PATIENCE, EXPERIMENTS, NUM_PROFILE_REPEATS, SAVE_TOTAL_LIMIT
 from ..functions.text import elapsed_hms, local_stamp, window_size_from_model
 from ..session import cut_lineage
-from .ordered import dense_position, lookback, running
+from .ordered import DEFAULT_BLOCK, dense_position, lookback, position_block, running
 
 # Time blocks for ordering events inside one process / run: an hour per block keeps a
 # busy key spread over many tasks, while the per-block carry table stays narrow.
@@ -111,6 +111,20 @@ def best_checkpoints(metrics: DataFrame, run: str, ts: str, tie: str, loss: str,
                        (F.least(F.col("n_evals"), F.lit(keep)) + F.when(newest_has_best, 0).otherwise(1)).alias("n_kept"))
 
 
+def eval_steps(history: DataFrame, run: str, step: str, loss: str, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """``run, step, loss, eval``: evaluations with training steps of any spacing, numbered per run."""
+    h = history.select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"))
+    return cut_lineage(dense_position(h, ["run"], ["step", "loss"], position_block("step", block), out="eval")
+                       .select("run", "step", "loss", "eval"))
+
+
+def best_by_step(log: DataFrame) -> DataFrame:
+    """A10 on ``eval_steps``: ``run, n_evals, best_eval, best_loss``; evaluations without a loss are never best."""
+    best = F.min(F.when(F.col("loss").isNotNull(), F.struct("loss", "eval")))
+    return log.groupBy("run").agg(F.count(F.lit(1)).alias("n_evals"), best.alias("b")).select(
+        "run", "n_evals", F.col("b.eval").alias("best_eval"), F.col("b.loss").alias("best_loss"))
+
+
 def early_stop(log: DataFrame, patience: int = EARLY_STOPPING_PATIENCE) -> DataFrame:
     """Stop at the first evaluation ``patience`` evaluations after the last
     strict improvement of the best loss; null when training would not stop."""

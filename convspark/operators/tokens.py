@@ -11,12 +11,13 @@ from .ordered import DEFAULT_BLOCK, lookback
 
 
 def length_stats(df: DataFrame, length_col: str, group_cols=(), limit_over: int = MAX_SEQ_LENGTH,
-                 sample_limit: int | None = None, order_cols=()) -> DataFrame:
+                 sample_limit: int | None = None, order_cols=(), extra=()) -> DataFrame:
     """A5: count, min, max, mean, median and number over the context per group.
 
     ``sample_limit`` reproduces the source's first-N sampling (ordered top-N);
     the default is the whole table.  ``median`` is Spark's exact percentile,
-    which keeps a value->count map per group (bounded by distinct lengths).
+    which keeps a value->count map per group (bounded by distinct lengths).  ``extra``
+    are further aggregates of the same pass.
     """
     if sample_limit:
         df = df.orderBy(*order_cols).limit(sample_limit)
@@ -28,7 +29,7 @@ def length_stats(df: DataFrame, length_col: str, group_cols=(), limit_over: int
         # the sampled lengths themselves, in sample order (bounded by sample_limit)
         keyed = F.struct(*[F.col(c) for c in order_cols], L.alias("_len")) if order_cols else F.struct(L.alias("_len"))
         aggs.append(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["_len"]).alias("sample_lengths"))
-    return df.groupBy(*group_cols).agg(*aggs)
+    return df.groupBy(*group_cols).agg(*aggs, *extra)
 
 
 def request_usage(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +13,16 @@ from .ordered import DEFAULT_BLOCK, dense_position
 
 
 def render_dialogue(turns: DataFrame, line: Column, sep: str, key: str = "conv_id",
-                    pos: str = "turn", out: str = "dialogue") -> DataFrame:
+                    pos: str = "turn", out: str = "dialogue", carry: Sequence[str] = ()) -> DataFrame:
     """One document per conversation: ``line`` of each turn in position order,
     joined by ``sep``.  The conversation is the unit of the document format, so
     this aggregates per key (hash partial aggregation does not apply to lists;
-    rows are shuffled once by key)."""
+    rows are shuffled once by key).  ``carry``: columns of the conversation, taken from its first turn."""
+    first = F.min(F.struct(F.col(pos).alias("_p"), *carry)).alias("_first")
     return (turns.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), line.alias("l"))))
-                 .alias("_lines"))
-            .select(key, F.array_join(F.transform("_lines", lambda x: x["l"]), sep).alias(out)))
+                 .alias("_lines"), *([first] if carry else []))
+            .select(key, *[F.col(f"_first.`{c}`") for c in carry], F.array_join(F.transform("_lines", lambda x: x["l"]), sep).alias(out)))
 
 
 def transcript_lines(turns: DataFrame) -> DataFrame:

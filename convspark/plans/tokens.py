@@ -110,6 +110,35 @@ def loss_mask(spark, sf_dir):
                                 lambda a, x: a + F.when(x == IGNORE_INDEX, 0).otherwise(x)).alias("label_sum"))
 
 
+# tokens that tell marker, role word and line breaks apart: the marker is two tokens, and the line
+# break after it belongs to the masked part
+_PIECES = r"<\|im_start\|>|<\|im_end\|>|\n|[^\s<]+|<"
+_PAIR_MASK_SQL = f"""
+WITH c AS ({_CHAT_SQL}),
+t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, {q(_PIECES)}, 0),
+                                           lambda x: CAST(ascii(x) * 1000 + length(x) AS INTEGER)) AS ids FROM c),
+p AS (SELECT conv_id, turn, ids, coalesce(list_max(list_filter(range(1, len(ids)),
+             lambda i: ids[i] = ascii('<') * 1000 + 12 AND ids[i + 1] = ascii('a') * 1000 + 9)), 0) AS start FROM t),
+k AS (SELECT conv_id, turn, ids, CASE WHEN start = 0 THEN len(ids) WHEN ids[start + 2] = 10001 THEN start + 2
+                                      ELSE start + 1 END AS n_masked FROM p)
+SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(n_masked AS BIGINT) AS n_masked,
+       CAST(coalesce(list_sum(ids[n_masked + 1:]), 0) AS BIGINT) AS label_sum
+FROM k"""
+
+
+@register("loss_mask_newline", _PAIR_MASK_SQL)
+def loss_mask_newline(spark, sf_dir):
+    """X19 with a marker of two tokens and the newline rule."""
+    pieces = F.regexp_extract_all("text", F.lit(f"({_PIECES})"), 1)
+    t = _chat(spark, sf_dir).select("conv_id", "turn", C.token_ids(pieces).alias("ids"),
+                                    C.token_ids(F.array(F.lit("<|im_start|>"), F.lit("assistant"))).alias("marker"))
+    t = t.select("conv_id", "turn", "ids", C.loss_labels("ids", "marker", newline_id=10001).alias("labels"))
+    return t.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x == IGNORE_INDEX)).cast("long").alias("n_masked"),
+                    F.aggregate("labels", F.lit(0).cast("long"),
+                                lambda a, x: a + F.when(x == IGNORE_INDEX, 0).otherwise(x)).alias("label_sum"))
+
+
 _USAGE_CTE = f"""
 u AS (SELECT conv_id, turn, role, {words('text')} AS n FROM conversations),
 r AS (SELECT conv_id, turn, role, n AS completion_tokens,
@@ -185,12 +214,12 @@ FROM lens GROUP BY window_size, split"""
 @register("sft_metadata", _sft_meta_sql())
 def sft_metadata(spark, sf_dir):
     from ..operators.split import split_ids
+    from ..sinks.writers import training_metadata
     t = turns(spark, sf_dir)
     s = S.sft_samples(S.normalized_turns(t), [1, 2, 5])
     s = s.join(split_ids(t.select("conv_id")), "conv_id")
-    txt = s.select("window_size", "split", word_count(strip_tags_dataset(C.chat_text("messages"))).alias("n"))
-    L = F.col("n")
-    return txt.groupBy("window_size", "split").agg(
-        F.count(F.lit(1)).alias("num_examples"), F.min(L).alias("min_len"), F.max(L).alias("max_len"),
-        F.avg(L).alias("mean_len"), F.median(L).alias("median_len"),
-        F.count_if(L > MAX_SEQ_LENGTH).alias("n_over_max"))
+    meta = training_metadata(s.select("window_size", "split", strip_tags_dataset(C.chat_text("messages")).alias("text")))
+    L = "token_length_stats"
+    return meta.select("window_size", "split", "num_examples", F.col(f"{L}.min").alias("min_len"),
+                       F.col(f"{L}.max").alias("max_len"), F.col(f"{L}.mean").alias("mean_len"),
+                       F.col(f"{L}.median").alias("median_len"), F.col(f"{L}.num_exceeding_max_seq").alias("n_over_max"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
+def _named(rows: DataFrame, experiment: Column) -> DataFrame:
+    """Profile id and timestamp from ``file``, the transcript's path or name."""
+    profile, stamp = (F.regexp_extract("file", NAME_RE, i) for i in (1, 2))
+    return rows.select(
+        "file", experiment.alias("experiment"), F.when(profile != "", profile).cast("int").alias("profile_id"),
+        F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyyMMdd'T'HHmmss")).alias("ts"), "transcript")
+
+
+def read_transcripts(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """S1 + S2: one row per ``*.txt`` under ``root`` (recursively): file path, experiment
     (parent folder), profile id and timestamp from the file name, and the whole text.
-    A missing folder gives an empty frame."""
+    A missing folder gives an empty frame.  ``packed``: the Parquet layout of ``write_transcripts``, where
+    ``file`` is the conversation's name."""
     schema = "file string, experiment string, profile_id int, ts timestamp, transcript string"
     if not _exists(spark, root):
         return spark.createDataFrame([], schema)
+    if packed:
+        rows = spark.read.schema("conversation string, transcript string, experiment string").parquet(root).withColumnsRenamed(
+            {"conversation": "file"})
+        return _named(rows, F.col("experiment"))
     raw = (spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
            .text(root, wholetext=True)
            .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("transcript")))
@@ -36,13 +49,7 @@ def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     grand = F.regexp_extract("file", "([^/]+)/[^/]+/[^/]+$", 1)
     experiment = F.when(parent.startswith("conversation="), F.regexp_replace(grand, "^experiment=", "")) \
         .otherwise(parent)
-    stamp = F.regexp_extract("file", NAME_RE, 2)
-    return raw.select(
-        "file", experiment.alias("experiment"),
-        F.when(F.regexp_extract("file", NAME_RE, 1) != "", F.regexp_extract("file", NAME_RE, 1))
-        .cast("int").alias("profile_id"),
-        F.try_to_timestamp(F.when(stamp != "", stamp), F.lit("yyyyMMdd'T'HHmmss")).alias("ts"),
-        "transcript")
+    return _named(raw, experiment)
 
 
 def transcript_turns(docs: DataFrame, text_col: str = "transcript") -> DataFrame:
