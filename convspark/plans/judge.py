@@ -76,3 +76,13 @@ def score_pivot(spark, sf_dir):
     s = judged(spark, sf_dir).withColumn(
         "experiment", F.concat(F.lit("exp_"), (F.col("conv_id") % 3).cast("string")))
     return J.experiment_pivot(s, sorted(J.DEFAULT_TEMPLATES))
+
+
+@register("score_records", f"""WITH {_JUDGE_CTE}
+SELECT conv_id, count(*) OVER (PARTITION BY conv_id) AS n_metrics, metric, score,
+       'words=' || split_part(raw, 'words=', 2) AS explanation, raw FROM js""")
+def score_records(spark, sf_dir):
+    """A2: the score record of each conversation, its map opened again."""
+    rec = J.scores_by_conversation(judged(spark, sf_dir))
+    opened = rec.select("conv_id", F.size("scores").cast("long").alias("n_metrics"), F.explode("scores").alias("metric", "s"))
+    return opened.select("conv_id", "n_metrics", "metric", "s.score", "s.explanation", "s.raw")

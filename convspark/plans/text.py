@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import LINE_BREAK_RE, WS_CLASS
 from ..functions import dialogue as D
 from ..functions.scores import parse_score
-from ..functions.text import strip_tags_dataset, strip_tags_generation
+from ..functions.text import file_stem, strip_tags_dataset, strip_tags_generation
 from ..operators.transcripts import labelled_rows_to_turns, render_dialogue, transcript_lines
 from ..sources.tables import table, turns
 from ..session import spread
@@ -243,3 +243,12 @@ def score_parse(spark, sf_dir):
     r = judge_reply_fixture(spark, sf_dir)
     p = parse_score("reply")
     return r.select("doc_id", p["score"].alias("score"), p["explanation"].alias("explanation"))
+
+
+@register("file_stems", """
+WITH n AS (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages)
+SELECT page_id, CASE WHEN contains(name, '.') THEN left(name, length(name) - length(split_part(name, '.', -1)) - 1)
+                     ELSE name END AS stem FROM n""")
+def file_stems(spark, sf_dir):
+    """X22 on the paths of the pages."""
+    return table(spark, sf_dir, "pages").select("page_id", file_stem("url").alias("stem"))
