@@ -182,8 +182,9 @@ def _verified(spans: DataFrame, regions: DataFrame, least: float) -> DataFrame:
 def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: float, cell: int = CELL) -> DataFrame:
     """Verified pairs among the windows ``rows`` of each key, at least a spanning forest of them.
 
-    Windows of a key are aligned at their anchors, so two of them are compared position by
-    position around these.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
+    Windows of a key hold the same shingle at their anchors; two of them are compared around these,
+    each ``width``-long slice of one with each of the other, so that words put in or left out move
+    nothing out of reach.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
     which compares two of its parts, so that no task gets a whole hot key and no pair is left out.
     """
     size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -201,48 +202,63 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
     keys = ["key", "i", "j"]
     kind = rows.schema["doc"].dataType.simpleString()
     out = f"doc {kind}, start long, end long, rdoc {kind}, rstart long, rend long, similarity double"
-    reach = 2 * width - 1
 
     def pairs(t: pa.Table) -> list[tuple]:
-        doc, anchor = t.column("doc").to_pylist(), t.column("anchor").to_numpy()
-        around = np.zeros((t.num_rows, reach), np.int64)
-        around[:] = -1 - np.arange(t.num_rows)[:, None] - (1 << 40)  # equal to nothing where there is no shingle
-        begin, end = np.zeros((2, t.num_rows), np.int64)
-        for n, (lo, near) in enumerate(zip(t.column("lo").to_pylist(), t.column("near").to_pylist())):
-            begin[n] = lo - int(anchor[n]) + width - 1
-            end[n] = begin[n] + len(near)
-            around[n, begin[n]:end[n]] = near
-        root, got = np.arange(t.num_rows), []
-        enough = int(np.ceil(least * 2 * width / (1 + least) - 1e-9))
-        for i in range(t.num_rows - 1):
+        doc, lows, n = t.column("doc").to_pylist(), t.column("lo").to_numpy(), t.num_rows
+        lists = t.column("near").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        seen, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        # the distinct shingles of each row; where there are fewer, the number that no row has
+        own = [np.unique(code[e - m:e]) for e, m in zip(ends, sizes)]
+        distinct = np.full((n, max(map(len, own))), len(seen))
+        for i, u in enumerate(own):
+            distinct[i, :len(u)] = u
+        slices = {}
+
+        def sliced(i: int) -> tuple[np.ndarray, np.ndarray]:
+            """Which distinct shingles each ``width``-long slice of row ``i`` holds, and how many."""
+            if i not in slices:
+                at = np.searchsorted(own[i], code[ends[i] - sizes[i]:ends[i]])
+                sums = np.zeros((sizes[i] + 1, len(own[i])), np.int32)
+                sums[np.arange(1, sizes[i] + 1), at] = 1
+                sums = np.cumsum(sums, axis=0)
+                held = sums[width:] > sums[:-width]
+                slices[i] = held, held.sum(axis=1)
+            return slices[i]
+
+        least_held = np.array([width if len(u) == m else sliced(i)[1].min() for i, (u, m) in enumerate(zip(own, sizes))])
+        root, got, here = np.arange(n), [], np.zeros(len(seen) + 1, bool)
+        for i in range(n - 1):
             later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-            same = around[later] == around[i]
-            many = same.sum(axis=1) >= enough
-            later, same = later[many], same[many]
-            if not len(later):
-                continue
-            sums = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1)
-            hits = sums[:, width:] - sums[:, :-width]
-            at = np.arange(hits.shape[1])
-            hits[(at < np.maximum(begin[later], begin[i])[:, None])
-                 | (at + width > np.minimum(end[later], end[i])[:, None])] = 0
-            for j, h in zip(later, hits):
-                best = int(h.argmax())
-                if h[best] < enough or doc[i] == doc[j] or root[i] == root[j]:
+            here[own[i]] = True
+            shared = here[distinct[later]].sum(axis=1)
+            enough = np.ceil(least * (least_held[later] + least_held[i]) / (1 + least) - 1e-9)
+            for j in later[shared >= enough]:
+                if doc[i] == doc[j] or root[i] == root[j]:
                     continue
-                a, b = (set(around[x, best:best + width].tolist()) for x in (i, j))
-                sim = len(a & b) / len(a | b)
+                # every slice of one against every slice of the other
+                (x, nx), (y, ny) = sliced(i), sliced(j)
+                mine = here[own[j]]
+                common = x[:, np.searchsorted(own[i], own[j][mine])].astype(np.float32) @ y[:, mine].T.astype(np.float32)
+                sims = common / (nx[:, None] + ny - common.astype(float))
+                a, b = divmod(int(sims.argmax()), len(ny))
+                sim = float(sims[a, b])
                 if sim < least:
                     continue
                 root[root == root[j]] = root[i]
+                run = np.diagonal(sims, b - a) >= least
+                best = min(a, b)
                 lo, hi = best, best
-                while lo and h[lo - 1] >= enough:
+                while lo and run[lo - 1]:
                     lo -= 1
-                while hi + 1 < len(h) and h[hi + 1] >= enough:
+                while hi + 1 < len(run) and run[hi + 1]:
                     hi += 1
+                at = {i: (int(lows[i]) + a + lo - best, int(lows[i]) + a + hi - best + width),
+                      j: (int(lows[j]) + b + lo - best, int(lows[j]) + b + hi - best + width)}
                 one, two = ((i, j) if doc[i] > doc[j] else (j, i))
-                at = [(int(anchor[x]) - width + 1 + lo, int(anchor[x]) + 1 + hi) for x in (one, two)]
-                got.append((doc[one], *at[0], doc[two], *at[1], sim))
+                got.append((doc[one], *at[one], doc[two], *at[two], sim))
+            here[own[i]] = False
         return got
 
     def run(batches):

@@ -100,3 +100,24 @@ def test_hot_key_as_a_grid_of_cells(spark):
 def test_empty(spark):
     assert shared_passages(docs_of(spark, [])).collect() == []
     assert shared_passages(docs_of(spark, [doc(1, None)])).collect() == []
+
+
+def test_inserted_and_deleted_words(spark):
+    """Passages that differ by one word put in or left out in the middle, inside unrelated documents."""
+    rng = random.Random(21)
+    rows, kinds = [], {}
+    for n in range(60):
+        p = text(rng, 50 + 10 * (n % 3))
+        q = p[:len(p) // 2] + (["put"] if n % 2 else []) + p[len(p) // 2 + (1 - n % 2):]
+        for d, w in ((2 * n, p), (2 * n + 1, q)):
+            rows.append(doc(d, " ".join(text(rng, 70) + w + text(rng, 70))))
+        kinds[(2 * n + 1, 2 * n)] = n % 2
+    words = {r[0]: r[1].split() for r in rows}
+    got = shared_passages(docs_of(spark, rows)).collect()
+    assert {(r["doc"], r["rep_doc"]) for r in got} <= set(kinds)
+    for r in got:
+        a, b = words[r["doc"]][r["start_word"]:r["end_word"]], words[r["rep_doc"]][r["rep_start_word"]:r["rep_end_word"]]
+        assert len(a) == len(b) and max(jaccard(a[i:i + 50], b[i:i + 50]) for i in range(len(a) - 49)) >= 0.8
+    for kind in (0, 1):
+        found = {(r["doc"], r["rep_doc"]) for r in got if kinds[(r["doc"], r["rep_doc"])] == kind}
+        assert len(found) >= 24
