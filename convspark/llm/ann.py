@@ -3,7 +3,9 @@
 The index is cut into shards by a hash of the id.  In a shard every tree keeps the vectors' long
 hash strings (signs of random projections) in a sorted array.  A query descends each tree by binary
 search to its longest prefix match; then all trees ascend together, one prefix bit at a time,
-until the prefixes hold enough candidates.  Candidates are scored exactly.
+until the prefixes hold enough candidates: index entries, and distinct vectors in proportion to the
+shard.  Candidates are scored exactly.  Equal vectors of a shard are one entry of its index, and
+their ids are put back after scoring.
 
 A cell of the plan is a shard against a block of queries.  Both have a bounded number of rows, so a
 cell's memory does not grow with the table; cells grow with rows times queries, as the
@@ -24,6 +26,8 @@ QUERY_ROWS = 2048
 TREES = 32
 HASH_BITS = 32
 CANDIDATES = 8000
+# of a shard's distinct vectors
+SHARE = 0.55
 K = 20
 
 
@@ -60,9 +64,11 @@ class Forest:
         self.order = np.argsort(h, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(h, self.order, axis=1)
 
-    def ranges(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    def ranges(self, queries: np.ndarray, wanted: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per tree and query, the run ``[low, high)`` of the sorted array at the query's depth:
-        the largest common prefix length at which all trees together hold ``wanted`` entries."""
+        the largest common prefix length at which all trees together hold ``wanted`` entries
+        (one number, or one per query)."""
+        wanted = np.broadcast_to(wanted, len(queries))
         hq = _hashes(np.hstack([queries, np.zeros((len(queries), 1))]), self.trees, self.bits)
         low = np.zeros(hq.shape, np.int64)
         high = np.full(hq.shape, len(self.x), np.int64)
@@ -74,32 +80,41 @@ class Forest:
                 stem = hq[t, todo] >> s
                 lo[t] = np.searchsorted(self.sorted[t], stem << s)
                 hi[t] = np.searchsorted(self.sorted[t], (stem + one) << s)
-            full = (hi - lo).sum(axis=0) >= wanted
+            full = (hi - lo).sum(axis=0) >= wanted[todo]
             low[:, todo[full]], high[:, todo[full]] = lo[:, full], hi[:, full]
             todo = todo[~full]
             if not len(todo):
                 break
         return low, high
 
-    def search(self, queries: np.ndarray, k: int, wanted: int):
-        """For each query the positions of its candidates' best and their inner products (a few
-        more than ``k`` where the last place is tied)."""
-        if len(self.x) <= wanted // 4:
-            low = np.zeros((1, len(queries)), np.int64)
-            high = np.full((1, len(queries)), len(self.x), np.int64)
-        else:
-            low, high = self.ranges(queries, wanted)
-        seen = np.zeros(len(self.x), bool)
-        for q in range(len(queries)):
-            seen[:] = False
-            for t in range(len(low)):
-                seen[self.order[t, low[t, q]:high[t, q]]] = True
-            rows = np.flatnonzero(seen)
-            scores = self.x[rows] @ queries[q]
-            if len(rows) > k:
-                best = scores >= np.partition(scores, -k)[-k]
-                rows, scores = rows[best], scores[best]
-            yield rows, scores
+    def search(self, queries: np.ndarray, k: int, wanted: int, share: float = SHARE):
+        """For each query, in no order, its number, the positions of its candidates' best and their
+        inner products (a few more than ``k`` where the last place is tied).
+
+        Candidates are ``wanted`` index entries or more, and ``share`` of the rows (a quarter of
+        ``wanted`` at least): a query with fewer distinct rows ascends further."""
+        n = len(self.x)
+        least = max(int(np.ceil(share * n)), min(n, wanted // 4))
+        need = np.full(len(queries), max(wanted, least))
+        seen, todo = np.zeros(n, bool), np.arange(len(queries))
+        while len(todo):
+            low, high = self.ranges(queries[todo], need[todo])
+            few = []
+            for at, q in enumerate(todo):
+                seen[:] = False
+                for t in range(self.trees):
+                    seen[self.order[t, low[t, at]:high[t, at]]] = True
+                rows = np.flatnonzero(seen)
+                if len(rows) < least:
+                    need[q] = (high[:, at] - low[:, at]).sum() + 1
+                    few.append(q)
+                    continue
+                scores = self.x[rows] @ queries[q]
+                if len(rows) > k:
+                    best = scores >= np.partition(scores, -k)[-k]
+                    rows, scores = rows[best], scores[best]
+                yield q, rows, scores
+            todo = np.array(few, int)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -135,10 +150,17 @@ def nearest(vectors: DataFrame, query_filter, k: int = K, id_col: str = "vec_id"
         out = {"query_id": [], "id": [], "score": []}
         if len(xs) and len(qs):
             ids, qids = xs["id"].to_numpy(), qs["id"].to_numpy()
-            forest = Forest(np.array(xs["vec"].tolist(), float), trees, bits)
-            found = forest.search(np.array(qs["vec"].tolist(), float), k + 1, candidates)
-            for q, (at, scores) in zip(qids, found):
-                names = ids[at]
+            x, group = np.unique(np.array(xs["vec"].tolist(), float), axis=0, return_inverse=True)
+            ids = ids[np.lexsort((ids, group.ravel()))]
+            sizes = np.bincount(group.ravel())
+            starts = np.cumsum(sizes) - sizes
+            # of equal vectors the k + 1 smallest ids: enough for any answer, the query's own left out
+            sizes = np.minimum(sizes, k + 1)
+            found = Forest(x, trees, bits).search(np.array(qs["vec"].tolist(), float), k + 1, candidates)
+            for n, at, scores in found:
+                q = qids[n]
+                names = np.concatenate([ids[a:a + m] for a, m in zip(starts[at], sizes[at])])
+                scores = np.repeat(scores, sizes[at])
                 other = names != q
                 names, scores = names[other], scores[other]
                 top = np.lexsort((names, -scores))[:k]

@@ -2,8 +2,9 @@ import math
 import random
 
 import numpy as np
+import pytest
 
-from convspark.llm.ann import Forest, nearest
+from convspark.llm.ann import SHARD_ROWS, Forest, nearest
 from convspark.llm.queries import op1_nearest_neighbours
 from convspark.sources.tables import table
 
@@ -54,6 +55,32 @@ def test_recall(spark):
     assert len(got) == len(want) and len(a & b) >= 0.9 * len(b)
 
 
+@pytest.mark.parametrize("copies", [0, 1 / 3])
+def test_recall_on_a_full_shard(spark, copies):
+    """Production values on 16,384 rows, spread evenly or with a third of them copies of one vector that
+    half of the other queries lie next to."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((SHARD_ROWS, 64))
+    hot = rng.standard_normal(64)
+    n = int(copies * SHARD_ROWS)
+    if n:
+        x[n:n + 4000] = hot + 0.7 * rng.standard_normal((4000, 64))
+        x[:n] = hot
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    got = nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), lambda c: c % 100 == 0).collect()
+    assert len(got) == 20 * len(range(0, len(x), 100))
+    mine = {}
+    for r in got:
+        mine.setdefault(r["query_id"], []).append(r["score"])
+    hits = []
+    for q, scores in mine.items():
+        want = np.sort(np.delete(x @ x[q], q))[-20]
+        hits.append(np.mean(np.array(scores) >= want - 1e-9))
+    far = [h for q, h in zip(mine, hits) if not np.allclose(x[q], hot / np.linalg.norm(hot), atol=1e-6)]
+    assert np.mean(hits) >= 0.9 and np.mean(far) >= 0.9
+
+
 def test_forest_ranges_share_prefixes():
     rng = np.random.default_rng(2)
     f = Forest(rng.standard_normal((500, 8)), trees=4, bits=16)
