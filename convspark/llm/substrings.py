@@ -184,12 +184,15 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
 
     Windows of a key hold the same shingle at their anchors; two of them are compared around these,
     each ``width``-long slice of one with each of the other, so that words put in or left out move
-    nothing out of reach.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
+    nothing out of reach.  Rows that are ``linked`` already, to one another by way of the key's first
+    window, are compared with the rest only.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
     which compares two of its parts, so that no task gets a whole hot key and no pair is left out.
     """
+    if "linked" not in rows.columns:
+        rows = rows.withColumn("linked", F.lit(False))
     size = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     mine = F.pmod(F.xxhash64("doc", "anchor"), F.col("parts")).cast("int")
-    cells = (rows.select("key", "doc", "region", "anchor", "first", "stop").join(size, "key")
+    cells = (rows.select("key", "doc", "region", "anchor", "first", "stop", "linked").join(size, "key")
              .withColumn("parts", F.ceil(F.col("n") / cell).cast("int")).withColumn("mine", mine)
              .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
              .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")))
@@ -198,7 +201,7 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
     hi = F.least(F.col("stop"), F.col("anchor") + width)
     near = F.slice("hashes", (F.col("lo") - F.col("at") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
     cells = (cells.join(regions, ["doc", "region"]).withColumn("lo", lo).withColumn("hi", hi)
-             .select("key", "i", "j", "doc", "anchor", "lo", near.alias("near")))
+             .select("key", "i", "j", "doc", "anchor", "lo", "linked", near.alias("near")))
     keys = ["key", "i", "j"]
     kind = rows.schema["doc"].dataType.simpleString()
     out = f"doc {kind}, start long, end long, rdoc {kind}, rstart long, rend long, similarity double"
@@ -228,7 +231,8 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
             return slices[i]
 
         least_held = np.array([width if len(u) == m else sliced(i)[1].min() for i, (u, m) in enumerate(zip(own, sizes))])
-        root, got, here = np.arange(n), [], np.zeros(len(seen) + 1, bool)
+        linked = t.column("linked").to_numpy(zero_copy_only=False)
+        root, got, here = np.where(linked, linked.argmax(), np.arange(n)), [], np.zeros(len(seen) + 1, bool)
         for i in range(n - 1):
             later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
             here[own[i]] = True
@@ -298,7 +302,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's passage is paired with the one of its class's representative, the smallest id that has
     the signature: pairs with representatives, not all pairs, so copies give one row each.  Runs
     of windows that do not verify as wholes are compared passage by passage, among themselves and
-    with their representative; ``similarity`` is then that of the best passage in the run.
+    with all other windows of their signatures; ``similarity`` is then that of the best passage in the run.
 
     Null texts are empty; texts shorter than ``min_words`` and rows without an id take no part;
     rows that repeat an id are never compared with each other.  Extra columns are not carried.
@@ -315,7 +319,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rep = F.first(F.struct("doc", "region", "anchor", "first", "last", "stop")).over(
         Window.partitionBy("key").orderBy("doc", "first"))
-    edges = (shared.withColumn("rep", rep).where("doc <> rep.doc")
+    # all but the first window of each key; the first document's own take no part until a run fails
+    edges = (shared.withColumn("rep", rep).where("doc <> rep.doc or first <> rep.first or anchor <> rep.anchor")
              .withColumn("low", F.greatest(F.expr("first - anchor"), F.expr("rep.first - rep.anchor")))
              .withColumn("high", F.least(F.expr("last - anchor"), F.expr("rep.last - rep.anchor"))))
     # aligned at the anchors where the windows allow it, else each side's own first passage
@@ -329,13 +334,17 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         {"rdoc": F.col("rep.doc"), "rregion": F.col("rep.region")})
     side = ["doc", "region", "rdoc", "rregion", "diag"]
     edges = written(_island(edges, side, "start", "end", "isle"))
-    isles = (edges.groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    isles = (edges.where("doc <> rdoc").groupBy(*side, "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
              .withColumn("rstart", F.expr("start - diag")).withColumn("rend", F.expr("end - diag")))
     isles = written(_verified(isles, regions, similarity))
-    # windows of a run that fails as a whole meet again, with their representatives, passage by passage
-    missed = edges.join(isles.where("not ok").select(*side, "isle"), [*side, "isle"], "left_semi")
+    # where a run fails as a whole, all windows of its keys meet again, passage by passage: also those
+    # that verified and all of the first document, as a failing window may be near one of these
     own = ["key", "doc", "region", "anchor", "first", "stop"]
-    again = missed.select(*own).unionByName(missed.select("key", *[f"rep.{c}" for c in own[1:]])).distinct()
+    judged = edges.join(isles.select(*side, "isle", "ok"), [*side, "isle"], "left")
+    missed = written(judged.where("not ok").select("key", "rep").distinct())
+    again = (judged.select(*own, F.expr("coalesce(ok, false)").alias("linked"))
+             .join(missed.select("key"), "key", "left_semi")
+             .unionByName(missed.select("key", *[f"rep.{c}" for c in own[1:]], F.lit(True).alias("linked"))))
     rest = _among_themselves(written(again), regions, width, similarity)
     cols = ["doc", "start", "end", "rdoc", "rstart", "rend", "similarity"]
     k = shingle_words - 1

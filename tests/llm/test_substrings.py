@@ -121,3 +121,30 @@ def test_inserted_and_deleted_words(spark):
     for kind in (0, 1):
         found = {(r["doc"], r["rep_doc"]) for r in got if kinds[(r["doc"], r["rep_doc"])] == kind}
         assert len(found) >= 24
+
+
+def test_failing_windows_meet_verified_ones_and_the_first_documents_variants(spark):
+    """Chains of edits A-B-C, and first documents with two variants of a passage whose second is copied: whatever
+    shares a signature and has slices that are near is linked."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(60):
+        a = text(rng, 50)
+        b, c, second = [*a], [*a], [*a]
+        b[25] = c[25] = f"once{n}"
+        c[45] = f"twice{n}"
+        second[12] = second[37] = f"variant{n}"
+        for w in (a + text(rng, 60) + second, b, c, second):
+            rows.append(" ".join(text(rng, 60) + w + text(rng, 60)))
+    hs = [shingles(x) for x in rows]
+    ends = np.cumsum([len(h) for h in hs])
+    starts, by_key, want = np.r_[0, ends[:-1]], {}, set()
+    for key, of, _, first, last in compact_windows(np.concatenate(hs), ends, 46):
+        for k, t, f, z in zip(key.tolist(), of.tolist(), first, last):
+            by_key.setdefault(k, []).append((t, [set(hs[t][x:x + 46].tolist()) for x in range(f - starts[t], z - starts[t] + 1)]))
+    for group in by_key.values():
+        for i, (t, x) in enumerate(group):
+            want |= {(t, u) for u, y in group[:i] if t != u and any(len(p & q) >= 0.8 * len(p | q) for p in x for q in y)}
+    got = {(r["doc"], r["rep_doc"]) for r in shared_passages(docs_of(spark, [doc(i, x) for i, x in enumerate(rows)])).collect()}
+    roots = components(len(rows), got)
+    assert len(want) > 100 and sorted(p for p in want if roots[p[0]] != roots[p[1]]) == []
