@@ -148,3 +148,16 @@ def test_failing_windows_meet_verified_ones_and_the_first_documents_variants(spa
     got = {(r["doc"], r["rep_doc"]) for r in shared_passages(docs_of(spark, [doc(i, x) for i, x in enumerate(rows)])).collect()}
     roots = components(len(rows), got)
     assert len(want) > 100 and sorted(p for p in want if roots[p[0]] != roots[p[1]]) == []
+
+
+def test_recall_at_the_similarity_bound(spark):
+    """Pairs of 50-word passages with one word substituted (similarity 0.80), in unrelated documents."""
+    rng = random.Random(13)
+    rows = []
+    for n in range(150):
+        a = text(rng, 50)
+        b = a[:25] + [f"other{n}"] + a[26:]
+        assert 0.8 <= jaccard(a, b) < 0.81
+        rows += [doc(2 * n + i, " ".join(text(rng, 60) + w + text(rng, 60))) for i, w in enumerate((a, b))]
+    got = {(r["doc"], r["rep_doc"]) for r in shared_passages(docs_of(spark, rows)).collect()}
+    assert got <= {(2 * n + 1, 2 * n) for n in range(150)} and len(got) >= 0.95 * 150, len(got)
