@@ -16,9 +16,9 @@ from .judge import _JUDGE_CTE
 from .registry import register
 from .runs import _PAIRS_SQL, _streak_cte
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, max_files=1):
     """Event stream with ``ts`` as TIMESTAMP (watermarks need it; session zone is UTC)."""
-    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events", max_files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ntz(df):
@@ -121,7 +121,8 @@ FROM g, mx WHERE window_start + INTERVAL 1 HOUR <= mx.m - INTERVAL 1 HOUR"""
 @register("stream_usage_windows", _T6_SQL)
 def stream_usage_windows(spark, sf_dir):
     with session_time_zone(spark):
-        return _ntz(run_to_table(L.windowed_usage(_events(spark, sf_dir), "event_type", "value"),
+        # a backfill: all files under one watermark, as their order says nothing about the rows' times
+        return _ntz(run_to_table(L.windowed_usage(_events(spark, sf_dir, None), "event_type", "value"),
                                  "usage_windows"))
 
 
@@ -139,4 +140,4 @@ SELECT user_id, session_start, session_end, n_events FROM g, mx WHERE session_en
 @register("stream_sessions", _T7_SQL)
 def stream_sessions(spark, sf_dir):
     with session_time_zone(spark):
-        return _ntz(run_to_table(L.idle_sessions(_events(spark, sf_dir), "user_id"), "sessions"))
+        return _ntz(run_to_table(L.idle_sessions(_events(spark, sf_dir, None), "user_id"), "sessions"))

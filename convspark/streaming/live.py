@@ -10,7 +10,8 @@
 * T5 judge scoring of arriving transcripts: file source + stream-static template join + the
   model operator + a running mean per metric.
 * T6 windowed usage and T7 idle sessions: built-in ``window`` / ``session_window`` aggregations
-  with a watermark, whose feature it is to leave out rows later than that.
+  with a watermark, whose feature it is to leave out rows later than that.  The queries drain a
+  table's files under one watermark, so there no row is late.
 
 Every writer uses a checkpoint under the shared ``spark.checkpoint.dir`` so a
 restarted query resumes exactly once.

@@ -5,6 +5,7 @@ Sources are file streams over the parquet tables; sinks are parquet folders
 ``foreachBatch`` for complete-mode aggregates.
 """
 
+import logging
 import uuid
 from contextlib import contextmanager
 
@@ -13,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_path, cut_lineage
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = 1) -> DataFrame:
     """File-source stream over ``{sf_dir}/{name}.parquet``, a file or a directory of part files (schema
-    from the footers).  The one-letter glob makes the source take either."""
+    from the footers).  The one-letter glob makes the source take either.  Without ``max_files`` all files there
+    are one micro-batch."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .parquet(f"{path[:-1]}[t]"))
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{path[:-1]}[t]")
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -31,7 +35,8 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain ``df`` with ``trigger(availableNow=True)`` into a fresh parquet folder; read it back.
 
-    The rows are checkpointed and the run's folder (output and stream state) is removed."""
+    The rows are checkpointed and the run's folder (output and stream state) is removed.  Rows that a
+    watermark has left out are reported as a warning (over the batches whose progress Spark keeps)."""
     spark = df.sparkSession
     run = checkpoint_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
     out, chk = f"{run}/out", f"{run}/chk"
@@ -46,6 +51,9 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    late = sum(s["numRowsDroppedByWatermark"] for p in q.recentProgress for s in p["stateOperators"])
+    if late:
+        logging.getLogger(__name__).warning("%s: %d rows later than the watermark were left out", name, late)
     result = cut_lineage(spark.read.schema(df.schema).parquet(out))
     remove_folder(spark, run)
     return result

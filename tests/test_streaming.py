@@ -98,3 +98,29 @@ def test_directory_tables_lose_nothing(spark, split_tables, name):
     def rows(df):
         return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
     assert rows(QUERIES[name](spark, split_tables)) == rows(QUERIES[name](spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("order", ["reverse", "mixed"])
+@pytest.mark.parametrize("name", ["stream_usage_windows", "stream_sessions"])
+def test_files_out_of_time_order_lose_nothing(spark, tmp_path, name, order):
+    """Later events in earlier files, and files that each span the whole time."""
+    from convspark.plans.catalog import QUERIES
+    rows = spark.read.parquet(f"{SF_SMALL}/events.parquet").toPandas().sort_values("ts", ascending=False)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    parts = np.array_split(rows, 3) if order == "reverse" else [rows[n::3] for n in range(3)]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        time.sleep(1.1)  # file times order the batches
+    def values(df):
+        return sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert values(QUERIES[name](spark, str(tmp_path))) == values(QUERIES[name](spark, SF_SMALL))
+
+
+def test_late_rows_are_reported(spark, tmp_path, caplog):
+    for n, secs in enumerate((1704067200 + 86400, 1704067200 + 90000, 1704067200)):
+        spark.createDataFrame([(secs, "k", 1.0)], "secs long, k string, value double").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        time.sleep(1.1)
+    src = (spark.readStream.schema("secs long, k string, value double").option("maxFilesPerTrigger", 1)
+           .parquet(f"{tmp_path}/*").withColumn("ts", F.timestamp_seconds("secs")))
+    run_to_table(L.windowed_usage(src, "k", "value"), "late")
+    assert "1 rows later than the watermark" in caplog.text
