@@ -32,6 +32,9 @@ BAD_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|foot|masthead|"
     r"topbar|comments?|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|"
     r"subscribe|signup|login|share|sharing|social|related|recommend\w*|more-links|tags?|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+# the elements that hold a page or its text are not named for what is bad, and these classes tell what else there is
+HOLDERS = {"html", "body", "main", "article"}
+STATES = re.compile(r"(?<!\S)(?:no|not|has|have|with|without|tag|category)-\S*", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|body-text|prose)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
@@ -80,6 +83,12 @@ LABELLED = (
      (0, "<div class=comment><p>Lovely.</p></div></div></article>"),
      (0, "<footer><p>All stories belong to those who wrote them and may be printed elsewhere with their leave, as long as the name "
          "of the paper is given with them and no word is changed by the printer</p></footer>")),
+    ((0, "<body class='has-sidebar no-cookies'><nav><a href=/>Home</a> <a href=/farm>Farm</a></nav>"),
+     (1, "<article class='post tag-news category-social'><h1>The ferry came back</h1>"),
+     (1, "<p>After two weeks in the yard the ferry took its first cars over the sound at six in the morning.</p>"),
+     (1, "<p>The captain waved.</p></article>"),
+     (0, "<div class='sidebar has-widgets'><p>Ten more ferries that you have to see before the summer is over and the rain comes back</p></div>"),
+     (0, "<footer><p>Printed by the sound, all rights reserved by those who wrote and drew what is in it</p></footer></body>")),
     ((0, "<nav class=menu><p>A long line of words in a menu is still a menu, even if none of the words in it is a link to a page</p></nav>"),
      (1, "<div><p>Plain text that stands alone can be long enough to be seen for what it is, the main text of a page.</p></div>"),
      (0, "<div>Top</div>"),
@@ -224,7 +233,7 @@ def blocks(page: str) -> list[Block]:
         if "=" in attrs or " " in attrs:
             label = " ".join(filter(None, (x for t in NAMES.findall(attrs) for x in t)))
             if label:
-                b |= bool(BAD_NAMES.search(label))
+                b |= name not in HOLDERS and bool(BAD_NAMES.search(STATES.sub("", label)))
                 g |= bool(not b and GOOD_NAMES.search(label))
             b |= bool(HIDDEN.search(attrs))
         if name == "header" and not good:

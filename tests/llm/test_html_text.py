@@ -62,3 +62,13 @@ def test_whole_table(spark):
     rows = op5_html_text(spark, SF_SMALL).collect()
     assert rows and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
     assert not any("©" in r["text"] or "track(" in r["text"] for r in rows)
+
+
+def test_states_and_names_of_holders_are_not_boilerplate():
+    text = "<h1>Rain</h1><p>It rained for three days and the river rose by a metre, but the old bridge held.</p><p>Short.</p>"
+    want = "Rain\nIt rained for three days and the river rose by a metre, but the old bridge held.\nShort."
+    for page in (f"<body class='has-sidebar'><article>{text}</article></body>", f"<article class='post tag-news'>{text}</article>",
+                 f"<main id=main class='side nav-open'>{text}</main>", f"<div class='content no-comments'>{text}</div>"):
+        assert main_text(page) == want
+    for label in ("sidebar has-widgets", "cookie-notice", "tags"):
+        assert main_text(f"<article>{text}<div class='{label}'><p>Other things that you might want to read when you are done</p></div></article>") == want
