@@ -244,6 +244,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group, smallest id.
 
-    Rows without an id stay (nothing names them)."""
-    away = near_dedup(docs, id_col, text_col, shingle_words, radius).where("id <> component_id").select("id")
-    return docs.join(away, docs[id_col] == away["id"], "left_anti").select(*docs.columns)
+    Rows without an id stay (nothing names them).  Of rows that repeat an id with different texts,
+    each is judged by its own fingerprint."""
+    found = cut_lineage(near_dedup(docs, id_col, text_col, shingle_words, radius))
+    away = found.where("id <> component_id").select("id")
+    kept = docs.join(away, docs[id_col] == away["id"], "left_anti").select(*docs.columns)
+    # ids that go by one text and name a component by another: the fingerprint tells these rows apart
+    named = found.where("id = component_id").select("id", "fp").distinct().join(away, "id", "left_semi")
+    named = cut_lineage(named)
+    if named.isEmpty():
+        return kept
+    split = docs.join(named, docs[id_col] == named["id"], "left_semi").select(
+        F.struct(*docs.columns).alias("row"), F.col(text_col).alias("__text"))
+    marked = fingerprints(split, "row", "__text", shingle_words).withColumnRenamed("id", "row")
+    again = marked.join(named, (marked[f"row.{id_col}"] == named["id"]) & (marked["fp"] == named["fp"]), "left_semi")
+    return kept.unionByName(again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

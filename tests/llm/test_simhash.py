@@ -97,3 +97,14 @@ def test_null_ids_and_empty(spark):
     assert sorted(str((r["id"], r["component_id"])) for r in near_dedup(df).collect()) == ["(3, 3)", "(None, 3)", "(None, 3)"]
     assert drop_near_duplicates(df).count() == 3
     assert near_dedup(docs_of(spark, [])).collect() == []
+
+
+def test_repeated_id_with_different_texts(spark):
+    """Id 5 goes as a copy of 3 and names the group of its other text: that row stays."""
+    a, b = " ".join(LONG), " ".join(reversed(LONG))
+    rows = [doc(3, a), doc(5, a), doc(5, b), doc(9, b), doc(7, "x y z w v u"), doc(None, a)]
+    df = docs_of(spark, rows)
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (7, "x y z w v u"), (None, a)], key=str)
