@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import ann, bpe, chat_format, exact_dedup, html_text, langid, packing, secrets, simhash, substrings
+from . import ann, bpe, chat_format, exact_dedup, html_text, langid, packing, runs, secrets, simhash, substrings
 from .common import load, text_or_empty
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -92,6 +92,32 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def repeated_tail(docs, id_col="doc_id", text_col="text"):
+    """The contract's input of op12: where 10 divides the id's crc32, the words from a on repeat the first p of them."""
+    h = F.crc32(F.col(id_col).cast("string"))
+    g = F.floor(h / 10)
+    changed = (docs.withColumn("__w", F.when(h % 10 == 0, F.regexp_extract_all(text_col, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))))
+               .withColumn("__n", F.size("__w")).withColumn("__a", g % F.col("__n"))
+               .withColumn("__p", 1 + F.floor((F.col("__n") - F.col("__a")) / (3 + g % 8))))
+    word = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda i: F.element_at(
+        "__w", (1 + F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))).cast("int")))
+    return changed.withColumn(text_col, F.when(F.col("__n") > 0, F.array_join(word, " ")).otherwise(F.col(text_col))
+                              ).select(*docs.columns)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = runs.find_runs(repeated_tail(load(spark, sf_dir, "documents", "doc_id", "text")))
+    best = F.array_sort("runs", lambda x, y: F.when(x.length * y.period != y.length * x.period,
+                                                    F.when(x.length * y.period > y.length * x.period, -1).otherwise(1))
+                        .when(x.start != y.start, F.when(x.start < y.start, -1).otherwise(1))
+                        .otherwise(F.when(x.period < y.period, -1).otherwise(1)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return (found.withColumn("best", F.get(best, 0))
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_neighbours, op2_secret_scan, op3_substring_dedup, op4_simhash, op5_html_text, op6_exact_dedup,
-    op7_chat_format, op8_language_id, op9_bpe, op10_packing)}
+    op7_chat_format, op8_language_id, op9_bpe, op10_packing, op12_periodic_runs)}
