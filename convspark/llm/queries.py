@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import ann, bpe, chat_format, exact_dedup, html_text, langid, packing, runs, secrets, simhash, substrings
+from . import (ann, bpe, chat_format, context_tree, exact_dedup, html_text, langid, packing, runs, secrets, simhash,
+               substrings, variants)
 from .common import load, text_or_empty
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -92,6 +95,12 @@ def op10_packing(spark, sf_dir):
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_context_tree(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    return context_tree.score_texts(docs, ~held_out).withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 def repeated_tail(docs, id_col="doc_id", text_col="text"):
     """The contract's input of op12: where 10 divides the id's crc32, the words from a on repeat the first p of them."""
     h = F.crc32(F.col(id_col).cast("string"))
@@ -118,6 +127,26 @@ def op12_periodic_runs(spark, sf_dir):
                     F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
 
 
+def drop_letters(doc_id):
+    """The contract's misspellings of op13: of a run whose crc32 with its document 97 divides, one letter goes."""
+    start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def change(run):
+        h = zlib.crc32(run.encode(), start)
+        if h % 97:
+            return run
+        k = h % len(run)
+        return run[:k] + run[k + 1:]
+
+    return change
+
+
+def op13_spelling_variants(spark, sf_dir):
+    words = variants.count_words(load(spark, sf_dir, "documents", "doc_id", "text"), edit=drop_letters)
+    return variants.group_variants(words)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nearest_neighbours, op2_secret_scan, op3_substring_dedup, op4_simhash, op5_html_text, op6_exact_dedup,
-    op7_chat_format, op8_language_id, op9_bpe, op10_packing, op12_periodic_runs)}
+    op7_chat_format, op8_language_id, op9_bpe, op10_packing, op11_context_tree,
+    op12_periodic_runs, op13_spelling_variants)}
