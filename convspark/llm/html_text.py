@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 # fixed values: element kinds of HTML
-SILENT = {"script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "canvas", "math", "select"}
+RAW = {"script", "style", "noscript", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+MUTE = {"svg", "math", "select", "object", "canvas", "template"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl",
          "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header",
          "hr", "html", "label", "legend", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody",
@@ -28,19 +29,24 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BAD_TAGS = {"nav", "footer", "aside", "form", "button", "fieldset", "dialog", "label", "legend", "option"}
 GOOD_TAGS = {"article", "main"}
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|foot|masthead|"
-    r"topbar|comments?|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|share|sharing|social|related|recommend\w*|more-links|tags?|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
-# the elements that hold a page or its text are not named for what is bad, and these classes tell what else there is
+KIN = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr",),
+       "td": ("td", "th"), "th": ("td", "th")}
+# the elements that hold a page or its text are not named for what is bad
 HOLDERS = {"html", "body", "main", "article"}
-STATES = re.compile(r"(?<!\S)(?:no|not|has|have|with|without|tag|category)-\S*", re.I)
-GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|body-text|prose)(?:$|[\s_-])", re.I)
-
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
-                   r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+# a name says what an element is if all its words are among these, and one of them is not neutral
+BAD_WORDS = re.compile(
+    r"ads?|advert\w*|banners?|promos?|promotions?|sponsor\w*|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|footer|foot|"
+    r"masthead|topbar|comments?|respond|reply|replies|disqus|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|"
+    r"newsletters?|subscribe|subscription|signup|login|shares?|sharing|social|related|recommend\w*|more|tags?|pagination|pagers?|toolbars?|skip")
+GOOD_WORDS = re.compile("article|post|entry|content|story|main|prose")
+NEUTRAL = re.compile(r"list|lists|box|boxes|wrap|wrapper|container|area|section|item|items|left|right|top|bottom|primary|secondary|"
+                     r"buttons?|bars?|block|blocks|inner|outer|forms?|links?|icons?|media|posts?|articles?|stories|body|text|col|row|"
+                     r"group|panel|holder|header|site|page|unit|slot|message|policy|thread|area|\d+|[a-z]")
+WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+MARK = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
+DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 # the small labelled table: pages as (1 = main text, html) pieces
@@ -126,6 +132,45 @@ LABELLED = (
     ((0, "<div><p>Welcome back, dear reader, this page was made for you with care by a small team in a house by the sea</p></div>"),
      (1, "<article><h2>A word on tea</h2><p>Tea wants water that has just boiled and a pot that was warm before.</p></article>"),
      (0, "<div><p>You have read three of the five free stories of this month, after which you will have to pay for more</p></div>")),
+    # a page of teasers: the elements are called articles, but hold links
+    ((0, "<main><article class=teaser><a href=1>The river has gone back to its bed and the fields are dry again</a></article>"),
+     (0, "<article class=teaser><a href=2>Mayor wants a new bridge, and wants it before the next winter comes</a></article>"),
+     (0, "<article class=teaser><a href=3>Old mill sold</a></article>"),
+     (0, "<article class=teaser><a href=4>What the ferry man saw when he looked up from his tea last night</a></article>"),
+     (1, "<article><p>This week the editor walked along the river from the spring to the sea and met nine people and two dogs.</p>"),
+     (1, "<p>All of them had something to say about the weather, and most of what they said was true at the time.</p></article>"),
+     (0, "<article class=teaser><a href=5>Ten walks for a wet day, and one for a day without any rain</a></article></main>")),
+    ((1, "<article><h1>The keeper of the clock</h1><p>He wound it each night for forty years, and never once was it late.</p>"),
+     (1, "<p>When he died the clock stood still, or so they say in the town and in all the villages around it.</p>"),
+     (0, "<ul><li><a href=1>More about clocks and those who keep them in good order</a></li>"),
+     (0, "<li><a href=2>More about the town, its square and its tower</a></li>"),
+     (0, "<li><a href=3>All stories by this writer</a></li></ul></article>")),
+    # no helpful tag: short lines among short lines and links are no text, between long ones they are
+    ((0, "<div>Friday edition, late city final</div><div>Weather: mild, some rain</div><div><a href=1>Front page</a> <a href=2>Sports page</a></div>"),
+     (1, "<div>The council met for six hours on Thursday and agreed on one thing only, which is to meet again on Monday next.</div>"),
+     (1, "<div>It was a long night.</div>"),
+     (1, "<div>Three members left before the vote on the new school, and two of them did so without a word to the chair.</div>"),
+     (1, "<div>The chair did not mind.</div>"),
+     (1, "<div>On Monday the vote will be held first, the chair said, and the doors will be shut until it has been counted.</div>"),
+     (0, "<div><a href=3>Back to the front page</a></div><div>Call us day or night</div><div>We are here for you</div>"),
+     (0, "<div><a href=4>Terms that you agree to</a> <a href=5>Data that we keep</a></div><div>Made in the valley</div>")),
+    ((0, "<p>Your town, your paper, since 1911</p><p>Number 88 of this year</p><p>Price: two coins</p>"),
+     (1, "<p>A cow has been found on the roof of the old town hall this morning.</p>"),
+     (1, "<p>The fire brigade came with a ladder that was too short for the square.</p>"),
+     (1, "<p>The cow ate hay.</p>"),
+     (1, "<p>By nightfall it had walked down by the inner stairs, which nobody had shut.</p>"),
+     (0, "<p>Read it first with us</p><p>Ring the shop for more</p><p>Open from eight to noon</p><p>Closed on feast days</p>")),
+    # long runs of words are no text where they are a comment, a notice or a legal footer
+    ((1, "<article><h2>Why the lamps went out</h2><p>A swan had flown into the wires by the mill, and the whole of the upper town was dark.</p></article>"),
+     (0, "<div class=comments><p>I live right beside the mill and can tell you that the swan was not hurt at all, it sat in my yard for an hour, "
+         "drank from the bucket that I had put out for the dog, looked at me as if all of this had been my own fault, and then walked off "
+         "down the lane to the river as though nothing had happened, which I suppose is true enough for a swan.</p></div>"),
+     (0, "<div class=notice><p>We and the nine hundred partners whom we trust as much as ourselves would like to keep a few small files in your "
+         "browser so that we can show you things that you have looked at before and did not buy, and if you say no we will ask you "
+         "again each time that you turn the page, so you may as well say yes now and be done with it.</p></div>"),
+     (0, "<footer><p>Nothing on this page may be copied, kept, read aloud or hung up in a public place without our leave in writing, which "
+         "we give freely to schools and to those who ask nicely, and never to those who do not ask at all, and all names in our "
+         "stories are made up unless they belong to someone who has agreed to be named in them.</p></footer>")),
     ((0, "<div>Tuesday, the third of the month, with rain in the north and some sun in the south until the late afternoon</div>"),
      (0, "<div>Our paper is free for all, and it will stay so as long as enough of you give what they can each year</div>"),
      (1, "<main><p>The bell was cast in one night.</p><p>It took forty men to lift it, and one to ring it.</p></main>"),
@@ -143,21 +188,40 @@ class Block:
         self.text, self.words, self.linked, self.good, self.bad, self.at = text, words, linked, good, bad, at
 
 
+def _kind(label: str) -> tuple[bool, bool]:
+    """Whether the class, id and role names say boilerplate, and whether they say main text."""
+    bad = good = False
+    for name in label.split():
+        words = [w.lower() for w in WORDS_OF_NAME.findall(name)]
+        told = [w for w in words if BAD_WORDS.fullmatch(w)]
+        bad |= bool(told) and all(w in told or NEUTRAL.fullmatch(w) for w in words)
+        good |= any(GOOD_WORDS.fullmatch(w) for w in words)
+    return bad, good and not bad
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; scripts, styles, titles and hidden elements give none.
 
-    Tags need not be closed: an end tag closes the nearest open element of its name, and a ``p``,
-    ``li``, ``dt``, ``dd``, ``option`` or table cell ends where the next one of its kind begins.
+    One pass, linear in the page: a tag's attributes are read one by one (quotes count after ``=`` only), end
+    tags without an open element are known by a count, and searches up the open elements look at blocks
+    alone.  Tags need not be closed: an end tag closes the nearest open element of its name, and a ``p``,
+    ``li``, ``dt``, ``dd``, ``option`` or table cell ends where the next one of its kind begins.  What an unclosed
+    ``svg``, ``math``, ``select``, ``object``, ``canvas`` or ``template`` would hide is kept; an unclosed comment, script
+    or tag hides the rest of the page, as in browsers.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, +1 good, +1 bad
-    good = bad = in_link = 0
+    stack: list[tuple[str, int, int, int]] = []  # element, +1 good, +1 bad, +1 mute
+    held: list[int] = []  # where in the stack blocks are
+    opened: dict[str, int] = {}
+    last_end: dict[str, int] = {}
+    good = bad = mute = 0
+    in_link = False
+    cdata_ends = True
     buf: list[str] = []
     linked: list[str] = []
     began, pos, n = 0, 0, len(page)
-    low = None
 
-    def flush(at: int) -> None:
+    def flush() -> None:
         if buf:
             text = SPACE.sub(" ", "".join(buf)).strip()
             buf.clear()
@@ -168,17 +232,27 @@ def blocks(page: str) -> list[Block]:
             linked.clear()
 
     def close(k: int) -> None:
-        nonlocal good, bad, in_link
-        for name, g, b in stack[k:]:
+        nonlocal good, bad, mute, in_link
+        for name, g, b, m in stack[k:]:
             good -= g
             bad -= b
-            in_link -= name == "a"
+            mute -= m
+            opened[name] -= 1
+            in_link &= name != "a"
         del stack[k:]
+        while held and held[-1] >= k:
+            held.pop()
+
+    def nearest(name: str) -> int:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                return k
+        return -1
 
     while pos < n:
-        m = TOKEN.search(page, pos)
+        m = MARK.search(page, pos)
         stop = m.start() if m else n
-        if stop > pos:
+        if stop > pos and not mute:
             raw = page[pos:stop]
             text = html.unescape(raw) if "&" in raw else raw
             if not buf:
@@ -189,61 +263,98 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         pos = m.end()
-        name = m[2]
-        if not name:
-            continue
-        name = name.lower()
         if m[1]:
-            if name in BLOCK:
-                flush(stop)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            end = pos if page.startswith((">", "->"), pos) else page.find("-->", pos)
+            pos = n if end < 0 else page.find(">", end) + 1
+            continue
+        if m[2] or m[3]:
+            end = page.find("]]>", pos) if m[2] and cdata_ends else -1
+            cdata_ends &= not m[2] or end >= 0
+            end = page.find(">", pos if end < 0 else end)
+            pos = n if end < 0 else end + 1
+            continue
+        name, label, hidden, href = m[5].lower(), "", False, False
+        while pos < n:
+            if page[pos] == ">":
+                pos += 1
+                break
+            t = ATTRIBUTE.match(page, pos)
+            if not t:  # white space or slashes up to the end of the page
+                pos = n
+                break
+            pos = t.end()
+            if t[1]:
+                break
+            key = t[2].lower()
+            if key in ("class", "id", "role"):
+                label += " " + (t[3] or t[4] or (t[5] or "").strip("\"'"))
+            elif key == "href":
+                href = True
+            elif key == "hidden" or key == "style" and DISPLAY_NONE.search(t[3] or t[4] or t[5] or ""):
+                hidden = True
+        else:
+            break
+        if page[pos - 1] != ">":
+            break  # the page ends inside a tag
+        if m[4]:
+            if name in BLOCK and not mute:
+                flush()
+            if opened.get(name):
+                close(nearest(name))
             continue
-        attrs = m[3]
-        if name in SILENT:
-            if not attrs.endswith("/"):
-                if low is None:
-                    low = page.lower()
-                    if len(low) != n:  # a letter whose lower case is longer
-                        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
-                end = low.find(f"</{name}", pos)
-                pos = n if end < 0 else end
+        if name in RAW:
+            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, pos)
+            pos = end.start() if end else n
             continue
+        if mute and name in BLOCK and name != "option":  # a block ends a drawing, a formula and a choice
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][3]:
+                    if stack[k][0] in ("svg", "math", "select"):
+                        close(k)
+                    break
         if name in VOID:
             if name == "hr":
-                flush(stop)
-            else:
+                flush()
+            elif not mute:
                 buf.append(" ")
                 if len(buf) == 1:
                     began = stop
             continue
-        if name in BLOCK:
-            flush(stop)
-            if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                kin = ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in kin:
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK and stack[k][0] != "p":
-                        break
-        g, b = int(name in GOOD_TAGS), int(name in BAD_TAGS)
-        if "=" in attrs or " " in attrs:
-            label = " ".join(filter(None, (x for t in NAMES.findall(attrs) for x in t)))
-            if label:
-                b |= name not in HOLDERS and bool(BAD_NAMES.search(STATES.sub("", label)))
-                g |= bool(not b and GOOD_NAMES.search(label))
-            b |= bool(HIDDEN.search(attrs))
+        if name in MUTE:
+            if name not in last_end:
+                ends = re.finditer(f"</{name}(?=[\\s/>])", page, re.I)
+                last_end[name] = max((x.start() for x in ends), default=-1)
+            if last_end[name] < pos or page[pos - 2] == "/":
+                continue
+        if name in BLOCK and not mute:
+            flush()
+        if held and name in BLOCK and name != "option" and stack[held[-1]][0] == "option":
+            close(held[-1])
+        kin = KIN.get(name)
+        if kin and any(opened.get(x) for x in kin):
+            for k in reversed(held):
+                if stack[k][0] in kin:
+                    close(k)
+                    break
+                if stack[k][0] != "p":
+                    break
+        g, b = int(name in GOOD_TAGS), int(name in BAD_TAGS or hidden)
+        if label:
+            named_bad, named_good = _kind(label)
+            b |= name not in HOLDERS and named_bad
+            g |= named_good and not b
         if name == "header" and not good:
             b = 1
         if name == "a":
-            in_link += 1
+            in_link = href
         good += g
         bad += b
-        stack.append((name, g, b))
-    flush(n)
+        mute += name in MUTE
+        if name in BLOCK:
+            held.append(len(stack))
+        opened[name] = opened.get(name, 0) + 1
+        stack.append((name, g, b, int(name in MUTE)))
+    flush()
     return out
 
 
@@ -276,7 +387,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
     if best is None:
         return int(2 * y.sum() >= len(y))
     _, f, bound, left = best
-    return f, bound, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    low, high = grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1)
+    return low if low == high and isinstance(low, int) else (f, bound, low, high)
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
