@@ -12,6 +12,8 @@ verified by the Jaccard similarity of the shingles.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -185,9 +187,9 @@ def _verified(spans: DataFrame, regions: DataFrame, least: float) -> DataFrame:
 def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: float, cell: int = CELL) -> DataFrame:
     """Verified pairs among the windows ``rows`` of each key, at least a spanning forest of them.
 
-    Windows of a key hold the same shingle at their anchors; two of them are compared around these,
-    each ``width``-long slice of one with each of the other, so that words put in or left out move
-    nothing out of reach.  Rows that are ``linked`` already, to one another by way of the key's first
+    Windows of a key hold the same shingle at their anchors; two of them are compared around these: first
+    place by place, all later rows at once, and where that is not enough each ``width``-long slice of one with
+    each of the other, so that words put in or left out move nothing out of reach.  Rows that are ``linked`` already, to one another by way of the key's first
     window, are compared with the rest only.  A key beyond ``cell`` rows is dealt out as a grid of cells, each of
     which compares two of its parts, so that no task gets a whole hot key and no pair is left out.
     """
@@ -212,39 +214,99 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
     def pairs(t: pa.Table) -> list[tuple]:
         doc, lows, n = t.column("doc").to_pylist(), t.column("lo").to_numpy(), t.num_rows
         lists = t.column("near").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        seen, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        ends = np.cumsum(sizes)
-        # the distinct shingles of each row; where there are fewer, the number that no row has
-        own = [np.unique(code[e - m:e]) for e, m in zip(ends, sizes)]
-        distinct = np.full((n, max(map(len, own))), len(seen))
-        for i, u in enumerate(own):
-            distinct[i, :len(u)] = u
+        offsets = lists.offsets.to_numpy()
+        sizes = np.diff(offsets)
+        flat = lists.flatten().to_numpy()
+        ends = offsets[1:] - offsets[0]
+        before = (t.column("anchor").to_numpy() - lows).astype(np.int64)  # shingles ahead of the anchor
+        # rows side by side, anchors in one column: equal shingles of a slice lie on one diagonal there
+        level = np.zeros((n, 2 * width - 1), np.int32)
+        held = np.zeros(level.shape, bool)
+        row = np.repeat(np.arange(n), sizes)
+        col = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) + np.repeat(width - 1 - before, sizes)
+        level[row, col], held[row, col] = flat, True
+        full = np.cumsum(held, axis=1)[:, width - 1:].copy()
+        full[:, 1:] -= np.cumsum(held, axis=1)[:, :-width]
+        full = full == width  # a whole slice begins in this column
+        alike = math.ceil(2 * width * least / (1 + least) - 1e-9)  # of two slices without repeats, at one diagonal
+        linked = t.column("linked").to_numpy(zero_copy_only=False)
+        root, got = np.where(linked, linked.argmax(), np.arange(n)), []
+        lazy: dict[str, np.ndarray] = {}
         slices = {}
 
+        def code(i: int) -> np.ndarray:
+            return lazy["code"][ends[i] - sizes[i]:ends[i]]
+
+        def prepare() -> None:
+            """The distinct shingles of each row; where there are fewer, the number that no row has."""
+            seen, lazy["code"] = np.unique(flat, return_inverse=True)
+            own = [np.unique(code(i)) for i in range(n)]
+            distinct = np.full((n, max(map(len, own))), len(seen))
+            for i, u in enumerate(own):
+                distinct[i, :len(u)] = u
+            lazy.update(own=own, distinct=distinct, here=np.zeros(len(seen) + 1, bool))
+            lazy["least"] = np.array([width if len(u) == m else sliced(i)[1].min() for i, (u, m) in enumerate(zip(own, sizes))])
+
         def sliced(i: int) -> tuple[np.ndarray, np.ndarray]:
             """Which distinct shingles each ``width``-long slice of row ``i`` holds, and how many."""
             if i not in slices:
-                at = np.searchsorted(own[i], code[ends[i] - sizes[i]:ends[i]])
-                sums = np.zeros((sizes[i] + 1, len(own[i])), np.int32)
-                sums[np.arange(1, sizes[i] + 1), at] = 1
+                own = lazy["own"][i]
+                sums = np.zeros((sizes[i] + 1, len(own)), np.int32)
+                sums[np.arange(1, sizes[i] + 1), np.searchsorted(own, code(i))] = 1
                 sums = np.cumsum(sums, axis=0)
-                held = sums[width:] > sums[:-width]
-                slices[i] = held, held.sum(axis=1)
+                inside = sums[width:] > sums[:-width]
+                slices[i] = inside, inside.sum(axis=1)
             return slices[i]
 
-        least_held = np.array([width if len(u) == m else sliced(i)[1].min() for i, (u, m) in enumerate(zip(own, sizes))])
-        linked = t.column("linked").to_numpy(zero_copy_only=False)
-        root, got, here = np.where(linked, linked.argmax(), np.arange(n)), [], np.zeros(len(seen) + 1, bool)
+        def link(i: int, j: int, a: int, b: int, last: int, sim: float) -> None:
+            """Slices ``a`` of row ``i`` and ``b`` of row ``j`` up to ``last`` further ones are near duplicates."""
+            root[root == root[j]] = root[i]
+            at = {i: (int(lows[i]) + a, int(lows[i]) + a + last + width), j: (int(lows[j]) + b, int(lows[j]) + b + last + width)}
+            one, two = ((i, j) if doc[i] > doc[j] else (j, i))
+            got.append((doc[one], *at[one], doc[two], *at[two], sim))
+
+        def on_diagonal(i: int, j: int, k: int, same: np.ndarray) -> bool:
+            """Links two rows by the slices whose first column is ``k`` if their sets are near enough."""
+            x, y = set(level[i, k:k + width].tolist()), set(level[j, k:k + width].tolist())
+            sim = len(x & y) / len(x | y)
+            if sim < least:
+                return False
+            lo = hi = k
+            while lo and same[lo - 1] >= alike:
+                lo -= 1
+            while hi + 1 < len(same) and same[hi + 1] >= alike:
+                hi += 1
+            first = width - 1
+            link(i, j, int(lo - (first - before[i])), int(lo - (first - before[j])), int(hi - lo), sim)
+            return True
+
         for i in range(n - 1):
             later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
+            if not len(later):
+                continue
+            # most near duplicates agree place by place around the anchor
+            sums = np.cumsum((level[later] == level[i]) & held[later] & held[i], axis=1)
+            same = sums[:, width - 1:].copy()
+            same[:, 1:] -= sums[:, :-width]
+            same[~(full[later] & full[i])] = -1
+            best = same.argmax(axis=1)
+            for at in np.flatnonzero(same[np.arange(len(later)), best] >= alike):
+                j = int(later[at])
+                if doc[i] != doc[j] and root[i] != root[j]:
+                    on_diagonal(i, j, int(best[at]), same[at])
+            later = later[root[later] != root[i]]
+            if not len(later):
+                continue
+            # others may have words put in or left out: every slice of one against every slice of the other
+            if not lazy:
+                prepare()
+            own, here = lazy["own"], lazy["here"]
             here[own[i]] = True
-            shared = here[distinct[later]].sum(axis=1)
-            enough = np.ceil(least * (least_held[later] + least_held[i]) / (1 + least) - 1e-9)
-            for j in later[shared >= enough]:
+            shared = here[lazy["distinct"][later]].sum(axis=1)
+            enough = np.ceil(least * (lazy["least"][later] + lazy["least"][i]) / (1 + least) - 1e-9)
+            for j in later[shared >= enough].tolist():
                 if doc[i] == doc[j] or root[i] == root[j]:
                     continue
-                # every slice of one against every slice of the other
                 (x, nx), (y, ny) = sliced(i), sliced(j)
                 mine = here[own[j]]
                 common = x[:, np.searchsorted(own[i], own[j][mine])].astype(np.float32) @ y[:, mine].T.astype(np.float32)
@@ -253,18 +315,13 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
                 sim = float(sims[a, b])
                 if sim < least:
                     continue
-                root[root == root[j]] = root[i]
                 run = np.diagonal(sims, b - a) >= least
-                best = min(a, b)
-                lo, hi = best, best
+                best_at = lo = hi = min(a, b)
                 while lo and run[lo - 1]:
                     lo -= 1
                 while hi + 1 < len(run) and run[hi + 1]:
                     hi += 1
-                at = {i: (int(lows[i]) + a + lo - best, int(lows[i]) + a + hi - best + width),
-                      j: (int(lows[j]) + b + lo - best, int(lows[j]) + b + hi - best + width)}
-                one, two = ((i, j) if doc[i] > doc[j] else (j, i))
-                got.append((doc[one], *at[one], doc[two], *at[two], sim))
+                link(i, j, a + lo - best_at, b + lo - best_at, hi - lo, sim)
             here[own[i]] = False
         return got
 
