@@ -34,25 +34,19 @@ def parse_score(c) -> Column:
 
 # PANAS lines: "feeling, score, explanation" (example order) or
 # "feeling, explanation, score" (instruction order) — both accepted (Q20).
-PANAS_A = f"(?U)^{J_WS}*([A-Za-z]+){J_WS}*,{J_WS}*([1-5]){J_WS}*(?:,(.*))?$"
-PANAS_B = f"(?U)^{J_WS}*([A-Za-z]+){J_WS}*,(.*),{J_WS}*([1-5]){J_WS}*$"
+PANAS_LINE = (f"(?U)^{J_WS}*([A-Za-z]+){J_WS}*,"
+              f"(?:{J_WS}*([1-5]){J_WS}*(?:,(.*))?|(.*),{J_WS}*([1-5]){J_WS}*)$")
 
 
 def parse_panas(c) -> Column:
     """Reply -> ARRAY<STRUCT<feeling, score INT, explanation>>, known feelings only."""
     lines = F.split(_c(c), "\\r\\n|\\n")
-
-    def one(line):
-        a = line.rlike(PANAS_A)
-        b = line.rlike(PANAS_B)
-        feeling = F.when(a, F.regexp_extract(line, PANAS_A, 1)) \
-            .when(b, F.regexp_extract(line, PANAS_B, 1))
-        score = F.when(a, F.regexp_extract(line, PANAS_A, 2)) \
-            .when(b, F.regexp_extract(line, PANAS_B, 3)).cast("int")
-        expl = F.when(a, py_strip(F.regexp_extract(line, PANAS_A, 3))) \
-            .when(b, py_strip(F.regexp_extract(line, PANAS_B, 2)))
-        return F.struct(feeling.alias("feeling"), score.alias("score"), expl.alias("explanation"))
-
+    # one match lays a line's groups out, those of the other order empty: feeling, score, explanation
+    laid = F.transform(F.filter(lines, lambda x: x.rlike(PANAS_LINE)),
+                       lambda x: F.split(F.regexp_replace(x, PANAS_LINE, "$1\x01$2$5\x01$3$4"), "\x01", 3))
+    parsed = F.transform(laid, lambda p: F.struct(
+        F.element_at(p, 1).alias("feeling"), F.element_at(p, 2).cast("int").alias("score"),
+        py_strip(F.element_at(p, 3)).alias("explanation")))
     known = F.array(*[F.lit(f) for f in PANAS_FEELINGS])
     parsed = F.transform(lines, one)
     return F.filter(parsed, lambda r: F.array_contains(known, r["feeling"]))

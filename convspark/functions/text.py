@@ -159,31 +159,38 @@ def nfkd_ascii_jvm(c) -> Column:
     """NFKD + drop non-ASCII for the tabulated blocks as one ``translate``.
 
     Characters outside the blocks, and the few with multi-character images, are
-    left untouched (still non-ASCII), so the caller routes those rows to ``nfkd_ascii``."""
+    left untouched (still non-ASCII)."""
     global _TABLE
     if _TABLE is None:
         _TABLE = _nfkd_table()
     src, dst, drop, _multi = _TABLE
     # one translate: single-character images map, empty images are deleted (source
-    # characters past the end of the target string).  Characters with multi-character
-    # images (fractions, ligatures, digraphs; a few dozen) stay non-ASCII here and send
-    # their rare rows to the UDF, which keeps this a single codegen'd expression.
+    # characters past the end of the target string)
     return F.translate(_c(c), src + drop, dst)
 
 
+def nfkd_multi_jvm(c) -> Column:
+    """The tabulated characters with images of several characters (fractions, ligatures, digraphs) written out,
+    character by character, in the texts that hold one."""
+    global _TABLE
+    if _TABLE is None:
+        _TABLE = _nfkd_table()
+    images = F.create_map(*[F.lit(x) for pair in _TABLE[3] for x in pair])
+    sources = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch, _ in _TABLE[3]) + "]"
+    written = F.array_join(F.transform(F.split(_c(c), ""), lambda x: F.coalesce(F.try_element_at(images, x), x)), "")
+    return F.when(_c(c).rlike(sources), written).otherwise(_c(c))
+
+
 def with_clean_text(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """X7 on a DataFrame: quotes/dashes -> ASCII, NFKD, drop non-ASCII, collapse spaces, strip.
 
-    NFKD runs in the JVM for the tabulated blocks (all European Latin text).
-    Only rows that still hold other characters go through the Arrow UDF; the
-    split is two filtered branches of the same plan, unioned back (no shuffle).
+    NFKD runs in the JVM for the tabulated blocks (all European Latin text).  The Arrow UDF gets the texts
+    that still hold other characters, and nulls for all others, so the input is scanned once.
     """
-    pre = df.withColumn("_pre", _pre_clean(text_col)).withColumn("_jvm", nfkd_ascii_jvm("_pre"))
-    non_ascii = F.col("_jvm").rlike("[^\\x00-\\x7F]")
-    jvm_rows = pre.filter(~non_ascii | F.col("_jvm").isNull()).withColumn(out, _post_clean("_jvm"))
-    from ..session import spread
-    other = spread(pre.filter(non_ascii)).withColumn(out, _post_clean(nfkd_ascii("_pre")))
-    return jvm_rows.unionByName(other).drop("_pre", "_jvm")
+    pre = df.withColumn("_pre", _pre_clean(text_col)).withColumn("_jvm", nfkd_multi_jvm(nfkd_ascii_jvm("_pre")))
+    left = F.col("_jvm").rlike("[^\\x00-\\x7F]")
+    pre = pre.withColumn("_py", nfkd_ascii(F.when(left, F.col("_pre"))))
+    return pre.withColumn(out, _post_clean(F.coalesce("_py", "_jvm"))).drop("_pre", "_jvm", "_py")
 
 
 # ---------------------------------------------------------------- X9 / X10 tags

@@ -17,9 +17,13 @@ from .split import split_ids
 def conversation_turns(rows: DataFrame) -> DataFrame:
     """``(conv_id string, turn, role, text)`` from ``labelled_rows_to_turns`` or ``read_dialogue_rows``.
 
-    Rows without a transcript column are one conversation, whose id is the empty string."""
+    Rows without a transcript column are one conversation, whose id is the empty string.  Of the file's
+    own ids those that could be generated ones (digits, perhaps after ``#``) get a leading ``#``: the two kinds never meet."""
     key, pos = ("transcript_id", "pos") if "transcript_id" in rows.columns else ("id", "turn")
-    return rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("conv_id"),
+    conv = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    if "id_generated" in rows.columns:
+        conv = F.when(~F.col("id_generated") & conv.rlike("^#*[0-9]+$"), F.concat(F.lit("#"), conv)).otherwise(conv)
+    return rows.select(conv.alias("conv_id"),
                        F.col(pos).cast("long").alias("turn"), "role", "text")
 
 
@@ -29,7 +33,7 @@ def prepare_sft(turns: DataFrame, windows: Sequence[int] = (1, 2, 5), require_fu
     ``conv_id, turn, window_size, messages, split, text``.
 
     Whole conversations go to one side.  All of them are split, also those that give no sample, so the sides
-    do not depend on the windows asked for.  ``turns`` has normalised roles and dense positions."""
+    do not depend on the windows asked for.  ``turns`` has normalised roles; its positions may have gaps."""
     samples = sft_samples(turns, windows)
     if require_full_window:
         samples = full_windows(samples)

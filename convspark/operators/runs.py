@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import EARLY_STOPPING_PATIENCE, EXPERIMENTS, NUM_PROFILE_REPEATS, SAVE_TOTAL_LIMIT
 from ..functions.text import elapsed_hms, local_stamp, window_size_from_model
 from ..session import cut_lineage
-from .ordered import DEFAULT_BLOCK, dense_position, lookback, position_block, running
-
-# Time blocks for ordering events inside one process / run: an hour per block keeps a
-# busy key spread over many tasks, while the per-block carry table stays narrow.
-HOUR_MICROS = 3_600_000_000
-
+from .ordered import DEFAULT_BLOCK, dense_position, lookback, running
 
 def experiments_frame(spark: SparkSession) -> DataFrame:
     """The experiment table (14 rows: folder, doctor model, expand flag, window from name)."""
@@ -63,7 +58,7 @@ def _micros(c):
 
 
 def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind", ts: str = "ts",
-                  tie: str = "event_id") -> DataFrame:
+                  tie: str = "event_id", block: int = DEFAULT_BLOCK) -> DataFrame:
     """Pair each end with the start right before it (same process).
 
     Same as the in-memory registry: a start (re)sets the pending start, an end
@@ -72,9 +67,8 @@ def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind
     """
     e = events.select(F.col(process).alias("process"), F.col(kind).alias("kind"),
                       F.col(ts).alias("ts"), F.col(tie).alias("tie"))
-    e = cut_lineage(dense_position(e, ["process"], ["ts", "tie"],
-                                   F.floor(_micros("ts") / F.lit(HOUR_MICROS)), out="pos"))
-    framed = lookback(e, ["process"], "pos", 1, ["pos", "kind", "ts"], out="prev", include_current=False)
+    framed = lookback(e, ["process"], ["ts", "tie"], 1, ["ts", "tie", "kind"], out="prev", include_current=False,
+                      block=block, by=_micros("ts"))
     ends = framed.filter(F.col("kind") == "end")
     prev = F.try_element_at("prev", F.lit(-1))
     paired = (F.size("prev") == 1) & (prev["kind"] == "start")
@@ -86,12 +80,11 @@ def process_pairs(events: DataFrame, process: str = "process", kind: str = "kind
                        F.when(paired, "ok").otherwise("orphan").alias("status"))
 
 
-def eval_log(metrics: DataFrame, run: str, ts: str, tie: str, loss: str) -> DataFrame:
+def eval_log(metrics: DataFrame, run: str, ts: str, tie: str, loss: str, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Evaluation log rows ``run, step (0-based, by time), loss``."""
     m = metrics.select(F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(tie).alias("tie"),
                        F.col(loss).cast("double").alias("loss"))
-    return dense_position(m, ["run"], ["ts", "tie"], F.floor(_micros("ts") / F.lit(HOUR_MICROS)),
-                          out="step").select("run", "step", "loss")
+    return dense_position(m, ["run"], ["ts", "tie"], _micros("ts"), out="step", block=block).select("run", "step", "loss")
 
 
 def best_checkpoints(metrics: DataFrame, run: str, ts: str, tie: str, loss: str, keep: int = SAVE_TOTAL_LIMIT) -> DataFrame:
@@ -114,7 +107,7 @@ def best_checkpoints(metrics: DataFrame, run: str, ts: str, tie: str, loss: str,
 def eval_steps(history: DataFrame, run: str, step: str, loss: str, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``run, step, loss, eval``: evaluations with training steps of any spacing, numbered per run."""
     h = history.select(F.col(run).alias("run"), F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"))
-    return cut_lineage(dense_position(h, ["run"], ["step", "loss"], position_block("step", block), out="eval")
+    return cut_lineage(dense_position(h, ["run"], ["step", "loss"], F.col("step"), out="eval", block=block)
                        .select("run", "step", "loss", "eval"))
 
 
@@ -125,13 +118,13 @@ def best_by_step(log: DataFrame) -> DataFrame:
         "run", "n_evals", F.col("b.eval").alias("best_eval"), F.col("b.loss").alias("best_loss"))
 
 
-def early_stop(log: DataFrame, patience: int = EARLY_STOPPING_PATIENCE) -> DataFrame:
+def early_stop(log: DataFrame, patience: int = EARLY_STOPPING_PATIENCE, block: int = DEFAULT_BLOCK) -> DataFrame:
     """Stop at the first evaluation ``patience`` evaluations after the last
-    strict improvement of the best loss; null when training would not stop."""
-    log = cut_lineage(log)
-    r = running(log, ["run"], "step", [("_prev_best", "min", F.col("loss"), False)])
-    improved = F.col("_prev_best").isNull() | (F.col("loss") < F.col("_prev_best"))
-    r = cut_lineage(r.withColumn("_imp", improved))
-    r = running(r, ["run"], "step", [("_last_imp", "max", F.when(F.col("_imp"), F.col("step")), True)])
-    stop = F.when(F.col("step") - F.col("_last_imp") >= patience, F.col("step"))
-    return r.groupBy("run").agg(F.min(stop).alias("stop_step"), F.count(F.lit(1)).alias("n_evals"))
+    strict improvement of the best loss; null when training would not stop.
+
+    The prefix minimum of ``(loss, step)`` holds both the best loss and its first evaluation, which is
+    the last strict improvement; before any loss every evaluation counts as one."""
+    best = F.when(F.col("loss").isNotNull(), F.struct("loss", "step"))
+    r = running(log, ["run"], "step", [("_best", "min", best, True)], block=block)
+    waited = F.col("step") - F.coalesce(F.col("_best.step"), F.col("step"))
+    return r.groupBy("run").agg(F.min(F.when(waited >= patience, F.col("step"))).alias("stop_step"), F.count(F.lit(1)).alias("n_evals"))

@@ -1,7 +1,7 @@
 """Rolling-window samples.
 
-Input is the turn table ``(conv_id, turn, role, text)`` with ``turn`` a dense
-0-based position inside the conversation.  One framed pass at the largest
+Input is the turn table ``(conv_id, turn, role, text)``; ``turn`` orders a conversation and may
+have gaps, as frames count rows.  One framed pass at the largest
 window serves every window size (W2): the frame is computed once and sliced.
 """
 
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..constants import SFT_SYSTEM_PROMPT
 from ..functions.text import normalize_role, py_strip, sample_role
-from ..session import cut_lineage
-from .ordered import DEFAULT_BLOCK, dense_position, lookback, position_block
+from .ordered import DEFAULT_BLOCK, lookback
 
 MSG = "array<struct<role:string,content:string>>"
 
@@ -32,8 +31,7 @@ def normalized_turns(turns: DataFrame, conv: str = "conv_id", pos: str = "turn",
 
 
 def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
-                system_prompt: str = SFT_SYSTEM_PROMPT, block: int = DEFAULT_BLOCK,
-                renumber: bool = False) -> DataFrame:
+                system_prompt: str = SFT_SYSTEM_PROMPT, block: int = DEFAULT_BLOCK) -> DataFrame:
     """W1/W2 + F4 + X25: one sample per user->assistant pair and window size.
 
     Returns ``conv_id, turn (target), window_size, messages ARRAY<STRUCT<role,content>>``
@@ -42,14 +40,6 @@ def sft_samples(turns: DataFrame, windows: Sequence[int] = (5,),
     """
     if not windows or min(windows) < 1:
         raise ValueError("window sizes must be >= 1 (Q15)")
-    if renumber:
-        # turn numbers with gaps: frames count rows, so number them 0..n-1 first
-        # (skew-safe) and report the original turn of each target
-        numbered = cut_lineage(dense_position(turns.withColumnRenamed("turn", "_orig_turn"), ["conv_id"],
-                                              ["_orig_turn"], position_block("_orig_turn", block), out="turn"))
-        out = sft_samples(numbered.select("conv_id", "turn", "role", "text"), windows, system_prompt, block)
-        return out.join(numbered.select("conv_id", "turn", "_orig_turn"), ["conv_id", "turn"]) \
-            .select("conv_id", F.col("_orig_turn").alias("turn"), "window_size", "messages")
     wmax = max(windows)
     framed = lookback(turns, ["conv_id"], "turn", wmax, ["turn", "role", "text"],
                       out="frame", block=block)
@@ -86,15 +76,12 @@ def inference_contexts(turns: DataFrame, w: int, block: int = DEFAULT_BLOCK) ->
     """W3 + F2: at each user turn, [first system message] + the last ``w``
     non-system messages ending with that user message (Q16).
 
-    ``turns`` carries raw roles (system/user/assistant).  Non-system rows get a
-    dense position of their own (skew-safe) before the bounded frame.
+    ``turns`` carries raw roles (system/user/assistant).  The frame counts the non-system rows alone.
     """
     if w < 1:
         raise ValueError("window size must be >= 1 (Q15)")
     ns = turns.filter(F.col("role") != "system")
-    ns = cut_lineage(dense_position(ns, ["conv_id"], ["turn"], position_block("turn", block), out="ns_pos"))
-    framed = lookback(ns, ["conv_id"], "ns_pos", w - 1, ["ns_pos", "role", "text"],
-                      out="frame", block=block)
+    framed = lookback(ns, ["conv_id"], "turn", w - 1, ["turn", "role", "text"], out="frame", block=block)
     users = framed.filter(F.col("role") == "user")
     system = (turns.filter(F.col("role") == "system").groupBy("conv_id")
               .agg(F.min_by("text", "turn").alias("system_text")))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..constants import JUDGE_METRICS, SKIPPED_TEMPLATES
 from ..functions.scores import parse_score
+from ..session import default_partitions
 
 SLOT = "{conversation}"
 
@@ -56,19 +57,36 @@ def load_templates(spark: SparkSession, folder: str) -> DataFrame:
                       pieces.alias("pieces"))
 
 
+#: Templates up to so many bytes are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def render_prompts(docs: DataFrame, templates: DataFrame, text_col: str = "transcript",
-                   partitions: int | None = None) -> DataFrame:
-    """J1 + X11: every document x every template (broadcast nested loop; the
-    template side is a handful of rows whose size does not grow with data).
+                   partitions: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """J1 + X11: every document x every template.
+
+    The templates are measured first.  Up to ``broadcast_bytes`` they are broadcast (nested loop).  Beyond,
+    they are cut into chunks of half that size, and each chunk meets the documents in cells, a chunk
+    against a share of the documents, by an equi-join.
 
     ``partitions`` round-robins the documents first, so the model calls that
     follow run on that many tasks; documents are 1/len(templates) of the
     prompt bytes, so this is the cheapest place to spread the work."""
     if partitions:
         docs = docs.repartition(partitions)
-    t = F.broadcast(templates.select("metric", "pieces"))
-    return docs.crossJoin(t).withColumn("prompt", F.expr(f"array_join(pieces, `{text_col}`)")) \
-        .drop("pieces")
+    t = templates.select("metric", "pieces")
+    weight = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p))
+    total = t.agg(F.sum(weight)).first()[0] or 0
+    prompt = F.expr(f"array_join(pieces, `{text_col}`)")
+    if total <= broadcast_bytes:
+        return docs.crossJoin(F.broadcast(t)).withColumn("prompt", prompt).drop("pieces")
+    chunks = -(-2 * total // broadcast_bytes)
+    shares = default_partitions(docs.sparkSession)
+    t = t.withColumn("_chunk", F.pmod(F.xxhash64("metric"), F.lit(chunks)))
+    t = t.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    d = docs.withColumn("_share", F.pmod(F.xxhash64(text_col), F.lit(shares)))
+    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    return d.hint("shuffle_merge").join(t, ["_chunk", "_share"]).withColumn("prompt", prompt).select(*docs.columns, "metric", "prompt")
 
 
 ModelFactory = Callable[[], Callable[[str], str]]

@@ -62,10 +62,11 @@ def labelled_rows_to_turns(df: DataFrame, block: int = DEFAULT_BLOCK,
         order.append(F.col("input_pos"))
     if not order:
         raise ValueError("need utterance_id or input_pos to order turns")
-    blk_src = F.col("utterance_id") if "utterance_id" in cols else F.col("input_pos")
-    # nulls sort last: give them the block after every real one
-    block_of = F.coalesce(F.floor(blk_src / F.lit(block)), F.lit(1 << 40))
+    # nulls sort last, in the order of the input
+    by = F.col("input_pos") if "input_pos" in cols else F.lit(0)
+    if "utterance_id" in cols:
+        by = F.coalesce(F.col("utterance_id").cast("long"), F.lit(1 << 61) + by)
     base = df.select(tid.cast("string").alias("transcript_id"), role.alias("role"),
                      text.alias("text"), *[c for c in ("utterance_id", "input_pos") if c in cols])
-    ranked = dense_position(base, ["transcript_id"], order, block_of, out="pos")
+    ranked = dense_position(base, ["transcript_id"], order, by, out="pos", block=block)
     return ranked.select("transcript_id", "pos", "role", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import END_CHECK_HEADER, EXPERIMENTS, NUM_PROFILE_REPEATS
@@ -9,8 +11,11 @@ from ..functions.text import file_stamp, iso_z, verdict_yes, elapsed_hms, word_c
 from ..operators import endings as EN
 from ..operators import runs as R
 from ..operators.scoring import run_model
-from ..session import cut_lineage
+from ..session import checkpoint_path, cut_lineage
+from ..sinks.writers import append_eval_history
+from ..sinks.writers import log_history as read_log_history
 from ..sources.tables import table, turns
+from ..streaming.runner import remove_folder
 from .registry import register
 from .sqlbits import q, strip, words
 
@@ -210,6 +215,27 @@ def early_stop(spark, sf_dir):
     return R.early_stop(_log(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- K7 (events as an eval history, written in three batches)
+
+_HISTORY_SQL = """
+WITH h AS (SELECT DISTINCT user_id AS run, epoch_us(ts) AS step, value AS eval_loss, event_id % 3 AS batch FROM events),
+d AS (SELECT run, step, eval_loss, min(batch) AS batch FROM h GROUP BY 1, 2, 3)
+SELECT run, step, eval_loss, row_number() OVER (PARTITION BY run ORDER BY step, batch) - 1 AS entry FROM d"""
+
+
+@register("log_history", _HISTORY_SQL)
+def log_history(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    rows = ev.select(F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("step"),
+                     F.col("value").alias("eval_loss"), (F.col("event_id") % 3).alias("part"))
+    folder = checkpoint_path(spark, "history-" + uuid.uuid4().hex[:12])
+    for batch in (0, 1, 2, 1):  # a retried batch changes nothing
+        append_eval_history(rows.where(F.col("part") == batch).drop("part"), folder, batch)
+    out = cut_lineage(read_log_history(spark, folder).select("run", "step", "eval_loss", "entry"))
+    remove_folder(spark, folder)
+    return out
+
+
 # ---------------------------------------------------------------- A8 / A9 / X23
 
 _ELAPSED_SQL = f"""

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as J
 from ..operators.transcripts import render_dialogue, transcript_lines
-from ..session import checkpoint_path
+from ..session import checkpoint_path, cut_lineage
+from ..sources.files import read_requests
 from ..sources.tables import turns
 from ..streaming import live as L
-from ..streaming.runner import remove_folder, run_to_table, session_time_zone, table_stream
+from ..streaming.runner import drain, remove_folder, run_to_table, session_time_zone, table_stream
 from .judge import _JUDGE_CTE
 from .registry import register
 from .runs import _PAIRS_SQL, _streak_cte
@@ -110,6 +111,74 @@ def stream_scores(spark, sf_dir):
     return means
 
 
+# one request a conversation, all its turns as messages; some are broken, by the length of their texts
+_REQ_SQL = """
+WITH c AS (SELECT conv_id, count(*) AS n, sum(length(coalesce(text, ''))) AS chars FROM conversations GROUP BY conv_id)
+SELECT CASE WHEN chars % 5 = 4 THEN 'accepted' ELSE 'rejected' END AS sink,
+  CASE chars % 5 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'Messages must be a list' WHEN 2 THEN 'No messages provided'
+                 WHEN 3 THEN 'Invalid message format at index ' || (n - 1) END AS error,
+  count(*) AS n_requests, CAST(sum(CASE WHEN chars % 5 = 4 THEN n ELSE 0 END) AS BIGINT) AS n_messages,
+  CAST(sum(CASE WHEN chars % 5 = 4 THEN chars ELSE 0 END) AS BIGINT) AS content_chars
+FROM c GROUP BY 1, 2"""
+
+
+def _request_bodies(t):
+    """The turn table as request bodies ``(conv_id, body)``."""
+    text = F.coalesce("text", F.lit(""))
+    c = t.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", text.alias("content")))),
+                    lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"),
+        (F.sum(F.length(text)) % 5).alias("k"))
+    last = F.struct(F.element_at("m", -1)["role"].alias("role"), F.lit(None).cast("string").alias("content"))
+    broken = F.concat(F.slice("m", 1, F.size("m") - 1), F.array(last))
+    whole = F.to_json(F.struct(F.when(F.col("k") == 3, broken).when(F.col("k") == 2, F.slice("m", 1, 0)).otherwise(F.col("m")).alias("messages")))
+    one = F.to_json(F.struct(F.element_at("m", 1).alias("messages")))
+    body = F.when(F.col("k") == 1, one).when(F.col("k") == 0, F.expr("left(whole, length(whole) - 2)")).otherwise(F.col("whole"))
+    return c.withColumn("whole", whole).select("conv_id", body.alias("body"))
+
+
+@register("stream_request_log", _REQ_SQL)
+def stream_request_log(spark, sf_dir):
+    # the bodies, many to a text file, written first and then read as a file stream
+    folder = checkpoint_path(spark, "streams", "requests-" + uuid.uuid4().hex[:12])
+    _request_bodies(turns(spark, sf_dir)).select("body").write.text(f"{folder}/in")
+    requests = read_requests(spark, f"{folder}/in", stream=True, max_files=4)
+    drain(L.request_log(requests, f"{folder}/out", f"{folder}/chk"))
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"]))
+    ok = spark.read.parquet(f"{folder}/out/accepted").select(
+        F.lit("accepted").alias("sink"), F.lit(None).cast("string").alias("error"), F.col("n_messages").cast("long").alias("n"), chars.alias("chars"))
+    bad = spark.read.parquet(f"{folder}/out/rejected").select(
+        F.lit("rejected").alias("sink"), "error", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"))
+    out = cut_lineage(ok.unionByName(bad).groupBy("sink", "error").agg(
+        F.count(F.lit(1)).alias("n_requests"), F.sum("n").alias("n_messages"), F.sum("chars").alias("content_chars")))
+    remove_folder(spark, folder)
+    return out
+
+
+# an inference log made of the events: latency, tokens and limit from their value and properties
+_INFER_SQL = """
+WITH l AS (SELECT ts, event_type, length(props) AS input_tokens, CAST(floor(value) AS BIGINT) AS generated_tokens,
+                  CAST(round(value * 100) AS BIGINT) AS ms FROM events),
+e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, greatest(length(bin(ms)) - 6, 0) AS low FROM l),
+g AS (SELECT window_start, event_type, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+             CAST(sum(generated_tokens) AS BIGINT) AS generated_tokens,
+             count(*) FILTER (WHERE generated_tokens >= 64) AS n_truncated, list((ms >> low) << low ORDER BY ms) AS ls
+      FROM e GROUP BY 1, 2)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, n, input_tokens, generated_tokens, n_truncated,
+       n_truncated / n AS truncated_share, ls[(n * 50 + 99) // 100] AS latency_p50, ls[(n * 95 + 99) // 100] AS latency_p95,
+       ls[(n * 99 + 99) // 100] AS latency_p99
+FROM g, (SELECT max(ts) AS m FROM events) mx WHERE window_start + INTERVAL 1 HOUR <= m - INTERVAL 1 HOUR"""
+
+
+@register("stream_inference_windows", _INFER_SQL)
+def stream_inference_windows(spark, sf_dir):
+    with session_time_zone(spark):
+        log = _events(spark, sf_dir, None).select(
+            "ts", "event_type", F.length("props").alias("input_tokens"), F.floor("value").alias("generated_tokens"),
+            F.lit(64).alias("max_new_tokens"), F.round(F.col("value") * 100).cast("long").alias("latency_ms"))
+        return _ntz(run_to_table(L.inference_windows(log, "event_type"), "inference_windows"))
+
+
 _T6_SQL = """
 WITH mx AS (SELECT max(ts) AS m FROM events),
 g AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import LINE_BREAK_RE, WS_CLASS
 from ..functions import dialogue as D
 from ..functions.scores import parse_score
-from ..functions.text import file_stem, strip_tags_dataset, strip_tags_generation
+from ..functions.text import file_stem, strip_tags_dataset, strip_tags_generation, with_clean_text
 from ..operators.transcripts import labelled_rows_to_turns, render_dialogue, transcript_lines
 from ..sources.tables import table, turns
 from ..session import spread
@@ -156,6 +156,20 @@ def clean_transcript(spark, sf_dir):
     return transcript_lines(turns(spark, sf_dir)).select("conv_id", "turn", "speaker", "line")
 
 
+# the documents with characters that the JVM table has with two images (½) and that only NFKD knows (①㎏ and Ⅳ)
+_UNICODE_SQL = f"""
+WITH t AS (SELECT doc_id, regexp_replace(strip_accents(translate(replace(replace(text, 'ti', '1kg'), 'an', 'IV12'), '“”‘’—–', '""''''--')),
+                                         '[^\\x00-\\x7F]', '', 'g') AS a FROM documents)
+SELECT doc_id, md5(regexp_replace(regexp_replace(a, '{_ASCII_WS}+', ' ', 'g'), '^ | $', '', 'g')) AS clean_md5 FROM t"""
+
+
+@register("clean_unicode", _UNICODE_SQL)
+def clean_unicode(spark, sf_dir):
+    wide = F.replace(F.replace("text", F.lit("ti"), F.lit("①㎏")), F.lit("an"), F.lit("Ⅳ½"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", wide.alias("text")))
+    return with_clean_text(docs, "text", "clean").select("doc_id", F.md5("clean").alias("clean_md5"))
+
+
 # ---------------------------------------------------------------- X9 / X10
 
 _WRAP_SQL = f"""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MAX_SEQ_LENGTH
 from ..functions.text import file_stamp, word_count
+from ..operators.ordered import dense_position
 from ..operators.runs import best_by_step, early_stop, eval_steps
 from ..operators.scoring import (ModelFactory, materialized, render_prompts, run_model, score_replies,
                                  scores_by_conversation)
@@ -107,9 +110,36 @@ def write_prepared(samples: DataFrame, out: str, run_args: dict[str, object]) ->
     write_training_metadata(samples.sparkSession.read.parquet(f"{out}/samples"), f"{out}/metadata", run_args)
 
 
-def append_eval_history(history: DataFrame, out: str) -> None:
-    """K7: append ``run, step, epoch, metrics`` rows (the eval history table)."""
-    history.write.mode("append").parquet(out)
+def append_eval_history(history: DataFrame, out: str, batch_id: int | None = None) -> None:
+    """K7: add the ``run, step, epoch, metrics...`` rows of one batch to the history table, exactly once: a batch
+    is a folder of its own, so a batch that is written again replaces itself.  Without an id each call is
+    a batch of its own, later than those before it."""
+    if batch_id is None:
+        batch_id = time.time_ns()
+    history.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={int(batch_id)}")
+
+
+def eval_history_stream(history: DataFrame, out: str, checkpoint: str):
+    """K7 live: a writer that appends a stream of evaluations by its batch ids (start it with a trigger)."""
+    return history.writeStream.foreachBatch(lambda rows, batch: append_eval_history(rows, out, batch)).option(
+        "checkpointLocation", checkpoint)
+
+
+def log_history(spark: SparkSession, out: str) -> DataFrame:
+    """K7 read back: all rows of the history table with ``entry``, their 0-based place in the run's log (by step,
+    then batch).  An evaluation that two batches hold alike counts once."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c != "batch"]
+    first = rows.groupBy(*values).agg(F.min("batch").alias("batch"))
+    return dense_position(first, ["run"], ["step", "batch"], F.col("step"), out="entry")
+
+
+def write_log_history(spark: SparkSession, out: str, path: str) -> None:
+    """K7: one JSON line per run: ``run`` and ``log_history``, its evaluations in order, as a trainer writes it."""
+    log = log_history(spark, out)
+    entry = F.struct("entry", F.struct(*[c for c in log.columns if c not in ("run", "entry", "batch")]).alias("e"))
+    log.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("log_history")) \
+        .write.mode("overwrite").json(path)
 
 
 def write_best_checkpoints(history: DataFrame, out: str, loss: str = "eval_loss") -> None:

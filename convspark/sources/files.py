@@ -63,47 +63,52 @@ def transcript_turns(docs: DataFrame, text_col: str = "transcript") -> DataFrame
     return parsed.withColumn("role", role).withColumn("turn", F.col("_i").cast("long")).drop("_i", "_b")
 
 
+def file_order(scan: DataFrame, out: str) -> DataFrame:
+    """Add ``out``: each row's 0-based position among all rows of a file scan, by file path and then by its
+    place in the file, however Spark packs the files into tasks.
+
+    A split is a stretch of one file, read in order by one task, so a row's place in it follows from the
+    running id of the task; a prefix sum over the splits (one row each) gives what lies before it."""
+    d = scan.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"),
+                          "_mid": F.monotonically_increasing_id()})
+    splits = d.groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_file", "_at", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return d.join(splits, ["_file", "_at"]).withColumn(out, F.col("_off") + F.col("_mid")).drop("_file", "_at", "_mid", "_off")
+
+
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled dialogue CSV with pandas' default missing-value tokens read as NULL (Q1).
 
     Every column is read as text; ``utterance_id`` becomes BIGINT; ``input_pos``
-    keeps file order (single-file input) for ties and for files without ids.
+    numbers the rows of all files in name order, for ties and for files without ids.
     """
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
           .option("mode", "PERMISSIVE").csv(path))
-    for c in df.columns:
+    columns = df.columns
+    df = file_order(df, "input_pos")
+    for c in columns:
         df = df.withColumn(c, F.when(F.col(c).isin(*CSV_NA_TOKENS) | F.col(c).isNull(), None)
                            .otherwise(F.col(c)))
     if "utterance_id" in df.columns:
         df = df.withColumn("utterance_id", F.expr("try_cast(try_cast(utterance_id as double) as bigint)"))
-    return df.withColumn("input_pos", F.monotonically_increasing_id())
-
-
-def _row_index(df: DataFrame, out: str) -> DataFrame:
-    """0-based position in reading order: the place inside the scan's partition plus the sizes of the
-    partitions before it (a row per partition, broadcast)."""
-    d = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mid", 33))
-    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (d.join(F.broadcast(offs), "_part")
-            .withColumn(out, F.col("_off") + F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid", "_part", "_off"))
+    return df.select(*columns, "input_pos")
 
 
 def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind: str | None = None,
                        schema=None) -> DataFrame:
-    """S5 + F3 + X2-X4: exported dialogue rows -> ``id, turn, role, text``.
+    """S5 + F3 + X2-X4: exported dialogue rows -> ``id, turn, role, text, id_generated``.
 
     ``dialogue`` may be a string (labels / lines) or a list (``kind`` = map | pair | scalar).
     Pass ``schema`` with ``dialogue ARRAY<MAP<STRING,STRING>>`` to keep each item's own
     keys (and null values); with inferred structs, absent keys and nulls look alike.
-    A missing id becomes the row's position among all rows read, and only then rows without a
-    dialogue are dropped.
+    A missing id becomes the row's position among all rows read, files in name order, and only then rows
+    without a dialogue are dropped.  ``id_generated`` tells such an id from an equal one in the file.
     """
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    df = _row_index(reader.load(path), "_row").filter(F.col("dialogue").isNotNull())
+    df = file_order(reader.load(path), "_row").filter(F.col("dialogue").isNotNull())
     dtype = df.schema["dialogue"].dataType
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
         names = [f.name for f in dtype.elementType.fields]
@@ -112,7 +117,7 @@ def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind:
             lambda k, v: v.isNotNull()))
         df = df.withColumn("dialogue", as_map)
     rid = F.col("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("id", F.coalesce(rid, F.col("_row").cast("string")))
+    df = df.withColumns({"id_generated": rid.isNull(), "id": F.coalesce(rid, F.col("_row").cast("string"))})
     dtype = df.schema["dialogue"].dataType
     if isinstance(dtype, T.StringType):
         turns = parse_dialogue_text("dialogue")
@@ -120,8 +125,8 @@ def read_dialogue_rows(spark: SparkSession, path: str, fmt: str = "json", kind:
         turns = parse_dialogue_list("dialogue", kind or ("map" if isinstance(dtype.elementType, T.MapType)
                                                          else "pair" if isinstance(dtype.elementType, T.ArrayType)
                                                          else "scalar"))
-    return df.select("id", F.posexplode(turns).alias("turn", "t")).select(
-        "id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+    return df.select("id", "id_generated", F.posexplode(turns).alias("turn", "t")).select(
+        "id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", "id_generated")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -138,7 +143,10 @@ def read_run_dumps(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("file", F.col("_metadata.file_path"))
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Request log, one JSON body per line (validate with ``request_check``)."""
-    return spark.read.text(path).select(F.col("value").alias("body"),
-                                        F.col("_metadata.file_path").alias("file"))
+def read_requests(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """Request log, one JSON body per line (validate with ``request_check``); with ``stream`` as a file
+    stream over the folder, of ``max_files`` new files a batch."""
+    reader = spark.readStream if stream else spark.read
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path).select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"))

@@ -152,3 +152,73 @@ def test_dialogue_rows_list_shapes(spark, tmp_path):
     q.write_text(json.dumps({"id": "p", "dialogue": [["Client", "a"], ["Counselor", "b"]]}) + "\n")
     rows = SRC.read_dialogue_rows(spark, str(q)).orderBy("turn").collect()
     assert [(r.role, r.text) for r in rows] == [("user", "a"), ("assistant", "b")]
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    """Files of mixed size, split and packed into tasks: numbered by name, then by place."""
+    want = []
+    for name, n in (("a", 1), ("b", 400), ("c", 0), ("d", 3), ("e", 200)):
+        rows = [{"id": None if k % 2 else f"{name}{k}", "dialogue": f"Counselor: {name}{k} {'x' * (k % 90)}"} for k in range(n)]
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        want += [r["id"] or str(len(want) + k) for k, r in enumerate(rows)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = SRC.read_dialogue_rows(spark, str(tmp_path), schema="id string, dialogue string").collect()
+            assert sorted(r["id"] for r in got) == sorted(want)
+            assert all(r["id_generated"] == r["id"].isdigit() for r in got)
+            by = {r["id"]: r["text"].split(" ")[0] for r in got}
+            assert all(by[i] == t for i, t in zip(want, [f"{n}{k}" for n, c in (("a", 1), ("b", 400), ("d", 3), ("e", 200)) for k in range(c)]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_labelled_files_keep_their_order(spark, tmp_path):
+    for name, n in (("x", 5), ("y", 2)):
+        (tmp_path / f"{name}.csv").write_text("interlocutor,utterance_text\n" + "".join(f'client,"{name}\n{k}"\n' for k in range(n)))
+    got = SRC.read_labelled_csv(spark, str(tmp_path)).orderBy("input_pos").collect()
+    assert [(r["input_pos"], r["utterance_text"]) for r in got] == [
+        (i, t) for i, t in enumerate([f"x\n{k}" for k in range(5)] + [f"y\n{k}" for k in range(2)])]
+
+
+def test_generated_ids_never_meet_real_ones(spark, tmp_path):
+    from convspark.operators.prepare import conversation_turns
+    rows = [{"dialogue": "Counselor: a"}, {"id": "0", "dialogue": "Counselor: b"}, {"id": "#0", "dialogue": "Counselor: c"}]
+    (tmp_path / "r.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    got = conversation_turns(SRC.read_dialogue_rows(spark, str(tmp_path / "r.json"))).collect()
+    assert {(r["conv_id"], r["text"]) for r in got} == {("0", "a"), ("#0", "b"), ("##0", "c")}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "h")
+    parts = [[("w1", 200, 0.2, 1.0), ("w5", 100, 0.1, 2.0)], [("w1", 100, 0.1, 3.0), ("w1", 300, 0.3, 0.5)]]
+    schema = "run string, step int, epoch double, eval_loss double"
+    for batch in (0, 1, 1, 0):
+        W.append_eval_history(spark.createDataFrame(parts[batch], schema), out, batch)
+    got = W.log_history(spark, out).orderBy("run", "entry").collect()
+    assert [(r["run"], r["step"], r["entry"]) for r in got] == [("w1", 100, 0), ("w1", 200, 1), ("w1", 300, 2), ("w5", 100, 0)]
+    W.write_log_history(spark, out, str(tmp_path / "log"))
+    logs = {m["run"]: m["log_history"] for f in os.listdir(tmp_path / "log") if f.endswith(".json")
+            for m in map(json.loads, open(tmp_path / "log" / f))}
+    assert [e["step"] for e in logs["w1"]] == [100, 200, 300] and logs["w5"] == [{"step": 100, "epoch": 0.1, "eval_loss": 2.0}]
+
+
+def test_history_stream_resumes(spark, tmp_path):
+    from convspark.streaming.runner import drain
+    schema = "run string, step int, epoch double, eval_loss double"
+    src, out, chk = (str(tmp_path / x) for x in ("in", "out", "chk"))
+    for n in range(2):
+        spark.createDataFrame([("w", n, 0.0, 1.0)], schema).write.mode("append").parquet(src)
+        drain(W.eval_history_stream(spark.readStream.schema(schema).parquet(src), out, chk))
+    assert [r["step"] for r in W.log_history(spark, out).orderBy("entry").collect()] == [0, 1]
+
+
+def test_large_template_folders_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(k, f"talk {k}") for k in range(30)] + [(99, None)], "conv_id long, transcript string")
+    templates = J.templates_frame(spark, {f"m{k}": "x" * 300 + " {conversation} " + str(k) for k in range(40)})
+    small = J.render_prompts(docs, templates)
+    large = J.render_prompts(docs, templates, broadcast_bytes=2000)
+    assert large.columns == small.columns and sorted(map(str, large.collect())) == sorted(map(str, small.collect()))
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan and "Cross" not in plan

@@ -105,10 +105,10 @@ def test_length_stats_sampled(spark):
     assert r.median_len == sorted(first)[2] and r.n_over_max == sum(x > 5 for x in first)
 
 
-def test_sft_renumber_gapped_turns(spark):
+def test_sft_gapped_turns(spark):
     t = S.normalized_turns(turns(spark, SF_CHECK))
     gapped = t.withColumn("turn", F.col("turn") * 10 + 7)
-    a = S.sft_samples(gapped, [1, 5], renumber=True).withColumn("turn", (F.col("turn") - 7) / 10)
+    a = S.sft_samples(gapped, [1, 5]).withColumn("turn", (F.col("turn") - 7) / 10)
     b = S.sft_samples(t, [1, 5])
     key = lambda r: (r.conv_id, int(r.turn), r.window_size, str(r.messages))
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convspark.streaming import live as L
-from convspark.streaming.runner import run_to_table
+from convspark.streaming.runner import drain, run_to_table
 
 from .conftest import SF_SMALL
 
@@ -124,3 +124,67 @@ def test_late_rows_are_reported(spark, tmp_path, caplog):
            .parquet(f"{tmp_path}/*").withColumn("ts", F.timestamp_seconds("secs")))
     run_to_table(L.windowed_usage(src, "k", "value"), "late")
     assert "1 rows later than the watermark" in caplog.text
+
+
+def test_inference_windows(spark, tmp_path):
+    base = 1704067200
+    rows = [("a", base + 60 * k, 10, k, 40, 10 * k) for k in range(50)] + [("a", base, None, None, 40, None), ("b", base, 1, 40, 40, 0)]
+    rows += [("a", base + 9000, 1, 1, 40, 5)]  # moves the watermark past the first hour
+    src = _stream(spark, tmp_path, rows, "model string, secs long, input_tokens long, generated_tokens long, max_new_tokens long, latency_ms long")
+    log = src.withColumn("ts", F.timestamp_seconds("secs"))
+    got = {r["model"]: r for r in run_to_table(L.inference_windows(log, "model"), "t6").collect()}
+    a, b = got["a"], got["b"]
+    assert (a["n"], a["input_tokens"], a["generated_tokens"], a["n_truncated"]) == (51, 500, sum(range(50)), 10)
+    assert a["truncated_share"] == 10 / 51
+
+    def edge(x):
+        low = max(x.bit_length() - 6, 0)
+        return x >> low << low
+
+    assert [a[f"latency_p{q}"] for q in (50, 95, 99)] == [edge(240), edge(470), edge(490)]
+    assert (b["latency_p50"], b["n_truncated"]) == (0, 1)
+    assert a["window_end"] - a["window_start"] == __import__("datetime").timedelta(hours=1)
+
+
+def test_late_inference_rows_are_counted(spark, tmp_path):
+    for n, secs in enumerate((1704067200 + 86400, 1704067200 + 90000, 1704067200)):
+        spark.createDataFrame([("m", secs, 1, 1, 2, 5)], "model string, secs long, input_tokens long, generated_tokens long, "
+                              "max_new_tokens long, latency_ms long").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        time.sleep(1.1)
+    src = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in/0").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    w = L.inference_windows(src.withColumn("ts", F.timestamp_seconds("secs")), "model")
+    late = drain(w.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/chk"))
+    assert late == 1
+
+
+def test_requests_go_to_two_sinks_once(spark, tmp_path):
+    from convspark.sources.files import read_requests
+    good = '{"messages": [{"role": "user", "content": "hé"}]}'
+    files = [[good, "{oops", ""], ['{"messages": 3}', good, good], ['{"messages": [{"role": "user"}]}']]
+    (tmp_path / "in").mkdir()
+    for n, lines in enumerate(files):
+        (tmp_path / "in" / f"{n}.log").write_text("\n".join(lines) + "\n")
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def sinks():
+        ok = spark.read.parquet(f"{out}/accepted").select("n_messages", "messages")
+        bad = spark.read.parquet(f"{out}/rejected").select("error", "body")
+        return sorted(map(str, ok.collect())), sorted(map(str, bad.collect()))
+
+    def run():
+        drain(L.request_log(read_requests(spark, src, stream=True, max_files=1), out, str(tmp_path / "chk")))
+
+    run()
+    before = sinks()
+    batch = L.live_request_check(read_requests(spark, src))
+    assert len(before[0]) == batch.where("status = 'ok'").count() == 3
+    assert before[1] == sorted(map(str, batch.where("status <> 'ok'").select("error", "body").collect()))
+    run()  # a restart finds nothing new
+    assert sinks() == before
+    L.split_requests(read_requests(spark, f"{src}/1.log"), out, 1)  # a batch that is written again replaces itself
+    first = sinks()
+    L.split_requests(read_requests(spark, f"{src}/1.log"), out, 1)
+    assert sinks() == first
+    (tmp_path / "in" / "9.log").write_text(good + "\n")
+    run()
+    assert len(sinks()[0]) == len(first[0]) + 1
