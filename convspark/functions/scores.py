@@ -48,7 +48,6 @@ def parse_panas(c) -> Column:
         F.element_at(p, 1).alias("feeling"), F.element_at(p, 2).cast("int").alias("score"),
         py_strip(F.element_at(p, 3)).alias("explanation")))
     known = F.array(*[F.lit(f) for f in PANAS_FEELINGS])
-    parsed = F.transform(lines, one)
     return F.filter(parsed, lambda r: F.array_contains(known, r["feeling"]))
 
 
