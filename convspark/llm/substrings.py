@@ -211,26 +211,41 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
     kind = rows.schema["doc"].dataType.simpleString()
     out = f"doc {kind}, start long, end long, rdoc {kind}, rstart long, rend long, similarity double"
 
-    def pairs(t: pa.Table) -> list[tuple]:
-        doc, lows, n = t.column("doc").to_pylist(), t.column("lo").to_numpy(), t.num_rows
+    alike = math.ceil(2 * width * least / (1 + least) - 1e-9)  # of two slices without repeats, at one diagonal
+
+    def side_by_side(t: pa.Table):
+        """The rows' shingles with the anchors in one column, where they stand, and where a whole slice begins:
+        equal shingles of two slices lie on one diagonal there."""
         lists = t.column("near").combine_chunks()
         offsets = lists.offsets.to_numpy()
-        sizes = np.diff(offsets)
-        flat = lists.flatten().to_numpy()
-        ends = offsets[1:] - offsets[0]
-        before = (t.column("anchor").to_numpy() - lows).astype(np.int64)  # shingles ahead of the anchor
-        # rows side by side, anchors in one column: equal shingles of a slice lie on one diagonal there
-        level = np.zeros((n, 2 * width - 1), np.int32)
+        sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
+        before = (t.column("anchor").to_numpy() - t.column("lo").to_numpy()).astype(np.int64)
+        level = np.zeros((t.num_rows, 2 * width - 1), np.int32)
         held = np.zeros(level.shape, bool)
-        row = np.repeat(np.arange(n), sizes)
-        col = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) + np.repeat(width - 1 - before, sizes)
+        row = np.repeat(np.arange(t.num_rows), sizes)
+        col = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0] - (width - 1 - before), sizes)
         level[row, col], held[row, col] = flat, True
-        full = np.cumsum(held, axis=1)[:, width - 1:].copy()
-        full[:, 1:] -= np.cumsum(held, axis=1)[:, :-width]
-        full = full == width  # a whole slice begins in this column
-        alike = math.ceil(2 * width * least / (1 + least) - 1e-9)  # of two slices without repeats, at one diagonal
-        linked = t.column("linked").to_numpy(zero_copy_only=False)
-        root, got = np.where(linked, linked.argmax(), np.arange(n)), []
+        sums = np.cumsum(held, axis=1, dtype=np.int16)
+        full = sums[:, width - 1:].copy()
+        full[:, 1:] -= sums[:, :-width]
+        return level, held, full == width
+
+    def agreement(level, held, full, i, j):
+        """For rows ``i`` and ``j``, how many places agree in each pair of whole slices on the anchors' diagonal
+        (-1 where one is not whole)."""
+        sums = np.cumsum((level[i] == level[j]) & held[i] & held[j], axis=1, dtype=np.int16)
+        same = sums[:, width - 1:].copy()
+        same[:, 1:] -= sums[:, :-width]
+        same[~(full[i] & full[j])] = -1
+        return same
+
+    def pairs(t: pa.Table, level, held, full, root: np.ndarray, got: list, place: list) -> None:
+        """Links the rows of one key that ``root`` leaves apart."""
+        doc, lows, n = place[0], place[1], t.num_rows
+        lists = t.column("near").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
+        ends = offsets[1:] - offsets[0]
         lazy: dict[str, np.ndarray] = {}
         slices = {}
 
@@ -258,42 +273,18 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
                 slices[i] = inside, inside.sum(axis=1)
             return slices[i]
 
-        def link(i: int, j: int, a: int, b: int, last: int, sim: float) -> None:
-            """Slices ``a`` of row ``i`` and ``b`` of row ``j`` up to ``last`` further ones are near duplicates."""
+        def join(i: int, j: int) -> None:
             root[root == root[j]] = root[i]
-            at = {i: (int(lows[i]) + a, int(lows[i]) + a + last + width), j: (int(lows[j]) + b, int(lows[j]) + b + last + width)}
-            one, two = ((i, j) if doc[i] > doc[j] else (j, i))
-            got.append((doc[one], *at[one], doc[two], *at[two], sim))
-
-        def on_diagonal(i: int, j: int, k: int, same: np.ndarray) -> bool:
-            """Links two rows by the slices whose first column is ``k`` if their sets are near enough."""
-            x, y = set(level[i, k:k + width].tolist()), set(level[j, k:k + width].tolist())
-            sim = len(x & y) / len(x | y)
-            if sim < least:
-                return False
-            lo = hi = k
-            while lo and same[lo - 1] >= alike:
-                lo -= 1
-            while hi + 1 < len(same) and same[hi + 1] >= alike:
-                hi += 1
-            first = width - 1
-            link(i, j, int(lo - (first - before[i])), int(lo - (first - before[j])), int(hi - lo), sim)
-            return True
 
         for i in range(n - 1):
             later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
             if not len(later):
                 continue
-            # most near duplicates agree place by place around the anchor
-            sums = np.cumsum((level[later] == level[i]) & held[later] & held[i], axis=1)
-            same = sums[:, width - 1:].copy()
-            same[:, 1:] -= sums[:, :-width]
-            same[~(full[later] & full[i])] = -1
-            best = same.argmax(axis=1)
-            for at in np.flatnonzero(same[np.arange(len(later)), best] >= alike):
+            same = agreement(level, held, full, np.full(len(later), i), later)
+            for at in np.flatnonzero(same.max(axis=1) >= alike):
                 j = int(later[at])
-                if doc[i] != doc[j] and root[i] != root[j]:
-                    on_diagonal(i, j, int(best[at]), same[at])
+                if doc[i] != doc[j] and root[i] != root[j] and on_diagonal(level, i, j, same[at], place, got):
+                    join(i, j)
             later = later[root[later] != root[i]]
             if not len(later):
                 continue
@@ -321,19 +312,73 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
                     lo -= 1
                 while hi + 1 < len(run) and run[hi + 1]:
                     hi += 1
-                link(i, j, a + lo - best_at, b + lo - best_at, hi - lo, sim)
+                link(i, j, a + lo - best_at, b + lo - best_at, hi - lo, sim, place, got)
+                join(i, j)
             here[own[i]] = False
+
+    def link(i: int, j: int, a: int, b: int, last: int, sim: float, place: list, got: list) -> None:
+        """Slices ``a`` of row ``i`` and ``b`` of row ``j`` up to ``last`` further ones are near duplicates."""
+        doc, lows, _ = place
+        at = {i: (lows[i] + a, lows[i] + a + last + width), j: (lows[j] + b, lows[j] + b + last + width)}
+        one, two = ((i, j) if doc[i] > doc[j] else (j, i))
+        got.append((doc[one], *at[one], doc[two], *at[two], sim))
+
+    def on_diagonal(level, i: int, j: int, same: np.ndarray, place: list, got: list) -> bool:
+        """Links two rows by their best whole slices on the diagonal if the slices' sets are near enough."""
+        k = int(same.argmax())
+        x, y = set(level[i, k:k + width].tolist()), set(level[j, k:k + width].tolist())
+        sim = len(x & y) / len(x | y)
+        if sim < least:
+            return False
+        lo = hi = k
+        while lo and same[lo - 1] >= alike:
+            lo -= 1
+        while hi + 1 < len(same) and same[hi + 1] >= alike:
+            hi += 1
+        before = place[2]
+        link(i, j, lo - (width - 1 - before[i]), lo - (width - 1 - before[j]), hi - lo, sim, place, got)
+        return True
+
+    def all_keys(t: pa.Table, edges: np.ndarray) -> list[tuple]:
+        """Links the rows of each stretch of ``edges``.  Most near duplicates agree place by place around the
+        anchor: all rows of all keys meet their key's first row at once, and the rest meet one another."""
+        level, held, full = side_by_side(t)
+        doc, n = t.column("doc").to_pylist(), t.num_rows
+        lows = t.column("lo").to_pylist()
+        place = [doc, lows, [a - b for a, b in zip(t.column("anchor").to_pylist(), lows)]]
+        linked = t.column("linked").to_numpy(zero_copy_only=False)
+        sizes = np.diff(edges)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        head = edges[:-1].copy()  # the first linked row, else the first
+        seen = np.flatnonzero(linked)
+        which, first = np.unique(group[seen], return_index=True)
+        head[which] = seen[first]
+        root = np.where(linked, head[group], np.arange(n))
+        ask = np.flatnonzero(root != head[group])
+        got: list[tuple] = []
+        for at in range(0, len(ask), 4096):
+            part = ask[at:at + 4096]
+            same = agreement(level, held, full, head[group[part]], part)
+            for r in np.flatnonzero(same.max(axis=1) >= alike):
+                j = int(part[r])
+                i = int(head[group[j]])
+                if doc[i] != doc[j] and on_diagonal(level, i, j, same[r], place, got):
+                    root[j] = i
+        open_keys = np.unique(group[root != head[group]])
+        for g in open_keys.tolist():
+            a, b = int(edges[g]), int(edges[g + 1])
+            found: list[tuple] = []
+            pairs(t.slice(a, b - a), level[a:b], held[a:b], full[a:b], root[a:b] - a, found, [x[a:b] for x in place])
+            got += found
         return got
 
     def run(batches):
         held = None
 
         def emit(t: pa.Table):
-            got, key = [], np.stack([t.column(k).to_numpy() for k in keys])
-            edges = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                if b - a > 1:
-                    got += pairs(t.slice(a, b - a))
+            t = t.combine_chunks()
+            key = np.stack([t.column(k).to_numpy() for k in keys])
+            got = all_keys(t, np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, t.num_rows])
             cols = list(zip(*got)) or [()] * 7
             kinds = [t.schema.field("doc").type, pa.int64(), pa.int64()] * 2 + [pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
