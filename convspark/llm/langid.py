@@ -34,11 +34,22 @@ SIGMAS = 4.0
 SHARPNESS = 12.0
 UNDETERMINED = "und"
 
+def _signs() -> str:
+    """Ranges of the characters that count as word characters but are neither letters nor digits (such as ²½①Ⅷ)."""
+    at = [c for c in range(0x80, 0x20000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()]
+    starts = [c for c, before in zip(at, [-1, *at]) if c != before + 1]
+    ends = [c for c, after in zip(at, [*at[1:], -1]) if c + 1 != after]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
+
+
 LETTERLESS = re.compile(r"[\W\d_]+")
+SIGNS = re.compile(f"[{_signs()}]+")
 
 
 def letters(text: str | None) -> str:
     """Lower case, every run of non-letters one space, one space at either end; '' without a letter."""
+    if text and not text.isascii() and SIGNS.search(text):
+        text = SIGNS.sub(" ", text)
     t = LETTERLESS.sub(" ", text.lower()).strip() if text else ""
     return f" {t} " if t else ""
 

@@ -11,6 +11,7 @@ from .helpers import doc, docs_of
 def test_letters():
     assert langid.letters("Ab, c!  9Ä_") == " ab c ä "
     assert langid.letters(" 1 2 ") == "" == langid.letters(None) == langid.letters("")
+    assert langid.letters("²³ ½ ① Ⅷ ٣ 〇_") == "" and langid.letters("x²y½ 中Ⅷ文") == " x y 中 文 "
 
 
 def test_probabilities_sum_to_one():
