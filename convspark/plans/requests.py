@@ -20,18 +20,18 @@ NL = "chr(10)"
 def _requests(spark, sf_dir):
     t = turns(spark, sf_dir)
     framed = lookback(t, ["conv_id"], "turn", 5, ["turn", "role", "text"], out="req", include_current=False)
-    a = framed.filter(F.col("role") == "assistant")
+    a = framed.filter(F.col("role") == "assistant").withColumn("said", F.coalesce("text", F.lit("")))
     msgs = F.transform("req", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     k = F.col("conv_id") % 7
     bad_item = F.struct(F.lit("user").alias("role"), F.lit(None).cast("string").alias("content"))
     body = (F.when(k == 0, F.concat(F.lit('{"messages": '), F.to_json(msgs)))
-            .when(k == 1, F.lit('{"messages": "hello"}'))
+            .when(k == 1, F.to_json(F.struct(F.col("said").alias("messages"))))
             .when(k == 2, F.to_json(F.struct(F.concat(msgs, F.array(bad_item)).alias("messages"))))
-            .when(k == 3, F.lit('{"model": "x"}'))
-            .when(k == 4, F.lit('{"messages": []}'))
+            .when(k == 3, F.to_json(F.struct(F.col("said").alias("model"))))
+            .when(k == 4, F.to_json(F.struct(F.slice(msgs, 1, 0).alias("messages"), F.col("said").alias("last"))))
             .otherwise(F.to_json(F.struct(msgs.alias("messages")))))
     prompt_tokens = F.aggregate("req", F.lit(0).cast("long"), lambda s, m: s + word_count(m["text"]))
-    return a.select("conv_id", "turn", "text", body.alias("body"), prompt_tokens.alias("prompt_tokens"))
+    return a.select("conv_id", "turn", "text", "said", body.alias("body"), prompt_tokens.alias("prompt_tokens"))
 
 
 _REQ_CTE = f"""
@@ -44,11 +44,11 @@ w AS (SELECT conv_id, turn, role, text,
 rq AS (SELECT conv_id, turn, text, CAST(coalesce(pt, 0) AS BIGINT) AS prompt_tokens,
          CASE conv_id % 7
            WHEN 0 THEN '{{"messages": ' || CAST(to_json(coalesce(req, [])) AS VARCHAR)
-           WHEN 1 THEN '{{"messages": "hello"}}'
+           WHEN 1 THEN CAST(json_object('messages', coalesce(text, '')) AS VARCHAR)
            WHEN 2 THEN '{{"messages": ' || rtrim(CAST(to_json(coalesce(req, [])) AS VARCHAR), ']')
                        || CASE WHEN len(coalesce(req, [])) = 0 THEN '' ELSE ',' END || '{{"role": "user"}}]}}'
-           WHEN 3 THEN '{{"model": "x"}}'
-           WHEN 4 THEN '{{"messages": []}}'
+           WHEN 3 THEN CAST(json_object('model', coalesce(text, '')) AS VARCHAR)
+           WHEN 4 THEN '{{"messages": [], "last": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}}'
            ELSE '{{"messages": ' || CAST(to_json(coalesce(req, [])) AS VARCHAR) || '}}' END AS body
        FROM w WHERE role = 'assistant')
 """
@@ -85,10 +85,10 @@ def request_validation(spark, sf_dir):
 _COMP_SQL = f"""WITH {_REQ_CTE},
 rec AS (SELECT conv_id, turn,
           CASE conv_id % 5
-            WHEN 0 THEN '{{"id": "x"}}'
-            WHEN 1 THEN '{{"choices": []}}'
-            WHEN 2 THEN '{{"choices": [{{"index": 0}}]}}'
-            WHEN 3 THEN 'oops'
+            WHEN 0 THEN CAST(json_object('id', coalesce(text, '')) AS VARCHAR)
+            WHEN 1 THEN '{{"choices": [], "text": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}}'
+            WHEN 2 THEN '{{"choices": [{{"index": 0, "text": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}}]}}'
+            WHEN 3 THEN 'oops ' || coalesce(text, '')
             ELSE CAST(json_object('id', 'chatcmpl-' || md5(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)),
                    'object', 'chat.completion', 'created', 1700000000 + turn, 'model', 'patient-sim',
                    'choices', json_array(json_object('index', 0, 'message',
@@ -122,8 +122,12 @@ def completion_extract(spark, sf_dir):
     rec = JM.completion_record(rid, F.lit(1700000000) + F.col("turn"), F.lit("patient-sim"), F.col("text"),
                                F.col("prompt_tokens"), ct)
     k = F.col("conv_id") % 5
-    resp = (F.when(k == 0, F.lit('{"id": "x"}')).when(k == 1, F.lit('{"choices": []}'))
-            .when(k == 2, F.lit('{"choices": [{"index": 0}]}')).when(k == 3, F.lit("oops")).otherwise(rec))
+    none = F.array().cast("array<string>")
+    one = F.array(F.struct(F.lit(0).alias("index"), F.col("said").alias("text")))
+    resp = (F.when(k == 0, F.to_json(F.struct(F.col("said").alias("id"))))
+            .when(k == 1, F.to_json(F.struct(none.alias("choices"), F.col("said").alias("text"))))
+            .when(k == 2, F.to_json(F.struct(one.alias("choices"))))
+            .when(k == 3, F.concat(F.lit("oops "), "said")).otherwise(rec))
     r = r.withColumn("response", resp)
     out = JM.completion_content("response")
     total = F.try_variant_get(F.try_parse_json("response"), "$.usage.total_tokens", "bigint")
