@@ -341,7 +341,8 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
 
     def all_keys(t: pa.Table, edges: np.ndarray) -> list[tuple]:
         """Links the rows of each stretch of ``edges``.  Most near duplicates agree place by place around the
-        anchor: all rows of all keys meet their key's first row at once, and the rest meet one another."""
+        anchor: all rows of all keys meet their key's first row at once, and those left over the first of them.  Then
+        one row stands for those of other documents with the same shingles, and all that are still apart are compared."""
         level, held, full = side_by_side(t)
         doc, n = t.column("doc").to_pylist(), t.num_rows
         lows = t.column("lo").to_pylist()
@@ -354,22 +355,50 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         which, first = np.unique(group[seen], return_index=True)
         head[which] = seen[first]
         root = np.where(linked, head[group], np.arange(n))
-        ask = np.flatnonzero(root != head[group])
         got: list[tuple] = []
-        for at in range(0, len(ask), 4096):
-            part = ask[at:at + 4096]
-            same = agreement(level, held, full, head[group[part]], part)
-            for r in np.flatnonzero(same.max(axis=1) >= alike):
-                j = int(part[r])
-                i = int(head[group[j]])
-                if doc[i] != doc[j] and on_diagonal(level, i, j, same[r], place, got):
-                    root[j] = i
-        open_keys = np.unique(group[root != head[group]])
-        for g in open_keys.tolist():
-            a, b = int(edges[g]), int(edges[g + 1])
-            found: list[tuple] = []
-            pairs(t.slice(a, b - a), level[a:b], held[a:b], full[a:b], root[a:b] - a, found, [x[a:b] for x in place])
-            got += found
+
+        def meet(ask: np.ndarray, other: np.ndarray) -> None:
+            """Links each row of ``ask`` with its row of ``other`` where they agree place by place."""
+            for at in range(0, len(ask), 4096):
+                part, heads = ask[at:at + 4096], other[at:at + 4096]
+                same = agreement(level, held, full, heads, part)
+                for r in np.flatnonzero(same.max(axis=1) >= alike):
+                    j, i = int(part[r]), int(heads[r])
+                    if doc[i] != doc[j] and on_diagonal(level, i, j, same[r], place, got):
+                        root[j] = root[i]
+
+        ask = np.flatnonzero(root != head[group])
+        meet(ask, head[group[ask]])
+        for _ in range(2):  # the rows left over meet the first of them
+            ask = np.flatnonzero((root != head[group]) & (root == np.arange(n)))
+            which, first = np.unique(group[ask], return_index=True)
+            heads = ask[first]
+            rest = np.setdiff1d(ask, heads)
+            meet(rest, heads[np.searchsorted(which, group[rest])])
+        # rows of a key with the same shingles in the same places: one of them stands for those of other documents
+        mixed = _mix((np.where(held, level.astype(np.int64) + (1 << 33), 0).view(np.uint64)
+                      * (np.arange(1, level.shape[1] + 1, dtype=np.uint64) * np.uint64(HASHES[0]))), HASHES[1]).sum(axis=1)
+        opened = np.isin(group, np.unique(group[root != head[group]]))
+        rows = np.flatnonzero(opened)
+        order = rows[np.lexsort((rows, mixed[rows], group[rows]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (group[order[1:]] != group[order[:-1]]) | (mixed[order[1:]] != mixed[order[:-1]])
+        model = np.arange(n)
+        model[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+        copies = np.flatnonzero(model != np.arange(n))
+        equal = (level[copies] == level[model[copies]]).all(axis=1) & (held[copies] == held[model[copies]]).all(axis=1)
+        copies = copies[equal]
+        apart = copies[root[copies] != root[model[copies]]]
+        meet(apart, model[apart])
+        keep = opened.copy()
+        other_doc = np.array([doc[j] != doc[m] for j, m in zip(copies.tolist(), model[copies].tolist())], bool)
+        keep[copies[other_doc & (root[copies] == root[model[copies]])]] = False
+        for g in np.unique(group[rows]).tolist():
+            at = np.flatnonzero(keep[edges[g]:edges[g + 1]]) + edges[g]
+            if (root[at] != root[at[0]]).any():
+                found: list[tuple] = []
+                pairs(t.take(at), level[at], held[at], full[at], root[at], found, [[x[k] for k in at.tolist()] for x in place])
+                got += found
         return got
 
     def run(batches):
