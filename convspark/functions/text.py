@@ -113,8 +113,9 @@ _ASCII_WS = "[\\t\\n\\x{b}\\x{c}\\r\\x{1c}-\\x{1f} ]"
 
 
 def _post_clean(c) -> Column:
-    collapsed = F.regexp_replace(_c(c), f"{_ASCII_WS}+", " ")
-    return F.regexp_replace(collapsed, f"^{_ASCII_WS}+|{_ASCII_WS}+$", "")
+    # a single space stays as it is, so only other runs are matched; then nothing but spaces is left to trim
+    collapsed = F.regexp_replace(_c(c), f"[\\t\\n\\x{{b}}\\x{{c}}\\r\\x{{1c}}-\\x{{1f}}]{_ASCII_WS}*| {_ASCII_WS}+", " ")
+    return F.trim(collapsed)
 
 
 def clean_text_ascii(c) -> Column:
@@ -171,26 +172,33 @@ def nfkd_ascii_jvm(c) -> Column:
 
 def nfkd_multi_jvm(c) -> Column:
     """The tabulated characters with images of several characters (fractions, ligatures, digraphs) written out,
-    character by character, in the texts that hold one."""
+    one replacement of the whole text for each such character that it holds."""
     global _TABLE
     if _TABLE is None:
         _TABLE = _nfkd_table()
     images = F.create_map(*[F.lit(x) for pair in _TABLE[3] for x in pair])
-    sources = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch, _ in _TABLE[3]) + "]"
-    written = F.array_join(F.transform(F.split(_c(c), ""), lambda x: F.coalesce(F.try_element_at(images, x), x)), "")
-    return F.when(_c(c).rlike(sources), written).otherwise(_c(c))
+    found = F.array_distinct(F.regexp_extract_all(_c(c), F.lit("([^\\x00-\\x7F])"), F.lit(1)))
+    known = F.filter(found, lambda ch: F.try_element_at(images, ch).isNotNull())
+    return F.aggregate(known, _c(c), lambda text, ch: F.replace(text, ch, F.try_element_at(images, ch)))
+
+
+#: A character outside ASCII and the tabulated blocks.
+UNTABLED = "[^\\x00-\\x7F" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in NFKD_BLOCKS) + "]"
 
 
 def with_clean_text(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """X7 on a DataFrame: quotes/dashes -> ASCII, NFKD, drop non-ASCII, collapse spaces, strip.
 
     NFKD runs in the JVM for the tabulated blocks (all European Latin text).  The Arrow UDF gets the texts
-    that still hold other characters, and nulls for all others, so the input is scanned once.
+    that hold other characters, and nulls for all others, so the input is scanned once; a text takes one
+    of the two ways only, and ASCII neither.
     """
-    pre = df.withColumn("_pre", _pre_clean(text_col)).withColumn("_jvm", nfkd_multi_jvm(nfkd_ascii_jvm("_pre")))
-    left = F.col("_jvm").rlike("[^\\x00-\\x7F]")
-    pre = pre.withColumn("_py", nfkd_ascii(F.when(left, F.col("_pre"))))
-    return pre.withColumn(out, _post_clean(F.coalesce("_py", "_jvm"))).drop("_pre", "_jvm", "_py")
+    pre = df.withColumn("_pre", _pre_clean(text_col))
+    pre = pre.withColumn("_py", nfkd_ascii(F.when(F.col("_pre").rlike(UNTABLED), F.col("_pre"))))
+    # an array of one: the lambda's variable holds the translated text, so that it is made once
+    jvm = F.transform(F.array(nfkd_ascii_jvm("_pre")), nfkd_multi_jvm)[0]
+    plain = F.coalesce("_py", F.when(F.col("_pre").rlike("[^\\x00-\\x7F]"), jvm).otherwise(F.col("_pre")))
+    return pre.withColumn(out, _post_clean(plain)).drop("_pre", "_py")
 
 
 # ---------------------------------------------------------------- X9 / X10 tags

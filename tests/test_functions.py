@@ -143,3 +143,12 @@ def test_pluggable_token_counter(spark):
     count = pandas_token_counter(lambda s: s.split())
     vals = ["a b  c", "", " x\ty ", None]
     assert one_col(spark, vals, count("v")) == [3, 0, 2, None]
+
+
+def test_clean_text_equals_unicodedata(spark):
+    """Texts with several characters of several images, next to ones that only Python knows."""
+    import unicodedata
+    vals = ["½ ¼½ ﬁﬂ x½", "①㎏ ½ an", "ﬀ" * 50 + "½", " \t½\n\n é  \x1f", "", "\x1c \x1d", "  a  b ", "中½中", "a \tb\x0b c"]
+    df = spark.createDataFrame([*enumerate(vals), (len(vals), None)], "i int, v string")
+    want = [" ".join(unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().split()) for v in vals]
+    assert [r["c"] for r in with_clean_text(df, "v", "c").orderBy("i").collect()] == [*want, None]
