@@ -67,7 +67,7 @@ _STREAK_CTE = _streak_cte(f"SELECT conv_id, turn, length(prompt) % 3 <> 0 AS ver
 
 def _streaks(spark, sf_dir):
     t = turns(spark, sf_dir)
-    replies = run_model(EN.end_check_prompts(t), "prompt", _verdict_model)
+    replies = run_model(EN.end_check_prompts(t), "prompt", _verdict_model, drop=("prompt",))
     checks = cut_lineage(replies.select("conv_id", "turn", verdict_yes("reply").alias("verdict")))
     return t, EN.end_streaks(checks)
 

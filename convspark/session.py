@@ -68,6 +68,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return conf_dir
 
 
+def bound_batches(spark: SparkSession, size: int) -> None:
+    """Arrow batches of this session hold at most ``size`` bytes (or one row), unless the limit is set to something
+    else than Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, str(size))
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -65,8 +65,8 @@ def evaluate_folder(spark: SparkSession, root: str, templates: DataFrame, factor
     The model is called once per prompt: its scored replies are written to the checkpoint folder
     and both files, ``<out>/scores`` and ``<out>/summary``, come from there.  Returns the scores."""
     docs = read_transcripts(spark, root).select(F.col("file").alias("conversation_file"), "transcript")
-    replies = run_model(render_prompts(docs, templates, partitions=partitions), "prompt", factory)
-    scores = materialized(score_replies(replies.drop("prompt", "transcript")))
+    replies = run_model(render_prompts(docs, templates, partitions=partitions), "prompt", factory, drop=("prompt", "transcript"))
+    scores = materialized(score_replies(replies))
     write_scores(scores, f"{out}/scores")
     write_summary(scores, f"{out}/summary")
     return scores
