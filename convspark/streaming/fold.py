@@ -1,7 +1,8 @@
 """Ordered folds over streams with bounded state per key and block.
 
 Rows of a key may arrive in any order and over any number of micro-batches.  Leaves hold the rows of one (key,
-block of positions) and sum them up; nodes hold the summaries of ``fan`` neighbouring children each, level by
+block of positions) and sum them up, where asked those of a bucket of keys together: calling an operator costs some
+milliseconds per group, so groups of a row or two would spend all time on that; nodes hold the summaries of ``fan`` neighbouring children each, level by
 level, and the last ones those of a whole key.  A batch touches only the blocks it has rows for: a key with a
 third of all rows spreads over tasks by block, and the state of a block does not grow with its key's history.
 
@@ -113,28 +114,29 @@ class Fold:
     answers: Callable[[DataFrame], DataFrame]
 
 
-def _changes(key: tuple, sent: str, answers: dict, summary, rev: int, names: list[str]) -> tuple[pd.DataFrame, str]:
+def _changes(key: str | None, block: int, sent: dict, answers: dict, summary, rev: int) -> tuple[list[tuple], dict]:
     """The answers, and the summary, that differ from what was sent, and marks of what has been sent now."""
-    k = None if pd.isna(key[0]) else key[0]
-    sent, rows, now = json.loads(sent), [], {}
+    rows, now = [], {}
     for name, body in [*answers.items(), *([] if summary is None else [(None, summary)])]:
         if isinstance(body, list) and name not in sent and not any(x is not None for x in body):
             continue  # nothing to take back
         text = json.dumps(body)
         now[name or ""] = mark = zlib.crc32(text.encode())
         if sent.get(name or "") != mark:
-            rows.append((k, key[1], name, text, rev))
-    return pd.DataFrame(rows, columns=names, dtype=object), json.dumps(now)
+            rows.append((key, block, name, text, rev))
+    return rows, now
 
 
 def fold(rows: DataFrame, key: str, row: Column, block: Column, work, out: str, fan: int = 256, levels: int = 0,
-         idle: str | None = None) -> Fold:
+         idle: str | None = None, buckets: int | None = None) -> Fold:
     """``key, *out, rev`` for every changed answer of ``work``.
 
     ``row`` is the row as an object's JSON text, ``block`` its block's number, which never falls along the
     order of rows.  ``levels`` operators of ``fan`` children lie between the leaves and the whole key, which
     then holds a summary per ``fan ** levels`` blocks.  ``idle`` forgets blocks that had no row for so long:
-    rows that come for one later start it anew.
+    rows that come for one later start it anew.  ``buckets``: the leaves of so many hash buckets of keys share a
+    group per block, for blocks that few rows of a key fall in; the state of a group is then a bucket's rows of
+    one block.  A key goes through text there and back.
     """
     schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("block", T.LongType()),
                            T.StructField("name", T.StringType()), T.StructField("body", T.StringType()),
@@ -147,16 +149,24 @@ def fold(rows: DataFrame, key: str, row: Column, block: Column, work, out: str,
         if state.hasTimedOut:
             state.remove()
             return
-        held, sent = state.get if state.exists else ("[]", "{}")
-        held = json.loads(held)
+        now, block = state.getCurrentProcessingTimeMs(), int(group[1])
+        keys = {k: v for k, *v in json.loads(state.get[0])} if state.exists else {}
+        if timeout:
+            keys = {k: v for k, v in keys.items() if now - v[2] < timeout}
+        fresh, changed = {}, []
         for pdf in pdfs:
-            held += [list(json.loads(x).values()) for x in pdf["row"]]
-        held.sort(key=in_order)
-        changed, sent = _changes(group, sent, *work.leaf(held), state.getCurrentProcessingTimeMs(), names)
-        state.update((json.dumps(held), sent))
+            for k, x in zip(pdf["_key"], pdf["row"]):
+                fresh.setdefault(k, []).append(list(json.loads(x).values()))
+        for k, more in fresh.items():
+            held, sent, _ = keys.get(k, ([], {}, 0))
+            held = sorted(held + more, key=in_order)
+            rows, sent = _changes(k, block, sent, *work.leaf(held), now)
+            changed += rows
+            keys[k] = [held, sent, now]
+        state.update((json.dumps([[k, *v] for k, v in keys.items()]),))
         if timeout:
             state.setTimeoutDuration(timeout)
-        yield changed
+        yield pd.DataFrame(changed, columns=names, dtype=object)
 
     def node(whole: bool):
         def step(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -173,9 +183,11 @@ def fold(rows: DataFrame, key: str, row: Column, block: Column, work, out: str,
             if fresh:
                 order = sorted(children, key=int)
                 answers, summary = work.join([json.loads(children[b][1]) for b in order], whole)
-                changed, sent = _changes(group, sent, answers, None if whole else summary, max(c[0] for c in children.values()), names)
-                state.update((json.dumps(children), sent))
-                yield changed
+                k = None if pd.isna(group[0]) else group[0]
+                changed, sent = _changes(k, group[1], json.loads(sent), answers, None if whole else summary,
+                                         max(c[0] for c in children.values()))
+                state.update((json.dumps(children), json.dumps(sent)))
+                yield pd.DataFrame(changed, columns=names, dtype=object)
 
         def level(below: DataFrame) -> DataFrame:
             up = F.lit(0).cast("long") if whole else F.floor(F.col("block") / fan).cast("long")
@@ -184,8 +196,13 @@ def fold(rows: DataFrame, key: str, row: Column, block: Column, work, out: str,
 
         return level
 
-    d = rows.select(key, F.coalesce(block.cast("long"), F.lit(FIRST_BLOCK)).alias("block"), row.alias("row"))
-    leaves = d.groupBy(key, "block").applyInPandasWithState(leaf, schema, "held string, sent string", "append", mode)
+    text_key = F.col(key).cast("string")
+    group = text_key if buckets is None else F.pmod(F.xxhash64(key), F.lit(buckets))
+    d = rows.select(group.alias("_group"), F.coalesce(block.cast("long"), F.lit(FIRST_BLOCK)).alias("block"),
+                    text_key.alias("_key"), row.alias("row"))
+    text_schema = T.StructType([T.StructField(key, T.StringType()), *schema.fields[1:]])
+    leaves = d.groupBy("_group", "block").applyInPandasWithState(leaf, text_schema, "keys string", "append", mode)
+    leaves = leaves.withColumn(key, F.col(key).cast(schema[key].dataType))
     values = F.from_json("body", T.ArrayType(T.StringType()))
     fields = T._parse_datatype_string(out).fields
 

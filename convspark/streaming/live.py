@@ -29,6 +29,7 @@ from .fold import EndWork, Fold, FrameWork, fold
 TURNS = 1024  # turns per block
 TEXT_TURNS = 128  # the same where the state holds their texts
 HOUR = 3_600_000_000  # microseconds per block of events
+PROCESS_BUCKETS = 8  # of processes, whose events of an hour are folded in one group
 
 
 def latest(changes: DataFrame, *keys: str) -> DataFrame:
@@ -71,13 +72,14 @@ class _Pairs(FrameWork):
         return [row[1], row[0], start, "orphan" if start is None else "ok"]
 
 
-def live_process_pairs(events: DataFrame, idle: str | None = None, block: int = HOUR, levels: int = 0) -> Fold:
+def live_process_pairs(events: DataFrame, idle: str | None = None, block: int = HOUR, levels: int = 0,
+                       buckets: int | None = PROCESS_BUCKETS) -> Fold:
     """``events`` stream (process, kind start|end, ts, event_id) -> ``process, event_id, end_ts, start_ts, status``
     per end event, and again when an event that belongs before it arrives later.  ``block``: microseconds."""
     rows = events.withColumn("us", F.unix_micros("ts"))
     row = _row("us", "event_id", "kind")
     found = fold(rows, "process", row, F.floor(F.col("us") / block), _Pairs(1),
-                 "event_id long, end_us long, start_us long, status string", levels=levels, idle=idle)
+                 "event_id long, end_us long, start_us long, status string", levels=levels, idle=idle, buckets=buckets)
     return Fold(found.leaves, found.levels, lambda last: found.answers(last).select(
         "process", "event_id", F.timestamp_micros("end_us").alias("end_ts"),
         F.timestamp_micros("start_us").alias("start_ts"), "status", "rev"))
@@ -143,7 +145,7 @@ def request_log(requests: DataFrame, out: str, checkpoint: str):
 def live_scores(transcripts: DataFrame, templates: DataFrame, factory=J.word_count_judge) -> DataFrame:
     """T5: transcript-file stream (file, transcript) -> long scores (stream-static join)."""
     prompts = J.render_prompts(transcripts, templates)
-    return J.score_replies(J.run_model(prompts, "prompt", factory).drop("prompt", "transcript"))
+    return J.score_replies(J.run_model(prompts, "prompt", factory, drop=("prompt", "transcript")))
 
 
 def running_metric_means(scores: DataFrame) -> DataFrame:

@@ -103,3 +103,21 @@ def test_pairs_over_blocks_and_batches(spark, tmp_path):
                               lambda s: L.live_process_pairs(s.withColumn("ts", F.timestamp_seconds("secs")), levels=1))
     got = L.latest(changes, "process", "event_id").collect()
     assert {(r["event_id"], r["status"], r["start_ts"] and int(r["start_ts"].timestamp()) - at) for r in got} == {(2, "ok", 7200), (4, "orphan", None)}
+
+
+def test_processes_share_groups_of_state(spark, tmp_path):
+    """200 processes with two events of one hour each: a group of state per bucket, not per process."""
+    at, schema = 1704067200, "process long, kind string, secs long, event_id long"
+    big = 1 << 60  # a null beside it must not turn it into a double
+    rows = [r for n in [*range(200), None] for p in [None if n is None else big + n]
+            for r in ((p, "end", at + 60, 1000 + (n or 0) * 2), (p, "start", at, 1001 + (n or 0) * 2))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    f = L.live_process_pairs(spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("secs")))
+    groups = []
+    for w in fold_writers(f, f"{tmp_path}/out", f"{tmp_path}/chk"):
+        q = w.trigger(availableNow=True).start()
+        q.awaitTermination()
+        groups.append(sum(s["numRowsTotal"] for s in q.recentProgress[0]["stateOperators"]))
+    assert groups[0] <= L.PROCESS_BUCKETS and groups[1] == 201
+    got = f.answers(spark.read.schema(f.leaves.schema).parquet(f"{tmp_path}/out/1")).collect()
+    assert {r["process"] for r in got} == {None, *range(big, big + 200)} and all(r["status"] == "ok" for r in got)
