@@ -239,82 +239,142 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         same[~(full[i] & full[j])] = -1
         return same
 
-    def pairs(t: pa.Table, level, held, full, root: np.ndarray, got: list, place: list) -> None:
-        """Links the rows of one key that ``root`` leaves apart."""
-        doc, lows, n = place[0], place[1], t.num_rows
-        lists = t.column("near").combine_chunks()
-        offsets = lists.offsets.to_numpy()
-        sizes, flat = np.diff(offsets), lists.flatten().to_numpy()
-        ends = offsets[1:] - offsets[0]
-        lazy: dict[str, np.ndarray] = {}
+    def pairs(keys_of: np.ndarray, level, held, full, who: np.ndarray, root: np.ndarray, place: list, got: list) -> None:
+        """Links the rows, of documents ``who``, that ``root`` leaves apart; ``keys_of`` numbers their keys.  The keys
+        are gone through in step, so that one row of each meets all the later rows of its key at once."""
+        edges = np.r_[0, np.flatnonzero(np.diff(keys_of)) + 1, len(keys_of)]
+        begin, end = edges[:-1], edges[1:]
+        of = np.repeat(np.arange(len(begin)), end - begin)
+        bounds = list(zip(begin.tolist(), end.tolist()))
+        # the distinct shingles of each row, numbered by key; where there are fewer, a number that no row has
+        seen, numbers = np.unique((of[:, None] << 32 | level.view(np.uint32))[held], return_inverse=True)
+        none = len(seen)
+        code = np.full(level.shape, none, np.int32)
+        code[held] = numbers
+        distinct = np.sort(code, axis=1)
+        again = (distinct[:, 1:] == distinct[:, :-1]) & (distinct[:, 1:] != none)
+        distinct[:, 1:][again] = none
+        repeats = again.any(axis=1)
         slices = {}
 
-        def code(i: int) -> np.ndarray:
-            return lazy["code"][ends[i] - sizes[i]:ends[i]]
-
-        def prepare() -> None:
-            """The distinct shingles of each row; where there are fewer, the number that no row has."""
-            seen, lazy["code"] = np.unique(flat, return_inverse=True)
-            own = [np.unique(code(i)) for i in range(n)]
-            distinct = np.full((n, max(map(len, own))), len(seen))
-            for i, u in enumerate(own):
-                distinct[i, :len(u)] = u
-            lazy.update(own=own, distinct=distinct, here=np.zeros(len(seen) + 1, bool))
-            lazy["least"] = np.array([width if len(u) == m else sliced(i)[1].min() for i, (u, m) in enumerate(zip(own, sizes))])
-
-        def sliced(i: int) -> tuple[np.ndarray, np.ndarray]:
-            """Which distinct shingles each ``width``-long slice of row ``i`` holds, and how many."""
+        def sliced(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The distinct shingles of row ``i``, which of them each of its whole slices holds, and how many."""
             if i not in slices:
-                own = lazy["own"][i]
-                sums = np.zeros((sizes[i] + 1, len(own)), np.int32)
-                sums[np.arange(1, sizes[i] + 1), np.searchsorted(own, code(i))] = 1
+                mine = code[i][held[i]]
+                own = np.unique(mine)
+                sums = np.zeros((len(mine) + 1, len(own)), np.int32)
+                sums[np.arange(1, len(mine) + 1), np.searchsorted(own, mine)] = 1
                 sums = np.cumsum(sums, axis=0)
                 inside = sums[width:] > sums[:-width]
-                slices[i] = inside, inside.sum(axis=1)
+                slices[i] = own, inside, inside.sum(axis=1)
             return slices[i]
 
-        def join(i: int, j: int) -> None:
-            root[root == root[j]] = root[i]
+        fewest = np.full(len(level), width)
+        for i in np.flatnonzero(repeats).tolist():
+            fewest[i] = sliced(i)[2].min()
+        at_place = np.full(none + 1, -1, np.int16)
 
-        for i in range(n - 1):
-            later = np.flatnonzero(root[i + 1:] != root[i]) + i + 1
-            if not len(later):
-                continue
-            same = agreement(level, held, full, np.full(len(later), i), later)
-            for at in np.flatnonzero(same.max(axis=1) >= alike):
-                j = int(later[at])
-                if doc[i] != doc[j] and root[i] != root[j] and on_diagonal(level, i, j, same[at], place, got):
-                    join(i, j)
-            later = later[root[later] != root[i]]
-            if not len(later):
-                continue
+        def join(i: int, j: int) -> None:
+            a, z = bounds[of[i]]
+            mine = root[a:z]
+            mine[mine == root[j]] = root[i]
+
+        def compare(i: int, j: int) -> None:
+            """Links two rows by their best slices, of which some hold a shingle more than once."""
+            (u, x, nx), (v, y, ny) = sliced(i), sliced(j)
+            both, p, q = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+            common = x[:, p].astype(np.float32) @ y[:, q].T.astype(np.float32)
+            sims = common / (nx[:, None] + ny - common.astype(float))
+            a, b = divmod(int(sims.argmax()), len(ny))
+            if sims[a, b] >= least:
+                extend(i, j, a + int(held[i].argmax()), b + int(held[j].argmax()), float(sims[a, b]),
+                       np.diagonal(sims, b - a) >= least, min(a, b))
+
+        def extend(i: int, j: int, a: int, b: int, sim: float, run: np.ndarray, at: int) -> None:
+            """Links two rows by the slices at columns ``a`` and ``b``, place ``at`` of their diagonal ``run``, and
+            those before and after them that are near enough."""
+            lo = hi = at
+            while lo and run[lo - 1]:
+                lo -= 1
+            while hi + 1 < len(run) and run[hi + 1]:
+                hi += 1
+            before = place[2]
+            link(i, j, a + lo - at - (width - 1 - before[i]), b + lo - at - (width - 1 - before[j]), hi - lo, sim, place, got)
+            join(i, j)
+
+        def in_window(hits: np.ndarray, whole: np.ndarray) -> np.ndarray:
+            """The most hits that a whole slice of each row has."""
+            sums = np.cumsum(hits, axis=1, dtype=np.int16)
+            inside = sums[:, width - 1:].copy()
+            inside[:, 1:] -= sums[:, :-width]
+            return np.where(whole, inside, -1).max(axis=1)
+
+        def all_slices(i: np.ndarray, j: np.ndarray) -> None:
+            """Compares every slice of rows ``i`` with every slice of rows ``j``, pairs without repeats all at once."""
+            column = at_place[code[j]]
+            hits = column >= 0
+            plain = ~(repeats[i] | repeats[j])
+            mine = np.zeros(hits.shape, bool)
+            which, _ = np.nonzero(hits)
+            mine[which, column[hits]] = True
+            ask = ~plain | ((in_window(hits, full[j]) >= alike) & (in_window(mine, full[i]) >= alike))
+            i, j, column, plain = i[ask], j[ask], column[ask], plain[ask]
+            starts = np.arange(width, dtype=np.int16)[:, None]
+            size = max(1, 600_000 // (width * level.shape[1]))
+            for c in range(0, len(i), size):
+                ii, jj, col = i[c:c + size], j[c:c + size], column[c:c + size, None, :]
+                sums = np.cumsum((col >= starts) & (col < starts + width), axis=2, dtype=np.int16)
+                common = sums[:, :, width - 1:].copy()
+                common[:, :, 1:] -= sums[:, :, :-width]
+                common[~(full[ii][:, :, None] & full[jj][:, None, :])] = -1
+                flat = common.reshape(len(ii), -1)
+                best = flat.argmax(axis=1)
+                most = flat[np.arange(len(ii)), best]
+                for n in np.flatnonzero(~plain[c:c + size] | (most >= alike)).tolist():
+                    one, two = int(ii[n]), int(jj[n])
+                    if root[one] == root[two]:
+                        continue
+                    if not plain[c + n]:
+                        compare(one, two)
+                        continue
+                    a, b = divmod(int(best[n]), width)
+                    extend(one, two, a, b, int(most[n]) / (2 * width - int(most[n])),
+                           np.diagonal(common[n], b - a) >= alike, min(a, b))
+
+        for step in range(int((end - begin).max()) - 1):
+            more = end - begin > step + 1
+            begin, end = begin[more], end[more]
+            sizes = end - begin - step - 1
+            i = np.repeat(begin + step, sizes)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + i + 1
+            apart = root[i] != root[j]
+            alive = np.bincount(np.repeat(np.arange(len(begin)), sizes)[apart], minlength=len(begin)) > 0
+            begin, end = begin[alive], end[alive]
+            if not len(begin):
+                return
+            apart &= who[i] != who[j]
+            i, j = i[apart], j[apart]
+            for c in range(0, len(i), 4096):
+                same = agreement(level, held, full, i[c:c + 4096], j[c:c + 4096])
+                for r in np.flatnonzero(same.max(axis=1) >= alike).tolist():
+                    one, two = int(i[c + r]), int(j[c + r])
+                    if root[one] != root[two] and on_diagonal(level, one, two, same[r], place, got):
+                        join(one, two)
             # others may have words put in or left out: every slice of one against every slice of the other
-            if not lazy:
-                prepare()
-            own, here = lazy["own"], lazy["here"]
-            here[own[i]] = True
-            shared = here[lazy["distinct"][later]].sum(axis=1)
-            enough = np.ceil(least * (lazy["least"][later] + lazy["least"][i]) / (1 + least) - 1e-9)
-            for j in later[shared >= enough].tolist():
-                if doc[i] == doc[j] or root[i] == root[j]:
-                    continue
-                (x, nx), (y, ny) = sliced(i), sliced(j)
-                mine = here[own[j]]
-                common = x[:, np.searchsorted(own[i], own[j][mine])].astype(np.float32) @ y[:, mine].T.astype(np.float32)
-                sims = common / (nx[:, None] + ny - common.astype(float))
-                a, b = divmod(int(sims.argmax()), len(ny))
-                sim = float(sims[a, b])
-                if sim < least:
-                    continue
-                run = np.diagonal(sims, b - a) >= least
-                best_at = lo = hi = min(a, b)
-                while lo and run[lo - 1]:
-                    lo -= 1
-                while hi + 1 < len(run) and run[hi + 1]:
-                    hi += 1
-                link(i, j, a + lo - best_at, b + lo - best_at, hi - lo, sim, place, got)
-                join(i, j)
-            here[own[i]] = False
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            heads = begin + step
+            at_place[code[heads]] = np.arange(level.shape[1], dtype=np.int16)
+            at_place[none] = -1
+            for c in range(0, len(i), 4096):
+                ii, jj = i[c:c + 4096], j[c:c + 4096]
+                shared = (at_place[distinct[jj]] >= 0).sum(axis=1)
+                ask = shared >= np.ceil(least * (fewest[jj] + fewest[ii]) / (1 + least) - 1e-9)
+                if ask.any():
+                    all_slices(ii[ask], jj[ask])
+            at_place[code[heads]] = -1
 
     def link(i: int, j: int, a: int, b: int, last: int, sim: float, place: list, got: list) -> None:
         """Slices ``a`` of row ``i`` and ``b`` of row ``j`` up to ``last`` further ones are near duplicates."""
@@ -345,6 +405,7 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         one row stands for those of other documents with the same shingles, and all that are still apart are compared."""
         level, held, full = side_by_side(t)
         doc, n = t.column("doc").to_pylist(), t.num_rows
+        who = t.column("doc").combine_chunks().dictionary_encode().indices.to_numpy()
         lows = t.column("lo").to_pylist()
         place = [doc, lows, [a - b for a, b in zip(t.column("anchor").to_pylist(), lows)]]
         linked = t.column("linked").to_numpy(zero_copy_only=False)
@@ -393,12 +454,9 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         keep = opened.copy()
         other_doc = np.array([doc[j] != doc[m] for j, m in zip(copies.tolist(), model[copies].tolist())], bool)
         keep[copies[other_doc & (root[copies] == root[model[copies]])]] = False
-        for g in np.unique(group[rows]).tolist():
-            at = np.flatnonzero(keep[edges[g]:edges[g + 1]]) + edges[g]
-            if (root[at] != root[at[0]]).any():
-                found: list[tuple] = []
-                pairs(t.take(at), level[at], held[at], full[at], root[at], found, [[x[k] for k in at.tolist()] for x in place])
-                got += found
+        at = np.flatnonzero(keep)
+        if len(at):
+            pairs(group[at], level[at], held[at], full[at], who[at], root[at], [[x[k] for k in at.tolist()] for x in place], got)
         return got
 
     def run(batches):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from convspark.llm import substrings
 from convspark.llm.substrings import HASHES, _among_themselves, _mix, compact_windows, shared_passages, shingles, window_minima
 
 from .helpers import LONG, components, doc, docs_of
@@ -161,3 +162,55 @@ def test_recall_at_the_similarity_bound(spark):
         rows += [doc(2 * n + i, " ".join(text(rng, 60) + w + text(rng, 60))) for i, w in enumerate((a, b))]
     got = {(r["doc"], r["rep_doc"]) for r in shared_passages(docs_of(spark, rows)).collect()}
     assert got <= {(2 * n + 1, 2 * n) for n in range(150)} and len(got) >= 0.95 * 150, len(got)
+
+
+def test_keys_of_a_batch_are_compared_in_step(spark, monkeypatch):
+    """Many small keys whose rows have words put in, repeats or nothing in common: the links connect what all slices of
+    all pairs connect, and the number of array steps does not grow with the number of keys."""
+    rng = random.Random(3)
+    width, n = 12, 150
+    rows, regions, want = [], [], {}
+    for key in range(n):
+        base = [rng.randrange(1000, 9000) for _ in range(width)]
+        if key % 3 == 1:
+            base[8] = base[9] = base[3]
+        lists = []
+        for d in range(5):
+            if d == 4 or key % 3 == 2:
+                h = [rng.randrange(10000, 99999) for _ in range(2 * width - 1)]
+            else:
+                h = [rng.randrange(10000, 99999) for _ in range(d % 3)] + base[:6 + d] + ([d] if d % 2 else []) + base[6 + d:]
+                h += [rng.randrange(10000, 99999) for _ in range(4)]
+            for _ in range(rng.randrange(4)):
+                h[rng.randrange(len(h))] = rng.randrange(10000, 99999)
+            anchor = len(h) // 2
+            h[anchor] = 7
+            lo, hi = max(0, anchor - width + 1), min(len(h), anchor + width)
+            rows.append((key, 10 * key + d, 0, anchor, 0, len(h)))
+            regions.append((10 * key + d, 0, 0, h))
+            lists.append([set(h[a:a + width]) for a in range(lo, hi - width + 1)])
+        near = [(i, j) for i in range(5) for j in range(i)
+                if any(len(p & q) >= 0.7 * len(p | q) for p in lists[i] for q in lists[j])]
+        want[key] = components(5, near)
+    assert len({tuple(v) for v in want.values()}) > 3
+    r = spark.createDataFrame(rows, "key long, doc long, region long, anchor long, first long, stop long")
+    g = spark.createDataFrame(regions, "doc long, region long, at long, hashes array<int>")
+    held = []
+    monkeypatch.setattr(type(r), "mapInArrow", lambda df, f, schema: held.append((f, df.coalesce(1).toArrow())) or r)
+    _among_themselves(r, g, width, 0.7)
+    (run, cells), = held
+    cells = cells.combine_chunks().sort_by([(c, "ascending") for c in ("key", "i", "j", "doc", "anchor")])
+
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            Counted.calls += 1
+            return getattr(np, name)
+
+    monkeypatch.setattr(substrings, "np", Counted())
+    got = [x for b in run(iter(cells.to_batches())) for x in b.to_pylist()]
+    assert all(x["doc"] // 10 == x["rdoc"] // 10 and x["doc"] > x["rdoc"] and x["similarity"] >= 0.7 for x in got)
+    for key, roots in want.items():
+        assert components(5, [(x["doc"] % 10, x["rdoc"] % 10) for x in got if x["doc"] // 10 == key]) == roots
+    assert Counted.calls < 20 * n  # 1,794; where each key is compared by itself 7,933
