@@ -13,6 +13,7 @@ verified by the Jaccard similarity of the shingles.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,83 @@ HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8
 # one window at similarity s shares a signature with chance 1 - (1 - s**2)**4: 0.983 at 0.8
 BANDS = ((0, 1), (2, 3), (4, 5), (6, 7))
 SIMILARITY = 0.8
-RUN_SHINGLES = 200_000
+RUN_CHARS = 200_000
+ARRAY_BYTES = 255
+XXH64_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 CELL = 1024
 
 
 def shingles(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
     """XXH64 of each run of ``k`` words (A-Z as a-z, cut at ASCII white space); empty if fewer."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return shingle_lists([text], k)[0]
+
+
+def shingle_lists(texts: list[str], k: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """The shingles of each text; those of all texts are hashed together."""
+    lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    counts = np.array(list(map(len, lists)), np.int64)
+    words = list(chain.from_iterable(lists))
     if len(words) < k:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    first, last = (ends - sizes)[:len(words) - k + 1].tolist(), ends[k - 1:].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(first, last)], np.uint64)
+        return [np.zeros(0, np.uint64)] * len(texts)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first = np.r_[0, ends[:len(words) - k] + 1]
+    h = _xxh64(b" ".join(words), first, ends[k - 1:])
+    starts = (np.cumsum(counts) - counts).tolist()
+    return [h[a:a + max(n - k + 1, 0)] for a, n in zip(starts, counts.tolist())]
+
+
+def _xxh64(data: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """XXH64 of each ``data[first:last]``: by array operations up to ``ARRAY_BYTES``, longer ones one by one."""
+    h = np.empty(len(first), np.uint64)
+    short = last - first <= ARRAY_BYTES
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[first[i]:last[i]], SEED)
+    padded = data + bytes(8)
+    eights, fours = (np.ndarray(len(data) + 1, t, padded, strides=(1,)) for t in ("<u8", "<u4"))
+    rows = np.flatnonzero(short)
+    for c in range(0, len(rows), 8192):
+        part = rows[c:c + 8192]
+        h[part] = _xxh64_short(eights, fours, first[part], last[part])
+    return h
+
+
+def _xxh64_short(eights: np.ndarray, fours: np.ndarray, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    p1, p2, p3, p4, p5 = XXH64_PRIMES
+
+    def turn(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    h = np.full(len(at), np.uint64(SEED) + p5)
+    size, at = (last - at).astype(np.uint64), at.copy()
+    big = np.flatnonzero(last - at >= 32)
+    if len(big):
+        sums = np.empty((4, len(big)), np.uint64)
+        sums[:] = np.array([(SEED + int(p1) + int(p2)) % 2**64, (SEED + int(p2)) % 2**64, SEED, (SEED - int(p1)) % 2**64], np.uint64)[:, None]
+        more = np.arange(len(big))
+        while len(more):
+            lanes = eights[at[big[more]] + np.arange(0, 32, 8)[:, None]]
+            sums[:, more] = turn(sums[:, more] + lanes * p2, 31) * p1
+            at[big[more]] += 32
+            more = more[last[big[more]] - at[big[more]] >= 32]
+        x = turn(sums[0], 1) + turn(sums[1], 7) + turn(sums[2], 12) + turn(sums[3], 18)
+        for lane in sums:
+            x = (x ^ turn(lane * p2, 31) * p1) * p1 + p4
+        h[big] = x
+    h += size
+    for _ in range(3):
+        m = np.flatnonzero(last - at >= 8)
+        h[m] = turn(h[m] ^ turn(eights[at[m]] * p2, 31) * p1, 27) * p1 + p4
+        at[m] += 8
+    m = np.flatnonzero(last - at >= 4)
+    h[m] = turn(h[m] ^ fours[at[m]].astype(np.uint64) * p1, 23) * p2 + p3
+    at[m] += 4
+    for _ in range(3):
+        m = np.flatnonzero(at < last)
+        h[m] = turn(h[m] ^ (fours[at[m]] & np.uint32(255)).astype(np.uint64) * p5, 11) * p1
+        at[m] += 1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
 
 
 def _mix(h: np.ndarray, mult: int) -> np.ndarray:
@@ -58,7 +121,7 @@ def _mix(h: np.ndarray, mult: int) -> np.ndarray:
 def window_minima(v: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost minimum of each run of ``width`` values: the nodes of the Cartesian
     tree whose subtree spans ``width`` or more, each over the starts it covers."""
-    at = np.arange(len(v))
+    at = np.arange(len(v), dtype=np.int32)
     w = 1
     while w < width:
         step = min(w, width - w)
@@ -117,17 +180,17 @@ def window_rows(docs: DataFrame, min_words: int, k: int) -> DataFrame:
         for key, text, anchor, first, last in compact_windows(np.concatenate(hs), ends, width):
             at = starts[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), ids.take(pa.array(text)), *[pa.array(x - at) for x in (anchor, first, last)]],
+                [pa.array(key.view(np.int64)), ids.take(pa.array(text)), *[pa.array(x - at) for x in (anchor.astype(np.int64), first, last)]],
                 names=names)
 
     def run(batches):
         for b in batches:
             held, at, size = [], 0, 0
             for n, t in enumerate(b.column(1).to_pylist()):
-                held.append(shingles(t, k))
-                size += len(held[-1])
-                if size >= RUN_SHINGLES or n == b.num_rows - 1:
-                    yield from emit(b.column(0).slice(at, len(held)), held)
+                held.append(t)
+                size += len(t)
+                if size >= RUN_CHARS or n == b.num_rows - 1:
+                    yield from emit(b.column(0).slice(at, len(held)), shingle_lists(held, k))
                     held, at, size = [], n + 1, 0
 
     return docs.select("doc", "text").mapInArrow(run, schema)
@@ -150,13 +213,18 @@ def _regions(docs: DataFrame, shared: DataFrame, k: int) -> DataFrame:
     schema = rows.select("doc", "region", "at").schema.add("hashes", ArrayType(IntegerType()))
 
     def run(batches):
-        text, hs = None, None
         for b in batches:
-            out = []
-            for t, a, z in zip(b.column(4).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if t != text:
-                    text, hs = t, shingles(t, k).astype(np.uint32).view(np.int32)
-                out.append(hs[a:z])
+            texts = b.column(4).to_pylist()
+            out, asked, parts, size = [], [], [], 0
+            for n, (t, a, z) in enumerate(zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if not asked or t != asked[-1]:
+                    asked.append(t)
+                    size += len(t)
+                parts.append((len(asked) - 1, a, z))
+                if size >= RUN_CHARS or n == b.num_rows - 1:
+                    hs = [h.astype(np.uint32).view(np.int32) for h in shingle_lists(asked, k)]
+                    out += [hs[i][a:z] for i, a, z in parts]
+                    asked, parts, size = [], [], 0
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int32()))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -356,9 +424,10 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
             i, j = i[apart], j[apart]
             for c in range(0, len(i), 4096):
                 same = agreement(level, held, full, i[c:c + 4096], j[c:c + 4096])
-                for r in np.flatnonzero(same.max(axis=1) >= alike).tolist():
-                    one, two = int(i[c + r]), int(j[c + r])
-                    if root[one] != root[two] and on_diagonal(level, one, two, same[r], place, got):
+                hit = np.flatnonzero(same.max(axis=1) >= alike)
+                for one, two, *slices_of in on_diagonal(level, i[c + hit], j[c + hit], same[hit], place):
+                    if root[one] != root[two]:
+                        link(one, two, *slices_of, place, got)
                         join(one, two)
             # others may have words put in or left out: every slice of one against every slice of the other
             apart = root[i] != root[j]
@@ -383,21 +452,26 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
         one, two = ((i, j) if doc[i] > doc[j] else (j, i))
         got.append((doc[one], *at[one], doc[two], *at[two], sim))
 
-    def on_diagonal(level, i: int, j: int, same: np.ndarray, place: list, got: list) -> bool:
-        """Links two rows by their best whole slices on the diagonal if the slices' sets are near enough."""
-        k = int(same.argmax())
-        x, y = set(level[i, k:k + width].tolist()), set(level[j, k:k + width].tolist())
-        sim = len(x & y) / len(x | y)
-        if sim < least:
-            return False
-        lo = hi = k
-        while lo and same[lo - 1] >= alike:
-            lo -= 1
-        while hi + 1 < len(same) and same[hi + 1] >= alike:
-            hi += 1
+    def on_diagonal(level, i: np.ndarray, j: np.ndarray, same: np.ndarray, place: list):
+        """The pairs of rows ``i`` and ``j`` whose best whole slices on the diagonal are near enough as sets, each with
+        the arguments of its link."""
+        best = same.argmax(axis=1)
+        x, y = (level[r[:, None], best[:, None] + np.arange(width)] for r in (i, j))
+
+        def distinct(v: np.ndarray) -> np.ndarray:
+            v = np.sort(v, axis=1)
+            return 1 + (v[:, 1:] != v[:, :-1]).sum(axis=1)
+
+        union = distinct(np.hstack([x, y]))
+        sims = (distinct(x) + distinct(y) - union) / union
+        col = np.arange(same.shape[1])
+        low = same < alike
+        lo = np.where(low & (col < best[:, None]), col, -1).max(axis=1) + 1
+        hi = np.where(low & (col > best[:, None]), col, len(col)).min(axis=1) - 1
         before = place[2]
-        link(i, j, lo - (width - 1 - before[i]), lo - (width - 1 - before[j]), hi - lo, sim, place, got)
-        return True
+        near = sims >= least
+        for one, two, first, last, sim in zip(*(v[near].tolist() for v in (i, j, lo, hi, sims))):
+            yield one, two, first - (width - 1 - before[one]), first - (width - 1 - before[two]), last - first, sim
 
     def all_keys(t: pa.Table, edges: np.ndarray) -> list[tuple]:
         """Links the rows of each stretch of ``edges``.  Most near duplicates agree place by place around the
@@ -423,10 +497,10 @@ def _among_themselves(rows: DataFrame, regions: DataFrame, width: int, least: fl
             for at in range(0, len(ask), 4096):
                 part, heads = ask[at:at + 4096], other[at:at + 4096]
                 same = agreement(level, held, full, heads, part)
-                for r in np.flatnonzero(same.max(axis=1) >= alike):
-                    j, i = int(part[r]), int(heads[r])
-                    if doc[i] != doc[j] and on_diagonal(level, i, j, same[r], place, got):
-                        root[j] = root[i]
+                hit = np.flatnonzero((same.max(axis=1) >= alike) & (who[heads] != who[part]))
+                for i, j, *slices in on_diagonal(level, heads[hit], part[hit], same[hit], place):
+                    link(i, j, *slices, place, got)
+                    root[j] = root[i]
 
         ask = np.flatnonzero(root != head[group])
         meet(ask, head[group[ask]])

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import xxhash
 
 from convspark.llm import substrings
-from convspark.llm.substrings import HASHES, _among_themselves, _mix, compact_windows, shared_passages, shingles, window_minima
+from convspark.llm.substrings import HASHES, _among_themselves, _mix, compact_windows, shared_passages, shingle_lists, shingles, window_minima
 
 from .helpers import LONG, components, doc, docs_of
 
@@ -20,6 +21,22 @@ def test_window_minima():
         assert window_minima(v, width).tolist() == want
 
 
+def test_shingles_of_many_texts_are_xxh64(monkeypatch):
+    """Hashed together, not one by one: the library is asked for shingles beyond the array's bytes only."""
+    rng = random.Random(2)
+    texts = [" ".join("\u00e9" * rng.randrange(2) + "X" * rng.choice((1, 2, 3, 5, 8, 13, 40)) for _ in range(rng.randrange(60))) for _ in range(200)]
+    texts += ["", "a b", "y" * 3000 + " b c d E f"]
+    want = []
+    for t in texts:
+        w = t.encode().lower().split()
+        want.append([xxhash.xxh64_intdigest(b" ".join(w[i:i + 5]), 42) for i in range(len(w) - 4)])
+    asked = []
+    digest = xxhash.xxh64_intdigest
+    monkeypatch.setattr(substrings.xxhash, "xxh64_intdigest", lambda *a: asked.append(a) or digest(*a))
+    assert [h.tolist() for h in shingle_lists(texts)] == want
+    assert len(asked) < 10 and [h.tolist() for h in map(shingles, texts)] == want
+
+
 def test_windows_tile_every_text():
     rng = random.Random(1)
     hs = [shingles(" ".join(text(rng, n))) for n in (3, 50, 51, 49, 400, 0)] + [shingles("same line of words " * 100)]
